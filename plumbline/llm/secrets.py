@@ -118,7 +118,6 @@ def _written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-@F.pandas_udf(FOUND)
 def _scan(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -134,7 +133,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     A null or empty text has none; repeated rows give repeated results; a null doc_id stays null;
     other columns are ignored. A map over the scan: no shuffle, one batch in memory."""
-    return docs.select("doc_id", _scan("text").alias("found")).select("doc_id", "found.*")
+    return docs.select("doc_id", F.pandas_udf(_scan, FOUND)("text").alias("found")).select("doc_id", "found.*")
 
 
 def redact(text: str | None, mark: str = "[REDACTED]") -> str | None:
@@ -152,16 +151,16 @@ def redact(text: str | None, mark: str = "[REDACTED]") -> str | None:
     return "".join([*out, text[done:]])
 
 
+def _redacted(texts: pd.Series) -> pd.Series:
+    return texts.map(redact, na_action="ignore")
+
+
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with its columns as they are, but secrets in `text` replaced and `n_chars`, if there, counted anew.
 
     Texts without a secret, null texts among them, stay as they are."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redact, na_action="ignore")
-
-    out = docs.withColumn("text", clean("text"))
+    out = docs.withColumn("text", F.pandas_udf(_redacted, "string")("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out
