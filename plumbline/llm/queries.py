@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .secrets import op1_secrets
+from .token_store import op2_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets}
+    return {
+        "op1_secrets": op1_secrets,
+        "op2_token_ids": op2_token_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
