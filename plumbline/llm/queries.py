@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .secrets import op1_secrets
+from .simhash import op5_simhash
 from .token_store import op2_token_ids
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_token_ids": op2_token_ids,
+        "op5_simhash": op5_simhash,
     }
 
 
