@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op6_packing
 from .secrets import op1_secrets
 from .simhash import op5_simhash
 from .token_store import op2_token_ids
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_token_ids": op2_token_ids,
         "op5_simhash": op5_simhash,
+        "op6_packing": op6_packing,
     }
 
 
