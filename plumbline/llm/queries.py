@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op7_decontam
 from .packing import op6_packing
 from .secrets import op1_secrets
 from .simhash import op5_simhash
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_ids": op2_token_ids,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
+        "op7_decontam": op7_decontam,
     }
 
 
