@@ -11,6 +11,7 @@ from .packing import op6_packing
 from .secrets import op1_secrets
 from .simhash import op5_simhash
 from .token_store import op2_token_ids
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op7_decontam": op7_decontam,
+        "op10_toxicity": op10_toxicity,
     }
 
 
