@@ -149,10 +149,10 @@ def _count_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, y in zip(batch["text"], batch["y"]):
             words = set((text or "").lower().encode().translate(SPACES).split())
             counts[int(y > 0)].update(set().union(*(stems(w.decode(errors="replace")) for w in words)))
-    every = list(counts[1])
-    yield pd.DataFrame({"stem": every, "toxic": [counts[1][s] for s in every], "clean": [counts[0][s] for s in every]})
-    rest = [s for s in counts[0] if s not in counts[1]]
-    yield pd.DataFrame({"stem": rest, "toxic": 0, "clean": [counts[0][s] for s in rest]})
+    every = list(counts[0] | counts[1])
+    for at in range(0, len(every), 100_000):
+        some = every[at : at + 100_000]
+        yield pd.DataFrame({"stem": some, "toxic": [counts[1][s] for s in some], "clean": [counts[0][s] for s in some]})
 
 
 def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
@@ -168,7 +168,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
         return lexicon, INSULT_WEIGHT / 2
     counts = sample.mapInPandas(_count_stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    support = max(3, n_toxic // 500)
+    support = max(5, n_toxic // 100)
     some = counts.withColumn("w", weight).filter((F.col("toxic") >= support) & (F.col("w") > 3) & (F.col("clean") * 50 <= F.col("toxic")))
     some = some.orderBy(F.desc("toxic"), "stem").limit(CANDIDATES).collect()
     weights = {r["stem"]: r["w"] for r in some}
