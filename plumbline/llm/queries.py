@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op8_chat
 from .decontam import op7_decontam
+from .langid import op9_language
 from .packing import op6_packing
 from .secrets import op1_secrets
 from .simhash import op5_simhash
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op7_decontam": op7_decontam,
+        "op8_chat": op8_chat,
+        "op9_language": op9_language,
         "op10_toxicity": op10_toxicity,
     }
 
