@@ -10,6 +10,7 @@ from .chat import op8_chat
 from .decontam import op7_decontam
 from .langid import op9_language
 from .packing import op6_packing
+from .quality import op3_quality
 from .secrets import op1_secrets
 from .simhash import op5_simhash
 from .token_store import op2_token_ids
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_token_ids": op2_token_ids,
+        "op3_quality": op3_quality,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op7_decontam": op7_decontam,
