@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat
 from .decontam import op7_decontam
+from .embedding_dedup import op4_embeddings
 from .langid import op9_language
 from .packing import op6_packing
 from .quality import op3_quality
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_token_ids": op2_token_ids,
         "op3_quality": op3_quality,
+        "op4_embeddings": op4_embeddings,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op7_decontam": op7_decontam,
