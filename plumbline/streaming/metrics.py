@@ -12,7 +12,8 @@ def windowed_sums(preds: DataFrame, time: str, width: str, late: str) -> DataFra
     Counts and sums are what can be kept for a stream: mean errors follow from them, ranks and medians don't."""
     y, p = F.col("truth").cast("double"), F.col("prediction").cast("double")
     return (
-        preds.withWatermark(time, late)
+        preds.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, late)
         .groupBy(F.window(time, width), "source")
         .agg(F.count("*").alias("n"), F.sum(F.abs(y - p)).alias("abs_error"), F.sum((y - p) * (y - p)).alias("squared_error"), F.count_if(F.floor(p + 0.5) < y).alias("under"))
         .select(F.col("window.start").alias("start"), "source", "n", "abs_error", "squared_error", "under")
