@@ -146,7 +146,7 @@ def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> Data
     shared = docs.sparkSession.sparkContext.broadcast((languages, vectors))
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     found = F.pandas_udf(_predictor(shared), "lang_pred string, score double")("text").alias("found")
-    return docs.select(*keep, found).select(*keep, "found.*")
+    return docs.select(F.struct(*keep).alias("row"), found).select("row.*", "found.*")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
