@@ -1,4 +1,6 @@
-"""The registered queries of this subpackage and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage and the SQL of those that SQL can express.
+
+Token ids, hashes with a seed, fitted models and packings have no SQL; tests compare those with brute force."""
 
 from __future__ import annotations
 
@@ -17,6 +19,36 @@ from .simhash import op5_simhash
 from .token_store import op2_token_ids
 from .toxicity import op10_toxicity
 
+EMBEDDINGS_SQL = """WITH RECURSIVE
+u AS (SELECT vec_id, "label", embedding::DOUBLE[] e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) norm FROM embeddings
+  WHERE vec_id IS NOT NULL AND "label" IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT * FROM u WHERE norm > 0),
+l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a."label" = b."label" AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(c) c FROM r GROUP BY 1), n AS (SELECT a, count(*) n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT n_links, c component_id, vec_id = c kept FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id"""
+
+DECONTAM_SQL = r"""WITH
+lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM lowered),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+k AS (SELECT item_id, w, least(13, len(w)) k FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) p FROM k)),
+dw AS (SELECT doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) p FROM d, (SELECT DISTINCT k FROM iw))),
+h AS (SELECT doc_id, p, dw.k, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.k = iw.k),
+n AS (SELECT doc_id, count(DISTINCT place) n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) place FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item_id FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(items, '')) items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') t FROM conversations
+UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, length('### ' || role || ': ' || replace(replace(replace(t, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') || '</turn>') + 1 n FROM c)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) turns_sha256,
+coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) loss_sha256,
+sum(n)::BIGINT formatted_chars, count(*) FILTER (role = 'assistant') n_examples FROM f GROUP BY 1"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -34,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_embeddings": EMBEDDINGS_SQL, "op7_decontam": DECONTAM_SQL, "op8_chat": CHAT_SQL}
