@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -38,10 +39,10 @@ def budgets(dimensions: int, cosine: float = COSINE, blocks: int = BLOCKS) -> np
     return 2 * (1 - cosine) * np.diff(block_edges(dimensions, blocks)) / dimensions
 
 
-PREPARED = "ok boolean, vector binary, rotated binary, cells array<int>"
+PREPARED = "ok boolean, vector binary, rotated binary, cells array<array<int>>"
 
 
-def _prepare(cosine: float):
+def _prepare(cosine: float, grid: int):
     def prepare(vectors: pd.Series) -> pd.DataFrame:
         rows = []
         for v in vectors:
@@ -53,9 +54,9 @@ def _prepare(cosine: float):
                 continue
             unit = v / scale / norm
             turned = (unit @ rotation_of(len(v))).astype(np.float32)
-            first = turned[block_edges(len(v))[:-1]].astype(np.float64)
-            width = np.sqrt(budgets(len(v), cosine)) * (1 + 10 * ROOM)
-            rows.append((True, unit.tobytes(), turned.tobytes(), np.floor(first / width).astype(np.int32)))
+            edges, width = block_edges(len(v)), np.sqrt(budgets(len(v), cosine)) * (1 + 10 * ROOM)
+            cells = [np.floor(turned[a : min(b, a + grid)].astype(np.float64) / w).astype(np.int32).tolist() for a, b, w in zip(edges, edges[1:], width)]
+            rows.append((True, unit.tobytes(), turned.tobytes(), cells))
         return pd.DataFrame(rows, columns=["ok", "vector", "rotated", "cells"])
 
     prepare.__annotations__ = {"vectors": pd.Series, "return": pd.DataFrame}
@@ -129,15 +130,29 @@ def _compare(cosine: float):
     return compare
 
 
-def link_near(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
+def choose_grid(n: int) -> int:
+    """Coordinates of a block that make a cell: one more for each time that a label outgrows some 100 parts."""
+    grid = 1
+    while n > 100 * PART and grid < 4:
+        n, grid = n // 6, grid + 1
+    return grid
+
+
+def half_steps(grid: int) -> list[list[int]]:
+    """A cell's own place and every neighbour that comes after it: of two neighbours, one looks for the other."""
+    return [list(s) for s in product((-1, 0, 1), repeat=grid) if s >= (0,) * grid]
+
+
+def link_near(embeddings: DataFrame, cosine: float = COSINE, grid: int | None = None) -> DataFrame:
     """One row for each row of `embeddings` (vec_id, label, embedding): n_links, component_id and kept.
 
     Vectors of one label and length are linked if their cosine in double precision is `cosine` or more.
     Unit vectors at that cosine are at a squared distance of at most 2 - 2 cosine; rotated and split in
     blocks, they keep to their share of it in one block at least. For each block, a vector goes to the
-    cell of its first coordinate there, as wide as the block's budget allows, and to the next cell; who
-    meets in a cell is compared in the block, and by cosine if the block's budget is kept. A pair is
-    counted where it is first met, so links need no list of pairs: tasks hand on counts and forests.
+    cell of its first coordinates there, as wide as the block's budget allows, and to the cells after it;
+    who meets in a cell is compared in the block, and by cosine if the block's budget is kept. A pair is
+    counted where it is first met, so links need no list of pairs: tasks hand on counts and forests. How
+    many coordinates make a cell changes no result; by default it follows the largest label.
 
     Equal vectors of a label form a class that is compared once and counts as often as it has rows.
     A vector that is null, zero or has null or non-finite components, or has no label, links with
@@ -145,12 +160,17 @@ def link_near(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = embeddings.select("vec_id", "label", "embedding")
     classes = rows.filter("vec_id is not null and label is not null and embedding is not null").groupBy("label", "embedding")
     classes = classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.withColumn("p", F.pandas_udf(_prepare(cosine), PREPARED)("embedding"))
+    if grid is None:
+        grid = choose_grid(rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+    classes = classes.withColumn("p", F.pandas_udf(_prepare(cosine, grid), PREPARED)("embedding"))
     classes = written(classes.select("label", "embedding", "rep", "copies", "p.*").filter("ok"), "embedding-classes")
     spots = F.posexplode("cells").alias("block", "own")
     spread = classes.select("label", F.size("embedding").alias("length"), "rep", "copies", "vector", "rotated", spots)
-    spread = spread.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
-    spread = spread.withColumn("cell", F.col("own") + F.col("step")).withColumn("home", F.col("step") == 0)
+    # a block of fewer coordinates than the grid has steps in those only
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in half_steps(grid)))
+    steps = F.array_distinct(F.transform(F.filter(steps, lambda s: F.forall(F.slice(s, F.size("own") + 1, grid), lambda x: x == 0)), lambda s: F.slice(s, 1, F.size("own"))))
+    spread = spread.withColumn("step", F.explode(steps)).withColumn("home", F.forall("step", lambda x: x == 0))
+    spread = spread.withColumn("cell", F.zip_with("own", "step", lambda a, b: a + b))
     key = ["label", "length", "block", "cell"]
     crowded = spread.groupBy(*key).count().filter(F.col("count") > PART)
     crowded = crowded.select(*key, F.ceil(F.col("count") / PART).cast("int").alias("parts"))

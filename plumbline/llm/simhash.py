@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of one block value that a task compares at once; larger groups are compared part by part.
 PART = 1 << 14
+#: Fingerprints that may be expected at one value before keys get longer.
+CROWD = 256
 #: Fingerprints that stand in one array of bit planes.
 LANES = 1 << 15
 #: Words of places that are compared at once.
@@ -174,17 +177,32 @@ def _compare(radius: int):
     return stars
 
 
+def choose_blocks(n: int, radius: int) -> int:
+    """As many blocks as leave some `CROWD` of n random fingerprints at one value: more blocks, more and longer keys."""
+    for blocks in range(radius + 1, radius + 5):
+        bits = sum(sorted(size for _, size in block_bounds(blocks))[: blocks - radius])
+        if n >> bits <= CROWD:
+            break
+    return blocks
+
+
 def near_edges(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) that join any two of `classes` (fp, rep) within `radius`: not all pairs, but a forest of each task's.
 
-    Two fingerprints that differ in `radius` bits at most agree in one of radius + 1 blocks. Each goes to
-    its value of every block, where all are compared. A value with more than `PART` fingerprints is cut
-    into parts by their hash; every two parts meet in a task of their own."""
-    bounds = block_bounds(blocks or radius + 1)
-    keys = F.array(
-        *(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << n) - 1).alias("value")) for i, (low, n) in enumerate(bounds))
-    )
-    rows = classes.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", "k.block", "k.value")
+    Two fingerprints that differ in `radius` bits at most agree in all but `radius` of the blocks. Each goes
+    to its value of every choice of that many blocks, where all are compared. Any number of blocks over
+    `radius` gives the same groups; by default it follows the number of fingerprints, so that values stay
+    selective. A value with more than `PART` fingerprints is cut into parts by their hash; every two parts
+    meet in a task of their own."""
+    bounds = block_bounds(blocks or choose_blocks(classes.count(), radius))
+    keys = []
+    for i, chosen in enumerate(combinations(bounds, len(bounds) - radius)):
+        value, shift = F.lit(0).cast("long"), 0
+        for low, n in chosen:
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseAND((1 << n) - 1), shift))
+            shift += n
+        keys.append(F.struct(F.lit(i).alias("block"), value.alias("value")))
+    rows = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.block", "k.value")
     crowded = rows.groupBy("block", "value").count().filter(F.col("count") > PART)
     crowded = crowded.select("block", "value", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")

@@ -83,6 +83,15 @@ def test_groups(spark, sf, monkeypatch):
     more = [(7, rows[0][1]), (2000, rows[-1][1])]  # a doc_id with two texts joins what they join
     rows = rows[:60] + near + more
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    # more blocks, and choices of several, find the same groups
+    monkeypatch.setattr(simhash, "choose_blocks", lambda n, radius: radius + 3)
+    check_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.choose_blocks(n, 4) for n in (0, 1000, 250_000, 14_000_000, 50_000_000_000)] == [5, 5, 5, 6, 8]
+    assert [embedding_dedup.choose_grid(n) for n in (0, 5000, 10**6, 10**8, 10**12)] == [1, 1, 2, 4, 4]
+    assert embedding_dedup.half_steps(1) == [[0], [1]] and len(embedding_dedup.half_steps(2)) == 5
 
 
 def test_awkward_groups(awkward, empty):
@@ -119,9 +128,9 @@ def test_embeddings(spark, monkeypatch):
     rows += [(323, 0, (np.array(rows[3][2]) * 2).tolist())]
     frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").withColumn("rep", F.lit(1)).withColumn("component", F.lit(1))
     links, parts = brute_links(rows)
-    for part in (embedding_dedup.PART, 11):
+    for part, grid in ((embedding_dedup.PART, None), (11, 1), (embedding_dedup.PART, 3)):
         monkeypatch.setattr(embedding_dedup, "PART", part)
-        got = {r.vec_id: r for r in embedding_dedup.link_near(frame).collect()}
+        got = {r.vec_id: r for r in embedding_dedup.link_near(frame, grid=grid).collect()}
         assert len(got) == len(rows)
         for (vec_id, *_), n in zip(rows, links):
             g = got[vec_id]
