@@ -32,15 +32,16 @@ def gram_vectors(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return letters[0][grams // CLASSES**2] * letters[1][grams // CLASSES % CLASSES] * letters[2][grams % CLASSES]
 
 
+def _class(code: int) -> int:
+    if not chr(code).isalpha():
+        return 0
+    low = chr(code).lower()[0]
+    return ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (CLASSES - 27)
+
+
 def _classes() -> np.ndarray:
-    """The class of each code point of the basic plane."""
-    out = np.zeros(1 << 16, np.uint8)
-    for code in range(1 << 16):
-        c = chr(code)
-        if c.isalpha():
-            low = c.lower()[0]
-            out[code] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (CLASSES - 27)
-    return out
+    """The class of each code point of the basic plane; the last of them, no letter, stands in for all beyond."""
+    return np.fromiter(map(_class, range(1 << 16)), np.uint8, 1 << 16)
 
 
 _CLASSES: list[np.ndarray] = []
@@ -60,6 +61,8 @@ def count_grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     for at in range(0, len(text), PIECE):
         codes = np.frombuffer(text[at : at + PIECE].encode("utf-32-le"), np.uint32)
         kinds = _CLASSES[0][np.minimum(codes, 0xFFFF)].astype(np.int64)
+        for code in np.unique(codes[codes > 0xFFFF]).tolist():
+            kinds[codes == code] = _class(code)
         any_letter |= bool(kinds.any())
         kinds = np.concatenate((carry, kinds, [0] if at + PIECE >= len(text) else []))
         kept = kinds[np.concatenate(([True], (kinds[1:] != 0) | (kinds[:-1] != 0)))].astype(np.int64)

@@ -205,6 +205,10 @@ def test_language(spark, sf, awkward, empty):
     assert {r.lang_pred for r in langid.identify(awkward, *langid.prototypes(empty)).collect()} == {"und"}
 
 
+def test_letters_of_all_planes():
+    assert langid.count_grams("𠀀") is not None and langid.count_grams("🙂 1 !") is None and langid.count_grams("ª") is not None
+
+
 def test_trigrams_do_not_depend_on_pieces(monkeypatch):
     text = "Words, and  more…words; ünd\n123 noch mehr " * 9
     whole = dict(zip(*(x.tolist() for x in langid.count_grams(text))))
