@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,13 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    own = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(own)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """Where this application's tables are, below the shared folder."""
+    return f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/plumbline/{tag}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written, once no result of theirs is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -35,6 +35,16 @@ def test_components(spark):
     assert components(frame.limit(0), "test").count() == 0
 
 
+def test_written_tables_go_when_asked(spark, tmp_path):
+    from plumbline.llm import common
+
+    frame = common.written(spark.range(5).toDF("x"), "test")
+    assert frame.count() == 5 and common.application_dir(spark) in frame.inputFiles()[0].replace("file://", "")
+    common.remove_written(spark)
+    with pytest.raises(Exception, match="does not exist|NOT_EXIST"):
+        frame.count()
+
+
 def brute_fingerprint(text, shingle=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
