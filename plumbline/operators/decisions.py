@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.scalars import band_edges, band_label
-from .ordered import running_sums, with_rank
+from .ordered import running_sums
 from .ranking import score_counts
 
 
@@ -105,14 +105,16 @@ def level_by_band(preds: DataFrame, levels: dict[float, str], truth: str, median
 def conformal_correction(rows: DataFrame, truth: str, lower: str, upper: str, coverage: float, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, correction): the k-th smallest of max(lower - y, y - upper), k = min(n, ceil((n + 1) coverage)).
 
-    `coverage` is a double as it comes, so that the ceiling doesn't jump. The rank is a bucketed one."""
+    `coverage` is a double as it comes, so that the ceiling doesn't jump. Rows are counted by score first and
+    counts are added up in buckets."""
     y = F.col(truth).cast("double")
     scores = rows.select(*by, F.greatest(F.col(lower) - y, y - F.col(upper)).alias("s")).filter("s is not null")
-    sizes = scores.groupBy(*by).agg(F.count("*").alias("n"))
+    counts = scores.groupBy(*by, "s").agg(F.count("*").alias("rows"))
+    sizes = counts.groupBy(*by).agg(F.sum("rows").alias("n"))
     k = F.least(F.col("n"), F.ceil((F.col("n") + 1).cast("double") * F.lit(float(coverage))).cast("long"))
-    ranked = with_rank(scores, by, F.col("s"), F.col("s"))
-    joined = ranked.join(sizes, list(by)) if by else ranked.crossJoin(F.broadcast(sizes))
-    return joined.filter(F.col("rank") == k).select(*by, "n", F.col("s").alias("correction"))
+    run = running_sums(counts, by, "s", ["rows"])
+    joined = run.join(sizes, list(by)) if by else run.crossJoin(F.broadcast(sizes))
+    return joined.filter(F.col("run_rows") >= k).groupBy(*by, "n").agg(F.min("s").alias("correction"))
 
 
 def ordered_levels(rows: DataFrame, levels: Sequence[str], room: float = 1e-3) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .ordered import with_rank
 
 SPLITS = ("train", "validation", "calibration", "test")
+#: Slots that one row makes.
+SLOTS = 100_000
 
 
 def check_ratios(ratios: Sequence[float]) -> None:
@@ -31,8 +33,8 @@ def split_rows(rows: DataFrame, sample_id: str, ratios: Sequence[float], seed: i
 
     The rule gives each unit, in shuffled order, to the split that is furthest below its share, the first
     of equals. For units of size one that depends on positions only: split s has slots at k - ratio * n for
-    k = 0, 1, ..., and position i takes the i-th slot. Slots are a few rows more than samples; both are
-    ranked in buckets, so the one global stratum isn't sorted by one task."""
+    k = 0, 1, ..., and position i takes the i-th slot. A slot's place is counted from its own numbers, so
+    slots are made in runs and joined, never sorted; samples are ranked in buckets."""
     check_ratios(ratios)
     strata = F.col(stratum).cast("string") if stratum else F.lit("")
     samples = rows.select(F.col(sample_id).cast("string").alias("sample_id"), strata.alias("stratum"))
@@ -41,11 +43,22 @@ def split_rows(rows: DataFrame, sample_id: str, ratios: Sequence[float], seed: i
     lead = F.conv(F.substring("_key", 1, 13), 16, 10).cast("long")
     placed = with_rank(hashed, ["stratum"], lead, F.col("_key"), "position").drop("_key")
     sizes = samples.groupBy("stratum").agg(F.count("*").alias("n"))
-    splits = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(s).alias("split"), F.lit(float(r)).alias("ratio")) for i, (s, r) in enumerate(zip(SPLITS, ratios))))
-    slots = sizes.select("stratum", "n", F.explode(splits).alias("s")).select("stratum", "n", "s.*").filter("ratio > 0")
-    last = F.ceil(F.col("ratio") * F.col("n")).cast("int") + 1
-    slots = slots.withColumn("k", F.explode(F.sequence(F.lit(0), last))).withColumn("at", F.col("k") - F.col("ratio") * F.col("n"))
-    slots = with_rank(slots, ["stratum"], F.col("at"), F.col("ordinal"), "position").select("stratum", "position", "split")
+    shares = [(i, split, float(r)) for i, (split, r) in enumerate(zip(SPLITS, ratios)) if r > 0]
+    each = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(split).alias("split"), F.lit(r).alias("ratio")) for i, split, r in shares))
+    runs = sizes.select("stratum", "n", F.explode(each).alias("s")).select("stratum", "n", "s.*")
+    last = F.ceil(F.col("ratio") * F.col("n")) + 1
+    runs = runs.withColumn("last", last).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(SLOTS).cast("long"))))
+    k = F.explode(F.sequence("first", F.least(F.col("first") + SLOTS - 1, F.col("last"))))
+    slots = runs.withColumn("k", k).withColumn("at", F.col("k") - F.col("ratio") * F.col("n"))
+    position = F.lit(1).cast("long")
+    for i, _, r in shares:
+        start = r * F.col("n")
+        # all slots of that split up to this number are before; of the next few, each is compared as it is
+        sure = F.greatest(F.lit(0).cast("long"), F.floor(F.col("at") + start) - 1)
+        near = [(sure + j) - start for j in range(4)]
+        before = [((x < F.col("at")) | ((x == F.col("at")) & (F.lit(i) < F.col("ordinal")))).cast("long") for x in near]
+        position = position + sure + before[0] + before[1] + before[2] + before[3]
+    slots = slots.select("stratum", "split", position.alias("position"))
     return placed.join(slots, ["stratum", "position"]).select("sample_id", "stratum", "split")
 
 

@@ -207,35 +207,35 @@ LABEL_SQL = "x AS (SELECT doc_id, lang, source, n_chars, quality, toxic, quality
 
 
 @query(
-    f"""WITH {LABEL_SQL}, p AS (SELECT lang, y, n_chars >= 1000 p FROM x),
-c AS (SELECT lang, count(*) n, count_if(y AND p) tp, count_if(NOT y AND p) fp, count_if(y AND NOT p) fn, count_if(NOT y AND NOT p) tn FROM p GROUP BY 1)
-SELECT lang, n, tp::BIGINT tp, fp::BIGINT fp, fn::BIGINT fn, tn::BIGINT tn, round((tp + tn) / n, 9) accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) balanced_accuracy,
+    f"""WITH {LABEL_SQL}, p AS (SELECT y, n_chars >= 1000 p FROM x),
+c AS (SELECT count(*) n, count_if(y AND p) tp, count_if(NOT y AND p) fp, count_if(y AND NOT p) fn, count_if(NOT y AND NOT p) tn FROM p)
+SELECT n, tp::BIGINT tp, fp::BIGINT fp, fn::BIGINT fn, tn::BIGINT tn, round((tp + tn) / n, 9) accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) balanced_accuracy,
 round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 9) "precision", round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 9) recall,
 round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) f1,
 round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE
  (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END, 9) mcc FROM c"""
 )
 def classification_metrics(spark, sf):
-    preds = _labelled(spark, sf).select("lang", (F.col("quality") == 1).alias("truth"), (F.col("n_chars") >= 1000).alias("prediction"))
-    return rounded(evaluate.classification(preds, list(M.CLASSIFICATION), True, ["lang"]))
+    preds = _labelled(spark, sf).select((F.col("quality") == 1).alias("truth"), (F.col("n_chars") >= 1000).alias("prediction"))
+    return rounded(evaluate.classification(preds, list(M.CLASSIFICATION), True))
 
 
 @query(
-    f"""WITH {LABEL_SQL}, r AS (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 r FROM x),
-c AS (SELECT lang, count_if(y) p, count_if(NOT y) n, sum(CASE WHEN y THEN r ELSE 0 END) s FROM r GROUP BY 1)
-SELECT lang, p::BIGINT n_pos, n::BIGINT n_neg, round((s - p * (p + 1) / 2) / (p::DOUBLE * n), 9) roc_auc FROM c"""
+    f"""WITH {LABEL_SQL}, r AS (SELECT y, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 r FROM x),
+c AS (SELECT count_if(y) p, count_if(NOT y) n, sum(CASE WHEN y THEN r ELSE 0 END) s FROM r)
+SELECT p::BIGINT n_pos, n::BIGINT n_neg, round((s - p * (p + 1) / 2) / (p::DOUBLE * n), 9) roc_auc FROM c"""
 )
 def roc_auc(spark, sf):
-    return rounded(ranking.roc_auc(_labelled(spark, sf), ["lang"], "n_chars", F.col("quality") == 1))
+    return rounded(ranking.roc_auc(_labelled(spark, sf), [], "n_chars", F.col("quality") == 1))
 
 
 @query(
-    f"""WITH {LABEL_SQL}, r AS (SELECT lang, y, sum(y::INT) OVER w tp, row_number() OVER w rn FROM x
-WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC, y::INT, doc_id ROWS UNBOUNDED PRECEDING))
-SELECT lang, count_if(y)::BIGINT n_pos, round(sum(CASE WHEN y THEN tp / rn ELSE 0 END) / count_if(y), 9) pr_auc FROM r GROUP BY 1"""
+    f"""WITH {LABEL_SQL}, r AS (SELECT y, sum(y::INT) OVER w tp, row_number() OVER w rn FROM x
+WINDOW w AS (ORDER BY n_chars DESC, y::INT, doc_id ROWS UNBOUNDED PRECEDING))
+SELECT count_if(y)::BIGINT n_pos, round(sum(CASE WHEN y THEN tp / rn ELSE 0 END) / count_if(y), 9) pr_auc FROM r"""
 )
 def pr_auc(spark, sf):
-    return rounded(ranking.pr_auc(_labelled(spark, sf), ["lang"], "n_chars", F.col("quality") == 1))
+    return rounded(ranking.pr_auc(_labelled(spark, sf), [], "n_chars", F.col("quality") == 1))
 
 
 @query(
@@ -587,10 +587,9 @@ def set_differences(spark, sf):
     return lookups.both_ways(t(spark, sf, "labels"), t(spark, sf, "documents"), "doc_id")
 
 
-@query("SELECT l_returnflag, sum(CASE WHEN l_quantity > 0 THEN 0 ELSE 1 END)::BIGINT outside, count(*) n FROM lineitem GROUP BY 1 HAVING l_returnflag = 'A'")
+@query("SELECT count(*) n, count_if(NOT l_discount > 0)::BIGINT outside FROM lineitem")
 def target_domain(spark, sf):
-    rows = t(spark, sf, "lineitem").filter("l_returnflag = 'A'")
-    return checks.target_domain(rows, "l_quantity", "positive").select(F.lit("A").alias("l_returnflag"), "n", "outside")
+    return checks.target_domain(t(spark, sf, "lineitem"), "l_discount", "positive")
 
 
 @query("SELECT event_type, count(*) n, count_if(value IS NOT NULL AND isfinite(value))::BIGINT numbers FROM events GROUP BY 1")
@@ -630,5 +629,4 @@ def class_weighted_forest(spark, sf):
 @query()
 def quantile_forest(spark, sf):
     rows = t(spark, sf, "embeddings").withColumn("target", F.round(F.get("embedding", 0).cast("double") * 10 + F.col("label"), 3))
-    train, ask = rows.filter("vec_id % 4 <> 0"), rows.filter("vec_id % 4 = 0")
-    return fits.quantile_forest(train, ask, "vec_id", "embedding", "target", [0.05, 0.5, 0.95], 10)
+    return fits.quantile_forest(rows, rows, "vec_id", "embedding", "target", [0.05, 0.5, 0.95], 10)

@@ -43,12 +43,10 @@ def predictions(rows: DataFrame, key: str, target: str, sources: dict[str, F.Col
 def ridge_against_median(rows: DataFrame, key: str, features: list[str], target: str, seed: int = 42, l2: float = 1.0) -> DataFrame:
     """(source, split, n, mae, rmse, r2): does a ridge beat the train median, split by split?"""
     assignment = splits.split_rows(rows, key, (0.7, 0.1, 0.1, 0.1), seed)
+    # read by each fit and by the scores: kept until the session clears its cache, made anew where lost
     parted = splits.partition(rows, key, assignment).persist()
-    try:
-        seen = context(parted)
-        median, model = train_median(seen.train, target), fits.ridge(seen.train, features, target, l2)
-    finally:
-        parted.unpersist()
+    seen = context(parted)
+    median, model = train_median(seen.train, target), fits.ridge(seen.train, features, target, l2)
     preds = predictions(parted, "sample_id", target, {"baseline": F.lit(float(median)), "model": model.score()})
     return evaluate.regression(preds, ["mae", "rmse", "r2"], ["source", "split"])
 
