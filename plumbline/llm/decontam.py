@@ -19,7 +19,7 @@ GRAM = 8
 WINNOW = SPAN - GRAM + 1
 #: Bytes of benchmark text in one index that all tasks hold; a larger benchmark is worked off in slices.
 SLICE = 32 << 20
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 # A-Z become lower case, other ASCII characters but digits and a-z become spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

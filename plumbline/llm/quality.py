@@ -23,7 +23,7 @@ SMOOTHING = 1.0
 #: Share of all documents that the sample keeps.
 SHARE = 0.5
 SEED = 3
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 

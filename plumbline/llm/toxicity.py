@@ -22,7 +22,7 @@ LEXICON = 2_000
 CANDIDATES = 20_000
 #: Score from which a document counts as toxic.
 CUT = 0.7
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 STEMS = (4, 5, 6)
 
 # Words of the grammar's closed classes in English, German, French and Spanish.
