@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 def lookup(samples: DataFrame, features: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Samples with the asked columns, in the asked order. A sample without a row is an error, further rows aren't
-    looked at, and two rows of one key are an error too rather than a choice."""
-    right = features.groupBy(key).agg(F.count("*").alias("_times"), F.first(F.struct(*columns)).alias("_row"))
-    joined = samples.join(right, key, "left")
-    wrong = F.when(F.col("_times").isNull(), F.lit("no features for ")).when(F.col("_times") > 1, F.lit("repeated features for "))
+    looked at, and two rows of one key are an error too rather than a choice. Repeated keys are found by
+    counts of keys alone; both joins share one partitioning."""
+    repeated = features.groupBy(key).count().filter("count > 1").select(key, F.lit(True).alias("_twice"))
+    right = features.select(key, F.struct(*columns).alias("_row"))
+    joined = samples.join(right, key, "left").join(repeated, key, "left")
+    wrong = F.when(F.col("_row").isNull(), F.lit("no features for ")).when(F.col("_twice"), F.lit("repeated features for "))
     checked = F.when(wrong.isNull(), F.col("_row")).otherwise(F.raise_error(F.concat(wrong, F.col(key).cast("string"))))
     return joined.withColumn("_row", checked).select(*samples.columns, *(F.col(f"_row.{c}").alias(c) for c in columns))
 
