@@ -128,6 +128,7 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("sample_id string, split string").csv(path, header=True, enforceSchema=False)
 
 
+# The header of such summaries.
 SUMMARY = ("source_db_id", "k_index", "k_dist_interval", "k_mesh")
 
 

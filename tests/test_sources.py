@@ -142,7 +142,7 @@ def test_written_splits_are_read_again(spark, tmp_path):
 
 
 CONFIG = """
-name = "k_points.k_distance.ridge.synthetic.v1"
+name = "shape.value.ridge.synthetic.v1"
 model = "linear_regression"
 features = ["x1", "x2"]
 [dataset]
