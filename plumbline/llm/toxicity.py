@@ -208,14 +208,22 @@ def _parting(e: np.ndarray, y: np.ndarray) -> float:
     return float(max(values[k - 1] + values[k], 1e-3) / 2)
 
 
+_WORDS: list[Words] = []
+
+
+def _words(lexicon: dict[str, float]) -> Words:
+    """The words of a lexicon, kept by a worker from task to task until another lexicon comes."""
+    if not _WORDS or _WORDS[0].lexicon != lexicon:
+        _WORDS[:] = [Words(lexicon)]
+    return _WORDS[0]
+
+
 def evidence(spark: SparkSession, lexicon: dict[str, float]):
     shared = spark.sparkContext.broadcast(lexicon)
-    known: list[Words] = []
 
     def of(texts: pd.Series) -> pd.Series:
-        if not known:
-            known.append(Words(shared.value))
-        return pd.Series([known[0].evidence(t) for t in texts], dtype="float64")
+        words = _words(shared.value)
+        return pd.Series([words.evidence(t) for t in texts], dtype="float64")
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(of, "double")
