@@ -171,33 +171,47 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
     support = max(5, n_toxic // 100)
     some = counts.withColumn("w", weight).filter((F.col("toxic") >= support) & (F.col("w") > 3) & (F.col("clean") * 50 <= F.col("toxic")))
     some = some.orderBy(F.desc("toxic"), "stem").limit(CANDIDATES).collect()
-    weights = {r["stem"]: r["w"] for r in some}
+    names = [r["stem"] for r in some]
     spark = sample.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+    shared = spark.sparkContext.broadcast({stem: i for i, stem in enumerate(names)})
 
     def held(texts: pd.Series) -> pd.Series:
         known = shared.value
         out = []
         for text in texts:
             words = set((text or "").lower().encode().translate(SPACES).split())
-            out.append(sorted(known.keys() & set().union(*(stems(w.decode(errors="replace")) for w in words))))
+            out.append(sorted(known[s] for s in known.keys() & set().union(*(stems(w.decode(errors="replace")) for w in words))))
         return pd.Series(out)
 
     held.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    rows = sample.filter("y > 0").select(F.pandas_udf(held, "array<string>")("text").alias("held")).collect()
-    uncovered = [set(r["held"]) for r in rows]
-    while uncovered and len(lexicon) < LEXICON:
-        gain = Counter(s for have in uncovered for s in have)
-        best = max(gain, key=lambda s: (gain[s], len(s), s), default=None)
-        if best is None or gain[best] < support:
-            break
-        lexicon[best] = weights[best]
-        uncovered = [have for have in uncovered if best not in have]
+    rows = sample.filter("y > 0").select(F.pandas_udf(held, "array<int>")("text").alias("held")).collect()
+    for i in _cover([r["held"] for r in rows], lambda i: (len(names[i]), names[i]), support, LEXICON - len(lexicon)):
+        lexicon[names[i]] = some[i]["w"]
     # stems of words that the lexicon already has by another entry give weight to further occurrences
     scored = sample.select(evidence(spark, lexicon)("text").alias("e"), "y").collect()
     return lexicon, _parting(np.array([r["e"] for r in scored]), np.array([r["y"] > 0 for r in scored]))
 
 
+def _cover(sets: list[list[int]], tie, least: int, most: int) -> list[int]:
+    """Members chosen one after the other, each in the most sets that no earlier one is in, `least` at any rate."""
+    where: dict[int, list[int]] = {}
+    for k, held in enumerate(sets):
+        for i in held:
+            where.setdefault(i, []).append(k)
+    gain, covered, out = {i: len(ks) for i, ks in where.items()}, set(), []
+    while gain and len(out) < most:
+        best = max(gain, key=lambda i: (gain[i], tie(i)))
+        if gain[best] < least:
+            break
+        out.append(best)
+        for k in where[best]:
+            if k not in covered:
+                covered.add(k)
+                for i in sets[k]:
+                    gain[i] -= 1
+    return out
+
+
 def _parting(e: np.ndarray, y: np.ndarray) -> float:
     """The evidence from which on rows are called toxic with fewest mistakes, half-way down to the next."""
     values = np.unique(e)
