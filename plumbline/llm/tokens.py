@@ -8,8 +8,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker remembers before it forgets them all; this bounds its memory and changes no result.
-REMEMBERED = 500_000
+#: Words, and pieces of words, that a worker remembers before it forgets them all; this bounds its memory and
+#: changes no result. Pieces are forgotten apart from words: what they cost is the merges.
+REMEMBERED = 600_000
 
 # The tokenizer's own pattern, for texts of ASCII and Latin-1 letters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zª²-µ¹-ºß-öø-ÿ]+|[0-9]|[^\sa-z0-9ª²-µ¹-ºß-öø-ÿ]+")
@@ -44,6 +45,8 @@ class WordTokens(dict):
         if found is None:
             spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
             found = b"".join([self.spelled[t.id] for t in self.model.tokenize(spelled)])
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
             self.pieces[piece] = found
         return found
 
@@ -56,9 +59,8 @@ class WordTokens(dict):
             ids = b"".join(map(self._piece, PIECES.findall(word.decode().lower())))
         else:
             ids = b"".join([self.spelled[i] for i in self.whole.encode(word.decode(), add_special_tokens=False).ids])
-        if len(self) >= REMEMBERED or len(self.pieces) >= REMEMBERED:
+        if len(self) >= REMEMBERED:
             self.clear()
-            self.pieces.clear()
         self[word] = ids
         return ids
 
