@@ -37,7 +37,14 @@ INSULT_WEIGHT = 3.0
 
 LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:,\n]+")
-SPACES = bytes(c if c >= 128 or chr(c).isalpha() or c == 39 else 32 for c in range(256))
+SPACES = bytes(c if c < 128 and chr(c).isalpha() else 32 for c in range(256))
+
+
+def words_of(lower: str) -> list[bytes]:
+    """The words of a text in lower case that the grammar reads in its clauses, in UTF-8."""
+    if lower.isascii() and "'" not in lower:
+        return lower.encode().translate(SPACES).split()
+    return " ".join(LETTERS.findall(lower)).encode().split()
 
 
 class Transducer:
@@ -109,7 +116,7 @@ class Words(dict):
         if not text:
             return 0.0
         lower = text.lower()
-        words = lower.encode().translate(SPACES).split()
+        words = words_of(lower)
         threats = CLOSED_BYTES["threat"]
         if not any(map(self.__getitem__, words)) and threats.isdisjoint(words):
             return 0.0
@@ -147,7 +154,7 @@ def _count_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, y in zip(batch["text"], batch["y"]):
-            words = set((text or "").lower().encode().translate(SPACES).split())
+            words = set(words_of((text or "").lower()))
             counts[int(y > 0)].update(set().union(*(stems(w.decode(errors="replace")) for w in words)))
     every = list(counts[0] | counts[1])
     for at in range(0, len(every), 100_000):
@@ -179,7 +186,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
         known = shared.value
         out = []
         for text in texts:
-            words = set((text or "").lower().encode().translate(SPACES).split())
+            words = set(words_of((text or "").lower()))
             out.append(sorted(known[s] for s in known.keys() & set().union(*(stems(w.decode(errors="replace")) for w in words))))
         return pd.Series(out)
 
