@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,6 +112,95 @@ def examples(turns: DataFrame) -> DataFrame:
     )
 
 
+PIECES = "conv_id long, example long, position long, piece string, mask_start long, mask_length long"
+#: Characters of a conversation's turns that a task remembers; more of them go to a temporary file.
+REMEMBERED = 1 << 23
+#: Characters of pieces that are handed on at once.
+HANDED = 1 << 22
+
+
+def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Turns come ordered; each reply hands on all turns before it, then itself with its mask."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    now, rows, chars = object(), [], 0
+
+    def handed() -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+
+    with tempfile.SpooledTemporaryFile(REMEMBERED) as before:
+        for batch in batches:
+            for conv_id, formatted, start, length, example in zip(
+                batch["conv_id"].astype("Int64"), batch["formatted"], batch["text_start"], batch["text_length"], batch["example"].astype("Int64")
+            ):
+                conv = None if conv_id is pd.NA else int(conv_id)
+                if conv != now:
+                    now, n = conv, 0
+                    before.seek(0)
+                    before.truncate()
+                if example is not pd.NA:
+                    before.seek(0)
+                    for position in range(n):
+                        piece = before.read(int.from_bytes(before.read(8), "big")).decode()
+                        rows.append((conv_id, int(example), position, piece, 0, 0))
+                        chars += len(piece)
+                        if chars >= HANDED:
+                            yield handed()
+                            rows, chars = [], 0
+                    rows.append((conv_id, int(example), n, formatted, start, length))
+                    chars += len(formatted)
+                before.seek(0, 2)
+                data = formatted.encode()
+                before.write(len(data).to_bytes(8, "big") + data)
+                n += 1
+        if rows:
+            yield handed()
+
+
+def write_expanded(turns: DataFrame, path: str) -> None:
+    """Writes every example in full, a row for each of its turns: the context's, then the reply with its mask.
+
+    Only the mask's characters are trainable: those of the last piece from `mask_start` on. A long context
+    is many rows, none of which is longer than a turn."""
+    _ordered(turns.select("conv_id", "turn_start", "formatted", "text_start", "text_length", "example"), "conv_id", "turn_start").mapInPandas(_expand, PIECES).write.parquet(path)
+
+
+def read_expanded(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PIECES).parquet(path)
+
+
+LOSSES = "c long, loss_chars long, loss_sha256 string, n_examples long"
+
+
+def _loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    now, state = object(), None
+    for batch in batches:
+        rows = []
+        for conv_id, piece, start, length in zip(batch["conv_id"].astype("Int64"), batch["piece"], batch["mask_start"], batch["mask_length"]):
+            conv = None if conv_id is pd.NA else int(conv_id)
+            if conv != now:
+                if state:
+                    rows.append((pd.NA if now is None else now, state[0], state[1].hexdigest(), state[2]))
+                now, state = conv, [0, hashlib.sha256(), 0]
+            masked = unescape(piece[start : start + length])
+            state[0] += len(masked)
+            state[1].update(masked.encode())
+            state[2] += 1
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LOSSES.split(", ")]).astype({"c": "Int64"})
+    if state:
+        yield pd.DataFrame([(pd.NA if now is None else now, state[0], state[1].hexdigest(), state[2])], columns=[c.split()[0] for c in LOSSES.split(", ")]).astype({"c": "Int64"})
+
+
+def example_digests(turns: DataFrame, pieces: DataFrame) -> DataFrame:
+    """As `digests`, with what is trained on read from the masks of the examples that are whole.
+
+    An example counts if its pieces are as many as its last position says."""
+    whole = pieces.groupBy("conv_id", "example").agg(F.count("*").alias("n"), F.max("position").alias("position"), F.max_by("piece", "position").alias("piece"), *(F.max_by(c, "position").alias(c) for c in ("mask_start", "mask_length")))
+    losses = _ordered(whole.filter("n = position + 1").select("conv_id", "example", "piece", "mask_start", "mask_length"), "conv_id", "example").mapInPandas(_loss, LOSSES)
+    read = digests(turns).drop("loss_chars", "loss_sha256", "n_examples").join(losses, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    filled = {"loss_chars": F.coalesce("loss_chars", F.lit(0)), "loss_sha256": F.coalesce("loss_sha256", F.sha2(F.lit(""), 256)), "n_examples": F.coalesce("n_examples", F.lit(0))}
+    return read.withColumns(filled).select(*(c.split()[0] for c in DIGESTS.split(", ")))
+
+
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
 
@@ -160,4 +250,6 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     path = new_path(spark, "chat")
     write_examples(rows.unionByName(more), path)
-    return digests(read_turns(spark, path))
+    turns, expanded = read_turns(spark, path), new_path(spark, "chat-examples")
+    write_expanded(turns, expanded)
+    return example_digests(turns, read_expanded(spark, expanded))
