@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -15,25 +15,34 @@ from pyspark.sql import functions as F
 
 from .common import fold, table, written
 
-#: Labelled rows that the lexicon and the scale are learned from, at most.
+#: Labelled documents that the lexicon and the scale are learned from, at most.
 SAMPLE = 20_000
-#: Entries of the learned lexicon, at most, and stems that are looked at for it.
-LEXICON = 2_000
-CANDIDATES = 20_000
 #: Score from which a document counts as toxic.
 CUT = 0.7
 REMEMBERED = 200_000
 STEMS = (4, 5, 6)
 
-# Words of the grammar's closed classes in English, German, French and Spanish.
+# Words of the grammar's closed classes in English, German, French and Spanish. A word of two
+# classes belongs to the first.
 CLOSED = {
-    "threat": "kill hurt destroy murder stab shoot burn töten umbringen schlagen tuer frapper matar golpear",
-    "target": "you your he she they him her them du dich ihr sie tu te vous toi ils elle usted ustedes él ella",
-    "negation": "not never no isn't aren't don't nicht kein keine nie ne pas jamais nunca jamás",
-    "report": "said says claimed claims called quoted wrote sagte schrieb nannte dit écrit appelé dijo escribió llamó",
+    "threat": "kill hurt destroy murder stab shoot strangle töten umbringen verprügeln erschießen tuer frapper étrangler matar golpear apuñalar",
+    "target": "you your yourself he she they him her them du dich dir ihr ihn sie tu te toi vous il elle ils elles tú usted ustedes él ella ellos ellas",
+    "negation": "not never no nobody isn't aren't wasn't don't won't can't cannot nicht kein keine keinen nie niemals pas jamais aucun aucune nunca jamás ni",
+    "report": "said says claimed claims called calls quoted wrote sagte schrieb nannte zitierte dit écrit appelé cité dijo escribió llamó citó",
+    "intent": "will shall going gonna i'll we'll he'll they'll werde werden wirst wird vais vas va allons vont voy vamos van",
+    "frame": "is are was were am be this that these those the a an such so ist sind war bist seid der die das dieser diese ein eine est es sont êtes suis le la les ce cette un une eres son eso esa este esta el los las una tan",
 }
-INSULTS = "idiot moron stupid pathetic worthless scum trash loser disgusting clown"
+# Common insults of the four languages.
+INSULTS = (
+    "idiot idiots idiotic moron morons moronic imbecile stupid dumb dumbass pathetic worthless scum scumbag trash garbage vermin filth loser losers disgusting clown coward liar creep jerk bastard bitch asshole retard "
+    "trottel dummkopf blödmann schwachkopf arschloch mistkerl dreckskerl hurensohn wichser schlampe versager abschaum feigling lügner widerlich erbärmlich "
+    "idiote imbécile crétin abruti connard connasse salaud salope débile minable ordure raclure bouffon pourriture menteur "
+    "idiota imbécil estúpido estúpida cretino pendejo cabrón gilipollas escoria basura payaso mentiroso patético asqueroso perdedor"
+)
 INSULT_WEIGHT = 3.0
+THREAT_WEIGHT = 3.0
+#: Words between what belongs together, at most.
+REACH = 4
 
 LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:,\n]+")
@@ -48,48 +57,106 @@ def words_of(lower: str) -> list[bytes]:
 
 
 class Transducer:
-    """A weighted transducer over word classes: arcs (state, class) -> (state, factor, weight).
+    """A weighted transducer over word classes, not always deterministic: (state, class) -> choices of (state, factor).
 
-    The factor scales what insults and threats of this word weigh; the weight is added. A class without
-    an arc leads to `rest(state)` with factor 1 and weight 0."""
+    The factor scales what an insult or a threat weighs. A class without an arc leads to `rest(state)` with
+    factor 1; a state whose rest is None has no way on. `open` states may not end a clause."""
 
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, float, float]], rest=lambda state: state) -> None:
-        self.arcs, self.rest = arcs, rest
+    def __init__(self, start: str, arcs: dict[tuple[str, str], list[tuple[str, float]]], rest=lambda state: state, open=lambda state: False) -> None:
+        self.start, self.arcs, self.rest, self.open = start, arcs, rest, open
 
-    def step(self, state: int, kind: str) -> tuple[int, float, float]:
-        return self.arcs.get((state, kind)) or (self.rest(state), 1.0, 0.0)
+    def step(self, state: str, kind: str) -> list[tuple[str, float]]:
+        if found := self.arcs.get((state, kind)):
+            return found
+        return [(to, 1.0)] if (to := self.rest(state)) is not None else []
 
 
-def _fading(state: int) -> int:
-    return max(0, state - 1)
+def _fading(last: str | None):
+    """States end in the number of words that they last; then `last` comes."""
 
+    def rest(state: str) -> str | None:
+        name, n = state.rstrip("0123456789"), state[len(state.rstrip("0123456789")) :]
+        return state if not n else f"{name}{int(n) - 1}" if n != "1" else last
 
-def _grammar() -> tuple[Transducer, ...]:
-    """Insult, threat, target, negation and reported speech, to be run as one composed machine."""
-    near = range(1, 5)
-    insult = Transducer({(0, "insult"): (0, 1.0, 0.0)})
-    # a threat weighs where a target follows it within four words
-    threat = Transducer({(0, "threat"): (4, 0.0, 0.0)} | {(s, "threat"): (4, 0.0, 0.0) for s in near} | {(s, "target"): (0, 1.0, 3.0) for s in near}, _fading)
-    target = Transducer({(s, "target"): (4, 1.0, 0.0) for s in (0, *near)} | {(s, "insult"): (s - 1, 1.5, 0.0) for s in near}, _fading)
-    negation = Transducer({(s, "negation"): (4, 1.0, 0.0) for s in (0, *near)} | {(s, "insult"): (s - 1, 0.3, 0.0) for s in near}, _fading)
-    reported = Transducer({(0, "report"): (1, 1.0, 0.0), (1, "insult"): (1, 0.5, 0.0)})
-    return insult, threat, target, negation, reported
+    return rest
+
+
+def insult_transducer() -> Transducer:
+    """Each further insult of a clause weighs half of the one before."""
+    return Transducer("none", {("none", "insult"): [("some", 1.0)], ("some", "insult"): [("more", 0.5)], ("more", "insult"): [("more", 0.25)]})
+
+
+def threat_transducer() -> Transducer:
+    """A threat that is announced weighs twice as much as one that isn't."""
+    meant = [f"meant{k}" for k in range(1, REACH + 1)]
+    arcs = {(s, "intent"): [(meant[-1], 1.0)] for s in ("plain", *meant)} | {("plain", "threat"): [("plain", 0.5)]} | {(s, "threat"): [("plain", 1.0)] for s in meant}
+    return Transducer("plain", arcs, _fading("plain"))
+
+
+def target_transducer() -> Transducer:
+    """Whom it is about. An insult weighs in full after a target or, owed one, before it; less where only a
+    determiner or a copula is close before it, and little alone. A threat weighs where a target follows, else nothing."""
+    seen, near = [f"seen{k}" for k in range(1, REACH + 1)], ["near1", "near2"]
+    rest = _fading("none")
+    arcs = {(s, "target"): [(seen[-1], 1.0)] for s in ("none", *near, *seen)} | {(s, "frame"): [(near[-1], 1.0)] for s in ("none", *near)}
+    for state, to, factor in [("none", "none", 0.25), *((s, near[-1], 0.7) for s in near), *((s, rest(s), 1.0) for s in seen)]:
+        arcs[state, "insult"] = [(to, factor), (f"owed{REACH}", 1.0)]
+        arcs[state, "threat"] = [(rest(state), 0.0), (f"owed{REACH}", 1.0)]
+    arcs |= {(f"owed{k}", "target"): [(seen[-1], 1.0)] for k in range(1, REACH + 1)}
+    # what is owed a target for too long has no way on: only the path that owes nothing is left
+    return Transducer("none", arcs, lambda s: None if s == "owed1" else rest(s), lambda s: s.startswith("owed"))
+
+
+def negation_transducer() -> Transducer:
+    """What is negated weighs a fifth; a second negation takes the first back."""
+    negated = [f"negated{k}" for k in range(1, REACH + 1)]
+    arcs = {("plain", "negation"): [(negated[-1], 1.0)]} | {(s, "negation"): [("plain", 1.0)] for s in negated}
+    rest = _fading("plain")
+    return Transducer("plain", arcs | {(s, kind): [(rest(s), 0.2)] for s in negated for kind in ("insult", "threat")}, rest)
+
+
+def report_transducer() -> Transducer:
+    """What follows a word of reported speech in its clause is somebody else's and weighs less."""
+    return Transducer("own", {("own", "report"): [("told", 1.0)], ("told", "insult"): [("told", 0.4)], ("told", "threat"): [("told", 0.4)]})
+
+
+PARTS = {"insult": insult_transducer, "threat": threat_transducer, "target": target_transducer, "negation": negation_transducer, "report": report_transducer}
 
 
 class Composed:
-    """The product of transducers: states are tuples, factors multiply and weights add up. Steps are made once."""
+    """The composition of transducers that read the same words: states are tuples and factors multiply.
+
+    A clause weighs what its best accepted path does, the sum of its words' weights, each scaled by the
+    factors of all parts."""
+
+    def __init__(self, parts: Iterable[Transducer]) -> None:
+        self.parts = tuple(parts)
+        self.start = tuple(p.start for p in self.parts)
+        self.step, self.open = cache(self._step), cache(lambda state: any(p.open(s) for p, s in zip(self.parts, state)))
 
-    def __init__(self, parts: tuple[Transducer, ...]) -> None:
-        self.parts, self.start = parts, (0,) * len(parts)
-        self.step = cache(self._step)
+    def _step(self, state: tuple[str, ...], kind: str) -> list[tuple[tuple[str, ...], float]]:
+        ways: list[tuple[tuple[str, ...], float]] = [((), 1.0)]
+        for part, s in zip(self.parts, state):
+            ways = [((*done, to), factor * f) for done, factor in ways for to, f in part.step(s, kind)]
+        return ways
 
-    def _step(self, state: tuple[int, ...], kind: str) -> tuple[tuple[int, ...], float, float]:
-        steps = [p.step(s, kind) for p, s in zip(self.parts, state)]
-        return tuple(s for s, *_ in steps), math.prod(f for _, f, _ in steps), sum(w for *_, w in steps)
+    def weight(self, clause: Iterable[tuple[str, float]]) -> float:
+        """The weight of a clause of (class, weight): the best path in (max, +)."""
+        paths = {self.start: 0.0}
+        for kind, weight in clause:
+            onward: dict[tuple[str, ...], float] = {}
+            for state, total in paths.items():
+                for to, factor in self.step(state, kind):
+                    value = total + weight * factor
+                    if value > onward.get(to, -math.inf):
+                        onward[to] = value
+            paths = onward
+        return max((total for state, total in paths.items() if not self.open(state)), default=0.0)
 
 
-MACHINE = Composed(_grammar())
-CLASSES = {word: kind for kind, words in CLOSED.items() for word in words.split()}
+MACHINE = Composed(make() for make in PARTS.values())
+CLASSES = {word: kind for kind in reversed(CLOSED) for word in CLOSED[kind].split()}
+THREATS = frozenset(w.encode() for w in CLOSED["threat"].split())
 
 
 def stems(word: str) -> set[str]:
@@ -100,9 +167,9 @@ def stems(word: str) -> set[str]:
 class Words(dict):
     """word (lower case, UTF-8) -> weight as an insult; 0 for all others."""
 
-    def __init__(self, lexicon: dict[str, float]) -> None:
+    def __init__(self, lexicon: dict[str, float], machine: Composed = MACHINE) -> None:
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.machine = lexicon, machine
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= REMEMBERED:
@@ -112,33 +179,34 @@ class Words(dict):
         return weight
 
     def evidence(self, text: str | None) -> float:
-        """The weights of the text's matched clauses, added up."""
+        """The weights of the text's clauses, added up. Only clauses with an insult or a threat are run."""
         if not text:
             return 0.0
         lower = text.lower()
-        words = words_of(lower)
-        threats = CLOSED_BYTES["threat"]
-        if not any(map(self.__getitem__, words)) and threats.isdisjoint(words):
+        if not self._hit(words_of(lower)):
             return 0.0
-        return sum(map(self._clause, CLAUSE.split(lower)))
+        return sum(map(self.clause, CLAUSE.split(lower)))
 
-    def _clause(self, clause: str) -> float:
-        state, total = MACHINE.start, 0.0
-        for word in LETTERS.findall(clause):
-            weight = self[word.encode()]
-            kind = "insult" if weight else CLASSES.get(word, "word")
-            state, factor, added = MACHINE.step(state, kind)
-            total += weight * factor + added
-        return total
+    def _hit(self, words: list[bytes]) -> bool:
+        return any(map(self.__getitem__, words)) or not THREATS.isdisjoint(words)
 
+    def clause(self, clause: str) -> float:
+        """A clause's weight by the composed machine; a word of the lexicon that is a threat too is a threat."""
+        words = words_of(clause)
+        return self.machine.weight(map(self._read, words)) if self._hit(words) else 0.0
 
-CLOSED_BYTES = {kind: frozenset(w.encode() for w in words.split()) for kind, words in CLOSED.items()}
+    def _read(self, word: bytes) -> tuple[str, float]:
+        kind = CLASSES.get(word.decode(), "word")
+        if kind == "threat":
+            return kind, THREAT_WEIGHT
+        return ("insult", weight) if (weight := self[word]) else (kind, 0.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most `size` labelled rows, those with the smallest hash of doc_id.
+    """(text, y) of at most `size` labelled documents, those with the smallest hash of doc_id.
 
-    Rows without an id or a label are left out; a doc_id with several labels takes the largest."""
+    Rows without an id or a label are left out; a doc_id with several labels takes the largest, one with
+    several texts the last of them in order."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     n = rows.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -147,7 +215,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int =
         # a loose cut first, so that each task hands on few more rows than are wanted
         rows = rows.filter(F.col("draw") <= (1 << 30) * min(1.0, 1.2 * size / n + 1e-4))
     rows = rows.orderBy("draw", "doc_id").limit(size).select("doc_id", "y")
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "y")
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
 def _count_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,8 +236,8 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
 
     A stem's weight is the log ratio of the shares of toxic and clean rows that have it. Only stems that
     are all but absent from clean rows count, and they are taken greedily by the toxic rows that they
-    add: so words that merely stand in copies of one toxic text don't get in. The scale is where
-    evidence best parts the sample's labels."""
+    add: so words that merely stand in copies of one toxic text don't get in. Each adds 5 rows at least,
+    and 1 % of the toxic ones, so some 100 stems are the most; candidates are bounded by the sample's texts. The scale is where evidence of clauses best parts the sample's labels."""
     n_toxic, n_clean = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     lexicon = {word: INSULT_WEIGHT for word in INSULTS.split()}
     if not n_toxic or not n_clean:
@@ -177,7 +246,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     support = max(5, n_toxic // 100)
     some = counts.withColumn("w", weight).filter((F.col("toxic") >= support) & (F.col("w") > 3) & (F.col("clean") * 50 <= F.col("toxic")))
-    some = some.orderBy(F.desc("toxic"), "stem").limit(CANDIDATES).collect()
+    some = some.orderBy(F.desc("toxic"), "stem").collect()
     names = [r["stem"] for r in some]
     spark = sample.sparkSession
     shared = spark.sparkContext.broadcast({stem: i for i, stem in enumerate(names)})
@@ -192,21 +261,20 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
 
     held.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     rows = sample.filter("y > 0").select(F.pandas_udf(held, "array<int>")("text").alias("held")).collect()
-    for i in _cover([r["held"] for r in rows], lambda i: (len(names[i]), names[i]), support, LEXICON - len(lexicon)):
+    for i in _cover([r["held"] for r in rows], lambda i: (len(names[i]), names[i]), support):
         lexicon[names[i]] = some[i]["w"]
-    # stems of words that the lexicon already has by another entry give weight to further occurrences
     scored = sample.select(evidence(spark, lexicon)("text").alias("e"), "y").collect()
     return lexicon, _parting(np.array([r["e"] for r in scored]), np.array([r["y"] > 0 for r in scored]))
 
 
-def _cover(sets: list[list[int]], tie, least: int, most: int) -> list[int]:
+def _cover(sets: list[list[int]], tie, least: int) -> list[int]:
     """Members chosen one after the other, each in the most sets that no earlier one is in, `least` at any rate."""
     where: dict[int, list[int]] = {}
     for k, held in enumerate(sets):
         for i in held:
             where.setdefault(i, []).append(k)
     gain, covered, out = {i: len(ks) for i, ks in where.items()}, set(), []
-    while gain and len(out) < most:
+    while gain:
         best = max(gain, key=lambda i: (gain[i], tie(i)))
         if gain[best] < least:
             break

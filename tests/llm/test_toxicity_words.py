@@ -1,7 +1,11 @@
 """The words that are looked up before the grammar runs, and those that stems are learned from, are the grammar's own."""
 
+from itertools import product
+
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from plumbline.llm import toxicity
 
@@ -13,15 +17,84 @@ MARKS = ["'{}'", "‘{}’", "“{}”", "«{}»", "„{}“", "—{}", "{}—",
 def test_prefilter_loses_nothing(mark, word):
     words = toxicity.Words({"idiot": 3.0, "ünsin*": 4.0})
     for text in (mark.format(word), f"so {mark.format(word)} you", f"Es gibt, ja: {mark.format(word).upper()} du; nichts"):
-        assert words.evidence(text) == sum(map(words._clause, toxicity.CLAUSE.split(text.lower())))
+        assert words.evidence(text) == sum(map(words.clause, toxicity.CLAUSE.split(text.lower())))
 
 
 def test_marks_hide_no_insult():
     e = toxicity.Words({"idiot": 3.0}).evidence
-    assert all(e(m.format("idiot")) == 3.0 for m in MARKS if m not in ("{}'s", "日{}"))
+    bare, framed = 3.0 * 0.25, 3.0 * 0.7
+    assert {m: e(m.format("idiot")) for m in MARKS if m not in ("{}'s", "日{}")} == pytest.approx({m: framed if m[0] == "a" else bare for m in MARKS if m not in ("{}'s", "日{}")})
+    assert all(e(f"you are an {m.format('idiot')}") == 3.0 for m in ("'{}'", "“{}”", "«{}»"))
 
 
 def test_stems_are_counted_at_marks():
     rows = pd.DataFrame({"text": ["«idiot»", "—idiot…", "'idiot'", "so"], "y": [1, 1, 1, 0]})
     counts = pd.concat(toxicity._count_stems(iter([rows]))).set_index("stem")
     assert counts.loc["idiot"].tolist() == [3, 0] and counts.loc["so"].tolist() == [0, 1]
+
+
+KINDS = ["insult", "threat", "target", "negation", "report", "intent", "frame", "word"]
+
+
+def every_path(parts, clause):
+    """The best of all runs of all parts, each run written out: no states are merged, nothing is cached."""
+    runs = []
+    for part in parts:
+        mine = [(part.start, ())]
+        for kind, _ in clause:
+            mine = [(to, (*factors, f)) for state, factors in mine for to, f in part.step(state, kind)]
+        runs.append([factors for state, factors in mine if not part.open(state)])
+    best = 0.0
+    for chosen in product(*runs):
+        total = 0.0
+        for k, (_, weight) in enumerate(clause):
+            factor = 1.0
+            for factors in chosen:
+                factor *= factors[k]
+            total += weight * factor
+        best = max(best, total)
+    return best
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(KINDS), max_size=9))
+def test_composition_is_the_best_of_all_paths(kinds):
+    clause = [(k, {"insult": 4.0, "threat": 3.0}.get(k, 0.0)) for k in kinds]
+    parts = [make() for make in toxicity.PARTS.values()]
+    assert toxicity.Composed(parts).weight(clause) == pytest.approx(every_path(parts, clause))
+
+
+#: Clauses and what they weigh with insults of 4 and threats of 3, counted by hand.
+CLAUSES = [
+    ("you idiot", 4), ("idiot", 1), ("the idiot", 2.8), ("idiots like you", 4), ("idiot one two three four you", 1), ("you one two three four idiot", 1),
+    ("this idiot idiot", 2.8 + 1.4), ("you idiot idiot idiot", 4 + 2 + 1), ("you are not an idiot", 0.8), ("not never you idiot", 4), ("he said you idiot", 1.6),
+    ("i will kill you", 3), ("i kill you", 1.5), ("kill", 0), ("will kill the time", 0), ("we will not kill you", 0.6), ("they said we will kill you", 1.2), ("you", 0), ("", 0),
+]
+
+
+@pytest.mark.parametrize("clause,weight", CLAUSES)
+def test_clauses_by_hand(clause, weight):
+    words = toxicity.Words({"idiot": 4.0, "idiots": 4.0})
+    assert words.clause(clause) == pytest.approx(weight)
+
+
+#: For each transducer a text that is judged otherwise without it, at a scale of 2.
+TELLING = {"insult": "you idiot idiot idiot", "threat": "kill you", "target": "an idiot", "negation": "you aren't an idiot", "report": "she said you idiot"}
+
+
+@pytest.mark.parametrize("part", list(toxicity.PARTS))
+def test_each_transducer_changes_predictions(part):
+    lexicon, text = {"idiot": 3.0}, TELLING[part]
+    whole = toxicity.Words(lexicon).evidence(text)
+    others = toxicity.Composed(make() for name, make in toxicity.PARTS.items() if name != part)
+    without = toxicity.Words(lexicon, others).evidence(text)
+    scale = {"insult": 6.0}.get(part, 2.2)
+    assert (whole >= scale) != (without >= scale)
+
+
+def test_isolated_words_are_not_clauses():
+    """Plain addition of word weights calls all of these toxic; the grammar none."""
+    words = toxicity.Words({"idiot": 3.0, "clown": 3.0})
+    for text in ("idiot", "clown, kind of", "they aren't an idiot", "he quoted: 'idiot'", "kill. you", "the report says no clown came"):
+        plain = sum(words[w] for w in toxicity.words_of(text)) + 3.0 * ("kill" in text)
+        assert plain >= 2.2 > words.evidence(text)
