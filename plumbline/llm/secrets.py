@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import re
 import zlib
 
@@ -31,8 +33,10 @@ ANCHORED = {
     "hex": re.compile(rb"[0-9a-f]+"),
     "github": re.compile(rb"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
-    "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
+    # the rest of a token behind its first part, and the characters of a part
+    "jwt": re.compile(rb"\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
 }
+PART = re.compile(rb"[A-Za-z0-9_-]+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_RUN = b"h" * 24
 HEX_CLASS = bytes(104 if c in b"0123456789abcdef" else 46 for c in range(256))
@@ -50,12 +54,10 @@ def crc_base62(body: bytes) -> bytes:
 
 
 def _json_object(part: bytes) -> bool:
-    import base64
-    import json
-
+    """Whether the part says a JSON object. One nested too deeply to be read is none."""
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -66,8 +68,6 @@ def _valid(kind: str, m: re.Match) -> bool:
         return len(m[0]) >= 20
     if kind == "hex":
         return len(m[0]) >= 24
-    if kind == "jwt":
-        return _json_object(m[1]) and _json_object(m[2])
     return crc_base62(m[1][:30]) == m[1][30:]
 
 
@@ -87,7 +87,8 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, ordered by start and then by kind.
 
     The text is looked at as one byte for each code point: those above 255 can stand in no keyword and
-    in no secret, so a question mark takes their place and positions stay code points."""
+    in no secret, so a question mark takes their place and positions stay code points. Every run of a
+    secret's characters is read a bounded number of times, so time is in proportion to the text."""
     if not text:
         return []
     if not _AUTOMATON:
@@ -102,10 +103,27 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
             if _valid(kind, m):
                 spans.append((m.start(), m.end(), kind))
 
+    run = 0  # the end of the run of a token's characters that was looked at last, none of whose hits begins a token
+
+    def at_token(start: int) -> None:
+        nonlocal run
+        if start < max(run, ends["jwt"]) or not shadow.startswith(b"eyJ", start):
+            return
+        end = PART.match(shadow, start).end()
+        if end > start + 3 and (m := ANCHORED["jwt"].match(shadow, end)):
+            ends["jwt"] = m.end()
+            if _json_object(shadow[start:end]) and _json_object(m[1]):
+                spans.append((start, m.end(), "jwt"))
+        else:
+            run = end
+
     # words of one kind may hold each other's ends but never begin at one place, so ends come in order of starts
     hits = [(end + 1 - n, kind) for end, (kind, n) in _AUTOMATON[0].iter(shadow.lower().decode("latin-1"))]
     for start, kind in sorted(hits):
-        at(kind, start)
+        if kind == "jwt":
+            at_token(start)
+        else:
+            at(kind, start)
     # runs of hexadecimal digits have no keyword of their own: in the text's classes, 24 digits are one
     classes, where = shadow.translate(HEX_CLASS), 0
     while (where := classes.find(HEX_RUN, where)) >= 0:

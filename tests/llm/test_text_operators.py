@@ -1,7 +1,9 @@
 """Secrets, token ids, packing, decontamination, language, toxicity, chat: brute force and awkward rows."""
 
+import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -43,6 +45,29 @@ def test_checksums_part_tokens_from_lookalikes():
     assert secrets.redact(f"see {good}, token=abcdefgh.") == "see [REDACTED], [REDACTED]"
 
 
+def part(document):
+    return base64.urlsafe_b64encode(document.encode()).decode().rstrip("=")
+
+
+def test_tokens_of_json():
+    head, body = part('{"alg":"none"}'), part('{"sub":"1"}')
+    found = lambda text: [(s, e) for s, e, k in secrets.find_secrets(text) if k == "jwt"]
+    assert found(f"a {head}.{body}.sig-_ b") == [(2, 9 + len(head) + len(body))]
+    assert found(f"{head}.{body}") == [] and found(f"{head}.{body}.") == [] and found(f"{head}.x{body}.s") == [] and found("eyJ.eyJ.x") == []
+    # the first hit of a run begins the token, as it would by an expression from left to right
+    assert found(f"eyJ{head}.{body}.s") == [] and found(f"{head}.{head}.{body}.s") == [(0, 2 * len(head) + len(body) + 2)]
+    assert found(f"eyJx eyJx.eyJ {head}.{body}.s") != []
+
+
+def test_hostile_tokens():
+    deep = part('{"a":' + "[" * 100_000 + "]" * 100_000 + "}")
+    assert secrets.find_secrets(f"{deep}.{deep}.abc") == [] and secrets.redact(f"{deep}.{deep}.abc").endswith("abc")
+    for text in ("eyJ" * 350_000, "eyJ." * 250_000, "eyJa.eyJ" * 130_000, "token=" * 170_000, "password " * 110_000, "AKIA" * 250_000, "eyj" * 350_000):
+        began = time.perf_counter()
+        secrets.find_secrets(text)
+        assert time.perf_counter() - began < 10, text[:10]
+
+
 def test_secrets_of_all_documents(spark, sf, awkward, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -220,7 +245,7 @@ def test_clauses():
     words = toxicity.Words({"idiot": 3.0, "lowei*": 4.0})
     e = words.evidence
     assert e("you idiot.") > e("idiot.") > e("not an idiot.") > 0 and e("he said idiot") < e("idiot")
-    assert e("so, loweische words") == 4.0 and e("nothing here") == 0 and e(None) == 0 and e("") == 0
+    assert e("so, loweische words") == 1.0 and e("nothing here") == 0 and e(None) == 0 and e("") == 0
     assert e("I will kill you") > 0 and e("kill. you") == 0
 
 
