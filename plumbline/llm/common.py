@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    Only where the setting is missing (tests on one machine) is a temporary folder made and used for
-    the rest of the application."""
+    Only where the setting is missing and the master is local (tests on one machine) is a temporary folder
+    made and used for the rest of the application; on a cluster executors wouldn't see each other's files
+    there, so that is an error."""
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
@@ -25,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not context.master.split("[")[0] == "local":
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="plumbline-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     context.setCheckpointDir(own)
@@ -56,6 +62,33 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Inside, what is run hands tables to Python in batches of at most so many bytes."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
+_REMEMBERING: list = []
+
+
+def remembering(memory) -> None:
+    """Lets a worker that goes over to another operator's words forget those of the one before.
+
+    `memory` has a method `forget`. What is remembered saves time only, so forgetting changes no result."""
+    if not _REMEMBERING or _REMEMBERING[0] is not memory:
+        for other in _REMEMBERING:
+            other.forget()
+        _REMEMBERING[:] = [memory]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,6 +139,30 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     return members.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+class Labels:
+    """Components of n places, joined by arrays of pairs: a place's label is the smallest place that it reaches."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs whose ends are joined already cost a comparison only."""
+        while True:
+            i, j = self.label[i], self.label[j]
+            apart = i != j
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.label, np.maximum(i, j), np.minimum(i, j))
+            while not np.array_equal(up := self.label[self.label], self.label):
+                self.label = up
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places, labels) of those that are not their own label."""
+        some = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return some, self.label[some]
+
+
 class Forest:
     """Union-find over the few rows that one task compares."""
 

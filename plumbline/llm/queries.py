@@ -20,14 +20,15 @@ from .token_store import op2_token_ids
 from .toxicity import op10_toxicity
 
 EMBEDDINGS_SQL = """WITH RECURSIVE
-u AS (SELECT vec_id, "label", embedding::DOUBLE[] e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) norm FROM embeddings
+n AS MATERIALIZED (SELECT row_number() OVER () i, * FROM embeddings),
+u AS (SELECT i, vec_id, "label", embedding::DOUBLE[] e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) norm FROM n
   WHERE vec_id IS NOT NULL AND "label" IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 v AS (SELECT * FROM u WHERE norm > 0),
-l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a."label" = b."label" AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+l AS (SELECT a.i, a.vec_id a, b.vec_id b FROM v a JOIN v b ON a."label" = b."label" AND a.i <> b.i AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
 r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
-c AS (SELECT id, min(c) c FROM r GROUP BY 1), n AS (SELECT a, count(*) n FROM l GROUP BY 1)
-SELECT vec_id, coalesce(n, 0)::BIGINT n_links, c component_id, vec_id = c kept FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id"""
+c AS (SELECT id, min(c) c FROM r GROUP BY 1), m AS (SELECT i, count(*) links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(links, 0)::BIGINT n_links, c component_id, vec_id = c kept FROM n LEFT JOIN c ON id = vec_id LEFT JOIN m USING (i)"""
 
 DECONTAM_SQL = r"""WITH
 lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import embedding_dedup, simhash
-from plumbline.llm.common import components
+from plumbline.llm.common import Labels, components
 
 
 def closure(nodes, edges):
@@ -35,6 +35,19 @@ def test_components(spark):
     assert components(frame.limit(0), "test").count() == 0
 
 
+def test_labels():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 0), (5, 3), (60, 40), (300, 280)):
+        labels, edges = Labels(n), []
+        for _ in range(3):
+            i, j = r.integers(0, n, m), r.integers(0, n, m)
+            labels.join(i, j)
+            edges += zip(i.tolist(), j.tolist())
+        assert dict(enumerate(labels.label.tolist())) == closure(range(n), edges)
+        a, b = labels.stars()
+        assert dict(zip(a.tolist(), b.tolist())) == {x: y for x, y in closure(range(n), edges).items() if x != y}
+
+
 def test_written_tables_go_when_asked(spark, tmp_path):
     from plumbline.llm import common
 
@@ -100,7 +113,7 @@ def test_groups(spark, sf, monkeypatch):
 
 def test_blocks_follow_the_number_of_fingerprints():
     assert [simhash.choose_blocks(n, 4) for n in (0, 1000, 250_000, 14_000_000, 50_000_000_000)] == [5, 5, 5, 6, 8]
-    assert [embedding_dedup.choose_grid(n) for n in (0, 5000, 10**6, 10**8, 10**12)] == [1, 1, 2, 4, 4]
+    assert [embedding_dedup.choose_grid(n) for n in (0, 5000, 10**4, 10**6, 10**8, 10**12)] == [0, 0, 1, 2, 4, 4]
     assert embedding_dedup.half_steps(1) == [[0], [1]] and len(embedding_dedup.half_steps(2)) == 5
 
 
@@ -136,19 +149,29 @@ def test_embeddings(spark, monkeypatch):
     rows += [(300 + i, 0, rows[3][2]) for i in range(9)] + [(310, 1, rows[3][2]), (311, None, rows[3][2]), (312, 0, None), (313, 0, [0.0] * 64), (314, 0, [float("nan")] * 64)]
     rows += [(315, 0, [float("inf")] + [0.0] * 63), (316, 0, [None] + [1.0] * 63), (317, 0, []), (318, 0, [1.0, 2.0]), (319, 0, [2.0, 4.0]), (320, 0, [-1.0, -2.0]), (None, 0, rows[3][2]), (321, 0, [3.0]), (322, 0, [5.0])]
     rows += [(323, 0, (np.array(rows[3][2]) * 2).tolist())]
+    # ids on several rows: of other labels, of the same vector, of a vector that links with nothing
+    rows += [(330, 0, rows[4][2]), (330, 1, rows[5][2]), (330, 1, rows[5][2]), (7, 2, rows[0][2]), (9, None, rows[0][2]), (9, 0, None)]
     frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").withColumn("rep", F.lit(1)).withColumn("component", F.lit(1))
     links, parts = brute_links(rows)
-    for part, grid in ((embedding_dedup.PART, None), (11, 1), (embedding_dedup.PART, 3)):
+    want = sorted((str(i), n, str(parts.get(i)), i == parts.get(i)) for (i, *_), n in zip(rows, links))
+    for part, grid in ((embedding_dedup.PART, None), (11, 1), (11, 0), (embedding_dedup.PART, 3), (40, 2)):
         monkeypatch.setattr(embedding_dedup, "PART", part)
-        got = {r.vec_id: r for r in embedding_dedup.link_near(frame, grid=grid).collect()}
-        assert len(got) == len(rows)
-        for (vec_id, *_), n in zip(rows, links):
-            g = got[vec_id]
-            assert (g.n_links, g.component_id) == (n, parts.get(vec_id)), vec_id
-            assert g.kept == (vec_id == g.component_id)
+        got = embedding_dedup.link_near(frame, grid=grid).collect()
+        assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == want, (part, grid)
+    doubles = frame.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embedding_dedup.link_near(doubles).collect()) == want
     assert embedding_dedup.link_near(frame.limit(0)).count() == 0
 
 
+def brute_shingles(text, shingle=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def test_pipeline_stages(spark, sf, awkward, empty, tmp_path):
     """Each stage against its brute-force version, on documents that hold a case for each."""
     import corpus_pipeline
@@ -162,9 +185,8 @@ def test_pipeline_stages(spark, sf, awkward, empty, tmp_path):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     left = {r.doc_id for r in kept.collect()}
     assert sum(labels.get(i) == 0 and i not in left for i in range(300)) == 0 and any(labels.get(i) == 1 and i not in left for i in range(300))
-    rows = [(r.doc_id, r.text) for r in kept.collect()]
-    f = {i: brute_fingerprint(t) for i, t in rows}
-    want = closure(set(f), [(a, b) for a in f for b in f if b < a and (f[a] ^ f[b]).bit_count() <= 4])
+    sets = {r.doc_id: brute_shingles(r.text) for r in kept.collect()}
+    want = closure(set(sets), [(a, b) for a in sets for b in sets if b < a and alike(sets[a], sets[b])])
     one = stages["simhash"](spark, kept, sf)
     assert {r.doc_id for r in one.collect()} == set(want.values())
     clean = stages["decontamination"](spark, one, sf)
