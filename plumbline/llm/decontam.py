@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import remembering, table, written
 
 SPAN = 13
 GRAM = 8
@@ -39,6 +39,8 @@ class _Hashes(dict):
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
+    forget = dict.clear
+
 
 _HASHES = _Hashes()
 
@@ -135,6 +137,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _search(index):
     def found(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+        remembering(_HASHES)
         rows = []
         for text, old_spans, old_items in zip(texts, spans, items):
             words = words_of(text)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, table, written
+from .common import Labels, components, table, written
 
 WIDTH = 64
 SHINGLE = 4
@@ -156,11 +156,11 @@ def _compare(radius: int):
         def out(rows: pd.DataFrame) -> pd.DataFrame:
             keys = rows[["block", "value", "part_a", "part_b"]].to_numpy()
             group = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
-            reps, forest = rows["rep"].to_numpy(), Forest()
+            reps, labels = rows["rep"].to_numpy(), Labels(len(rows))
             for i, j in near_pairs(rows["fp"].to_numpy().view(np.uint64), group, radius):
-                for a, b in zip(reps[i].tolist(), reps[j].tolist()):
-                    forest.union(a, b)
-            return pd.DataFrame(forest.stars(), columns=["a", "b"], dtype="int64")
+                labels.join(i, j)
+            a, b = labels.stars()
+            return pd.DataFrame({"a": reps[a], "b": reps[b]})
 
         for batch in batches:
             held.append(batch)

@@ -7,6 +7,8 @@ import re
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from .common import remembering
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and pieces of words, that a worker remembers before it forgets them all; this bounds its memory and
 #: changes no result. Pieces are forgotten apart from words: what they cost is the merges.
@@ -64,6 +66,10 @@ class WordTokens(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
 
@@ -75,4 +81,5 @@ def word_tokens(vocabulary: str = VOCABULARY) -> WordTokens:
     """The tokenizer of a vocabulary file, once for each worker. A name without a slash is a public one."""
     if vocabulary not in _LOADED:
         _LOADED[vocabulary] = WordTokens(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+    remembering(_LOADED[vocabulary])
     return _LOADED[vocabulary]

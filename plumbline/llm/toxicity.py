@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table, written
+from .common import fold, remembering, table, written
 
 #: Labelled documents that the lexicon and the scale are learned from, at most.
 SAMPLE = 20_000
@@ -178,6 +178,8 @@ class Words(dict):
         self[word] = weight = max(found, default=0.0)
         return weight
 
+    forget = dict.clear
+
     def evidence(self, text: str | None) -> float:
         """The weights of the text's clauses, added up. Only clauses with an insult or a threat are run."""
         if not text:
@@ -312,6 +314,7 @@ def evidence(spark: SparkSession, lexicon: dict[str, float]):
 
     def of(texts: pd.Series) -> pd.Series:
         words = _words(shared.value)
+        remembering(words)
         return pd.Series([words.evidence(t) for t in texts], dtype="float64")
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
