@@ -60,11 +60,11 @@ def band_edges(edges: Sequence[float]) -> list[tuple[float | None, float | None,
 
 
 def band_label(value: Column, edges: Sequence[float]) -> Column:
-    """The label of the half-open band that holds the value: comparisons only, no join."""
+    """The label of the half-open band that holds the value: comparisons only, no join. A null is in no band."""
     out = None
     for _, upper, label in band_edges(edges):
         if upper is None:
-            return out.otherwise(label) if out is not None else F.lit(label)
+            return out.when(value.isNotNull(), label) if out is not None else F.when(value.isNotNull(), label)
         out = F.when(value < upper, label) if out is None else out.when(value < upper, label)
     raise AssertionError
 
@@ -124,6 +124,11 @@ def release_part(name: Column, part: int) -> Column:
     return F.when(name.rlike(RELEASE), found)
 
 
+def runtime_of(name: str) -> str:
+    """The runtime that a release name claims: its first three parts."""
+    return ".".join(name.split(".")[:3])
+
+
 def release_module(part: Column) -> Column:
     return F.lower(F.replace(part, F.lit("-"), F.lit("_")))
 

@@ -111,14 +111,42 @@ def tables_outside_fences(lines: DataFrame, document: str, position: str, text:
     return lines.withColumn("_hit", ~fenced & ~fence & rule).groupBy(document).agg(F.count_if("_hit").alias("tables"))
 
 
+# Bounds of what a relaxed energy and its moments may be.
+MAX_ENERGY_PER_SITE, EXCHANGE_PER_SQUARE, SLACK_PER_SITE, OVER_LIMIT = 100.0, 0.25, 0.5, 1.05
+
+
+def _is_finite(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
 def relaxation_reasons(rows: DataFrame) -> DataFrame:
-    """`rows` (energy, energy_start, largest_force, steps, max_steps, moments, n_sites) with `reasons` and `status`."""
-    flags = [
-        (F.isnan("energy") | (F.abs("energy") == float("inf")), "energy is not finite"),
-        (F.col("energy") > F.col("energy_start") + 1e-9, "energy rose"),
-        (F.size("moments") != F.col("n_sites"), "a moment for each site is missing"),
-        (F.exists("moments", lambda m: F.isnan(m)), "a moment is not finite"),
-        (F.col("steps") >= F.col("max_steps"), "steps ran out"),
-    ]
-    reasons = F.array_compact(F.array(*(F.when(c, F.lit(text)) for c, text in flags)))
-    return rows.withColumn("reasons", reasons).withColumn("status", F.when(F.size(reasons) == 0, "valid").otherwise("invalid"))
+    """`rows` (energy, zero_energy, moments, symbols, limits) with `reasons` and `status`.
+
+    `moments` has a vector for each site, `symbols` its element, `limits` the largest moment by element.
+    Reasons are: an energy that isn't finite; else one of more than 100 a site; else one that lies further
+    below that at zero moments than exchange can explain, 0.25 for each squared moment and 0.5 for each
+    site; a moment that isn't finite; and each site whose moment is over 1.05 times its element's limit.
+    Null energies and moments aren't finite; an element without a limit has none."""
+    squares = F.transform("moments", lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + x * x))
+    out = rows.withColumn("_squares", squares).withColumn("_sites", F.size("moments"))
+    finite = _is_finite(F.col("energy"))
+    moments = F.coalesce(F.forall("moments", lambda m: F.coalesce(F.forall(m, _is_finite), F.lit(False))), F.lit(False))
+    large = F.abs(F.col("energy") / F.col("_sites")) > MAX_ENERGY_PER_SITE
+    bound = EXCHANGE_PER_SQUARE * F.aggregate("_squares", F.lit(0.0), lambda s, x: s + x) + SLACK_PER_SITE * F.col("_sites")
+    deep = _is_finite(F.col("zero_energy")) & moments & (F.col("energy") - F.col("zero_energy") < -bound)
+    energy = F.when(~finite, "energy isn't finite").when(large, "energy a site is too large").when(deep, "gain is more than exchange allows")
+
+    def site(square: Column, i: Column) -> Column:
+        symbol = F.get("symbols", i)
+        over = _is_finite(square) & (F.sqrt(square) > OVER_LIMIT * F.try_element_at("limits", symbol))
+        return F.when(over, F.concat(F.lit("site "), i.cast("string"), F.lit(" "), symbol, F.lit(" is over its limit")))
+
+    sites = F.coalesce(F.array_compact(F.transform("_squares", site)), F.array().cast("array<string>"))
+    reasons = F.concat(F.array_compact(F.array(energy, F.when(~moments, "a moment isn't finite"))), sites)
+    out = out.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") == 0, "valid").otherwise("invalid"))
+    return out.drop("_squares", "_sites")
+
+
+def energy_gain(energy: Column, zero_energy: Column, sites: Column) -> Column:
+    """The energy that moments gain, for each site."""
+    return (energy - zero_energy) / sites

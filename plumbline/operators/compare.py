@@ -14,10 +14,12 @@ def differences(left: DataFrame, right: DataFrame, key: str, value: str, cut: fl
     """(by, n, only_left, only_right, max_diff, mean_diff, worst, flips, closest, closest_margin).
 
     `flips` are rows that fall on different sides of the cut, `closest` the row of the left run nearest to
-    it. Ids that one run lacks are counted, not dropped."""
+    it. Ids that one run lacks are counted, not dropped; those of the right run only are counted in their
+    group if that run has the columns of `by` too, else in one without."""
     a = left.select(F.col(key), F.col(value).cast("double").alias("_a"), *by)
-    b = right.select(F.col(key), F.col(value).cast("double").alias("_b"), F.lit(True).alias("_there"))
-    both = a.withColumn("_here", F.lit(True)).join(b, key, "full_outer")
+    other = [c for c in by if c in right.columns]
+    b = right.select(F.col(key), F.col(value).cast("double").alias("_b"), F.lit(True).alias("_there"), *(F.col(c).alias(f"_b_{c}") for c in other))
+    both = a.withColumn("_here", F.lit(True)).join(b, key, "full_outer").withColumns({c: F.when(F.col("_here"), F.col(c)).otherwise(F.col(f"_b_{c}")) for c in other})
     diff = F.abs(F.col("_a") - F.col("_b"))
     margin = F.abs(F.col("_a") - cut)
     worst = F.min(F.when(diff.isNotNull(), F.struct((-diff).alias("d"), F.col(key).alias("k")))).alias("_w")

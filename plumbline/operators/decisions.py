@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.scalars import band_edges, band_label
-from .ordered import running_sums
+from .ordered import running_sums, with_group
 from .ranking import score_counts
 
 
@@ -47,10 +47,12 @@ def select_threshold(preds: DataFrame, score: str, is_positive, metric: str, min
 
 
 def level_scores(preds: DataFrame, levels: dict[float, str], truth: str, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, level, n, value, rate): the metric and the rate of underprediction at each level's column, in one pass."""
+    """(by, level, n, value, rate): the metric and the rate of underprediction at each level's column, in one pass.
+
+    Rows without a truth or without a level's value don't count there."""
     y = F.col(truth).cast("double")
     at = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("level"), F.col(c).cast("double").alias("p")) for q, c in sorted(levels.items()))))
-    rows = preds.select(*by, y.alias("y"), at.alias("l")).select(*by, "y", "l.*")
+    rows = preds.select(*by, y.alias("y"), at.alias("l")).select(*by, "y", "l.*").filter("y is not null and p is not null")
     # pre-aggregation needs a row for each level and task only
     return rows.groupBy(*by, "level").agg(
         F.count("*").alias("n"), M.REGRESSION[metric][0](F.col("y"), F.col("p")).alias("value"), M.underprediction_rate(F.col("y"), F.col("p")).alias("rate")
@@ -75,12 +77,13 @@ def select_level(preds: DataFrame, levels: dict[float, str], truth: str, metric:
 
 def band_offsets(preds: DataFrame, truth: str, value: str, edges: Sequence[float], max_rate: float, max_offset: int = 8) -> DataFrame:
     """(position, band, n, offset, rate, feasible): for each band of the rounded value, the smallest offset that
-    keeps underpredictions to `max_rate`, or the largest offset there is; empty bands get 0.
+    keeps underpredictions to `max_rate`, or the largest offset there is; empty bands get 0. Rows without a
+    truth or a value don't count.
 
     A row is below the truth at offsets under one number; counts by band and that number are enough."""
     y, p = F.col(truth).cast("double"), M.half_up(F.col(value).cast("double"))
     needed = F.greatest(F.lit(0), F.least(F.lit(max_offset + 1), F.ceil(y - p).cast("int")))
-    counts = preds.groupBy(band_label(p, edges).alias("band"), needed.alias("needed")).agg(F.count("*").alias("rows"))
+    counts = preds.filter(y.isNotNull() & p.isNotNull()).groupBy(band_label(p, edges).alias("band"), needed.alias("needed")).agg(F.count("*").alias("rows"))
     trials = counts.select("band", "rows", "needed", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset"))
     rates = trials.groupBy("band", "offset").agg((F.sum(F.when(F.col("needed") > F.col("offset"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("rate"), F.sum("rows").alias("n"))
     ok = F.min(F.when(F.col("rate") <= max_rate, F.struct("offset", "rate"))).alias("ok")
@@ -113,7 +116,7 @@ def conformal_correction(rows: DataFrame, truth: str, lower: str, upper: str, co
     sizes = counts.groupBy(*by).agg(F.sum("rows").alias("n"))
     k = F.least(F.col("n"), F.ceil((F.col("n") + 1).cast("double") * F.lit(float(coverage))).cast("long"))
     run = running_sums(counts, by, "s", ["rows"])
-    joined = run.join(sizes, list(by)) if by else run.crossJoin(F.broadcast(sizes))
+    joined = with_group(run, sizes, by)
     return joined.filter(F.col("run_rows") >= k).groupBy(*by, "n").agg(F.min("s").alias("correction"))
 
 

@@ -76,6 +76,37 @@ def lattice_block(rows: DataFrame, key: str, a: Sequence[Column], b: Sequence[Co
     return out.select(key, "a", "b", "c", "alpha", "beta", "gamma", "volume", "ra", "rb", "rc", "low", "middle", "high")
 
 
+# The columns of the reciprocal block, in order.
+RECIPROCAL = (
+    "ra", "rb", "rc", "rvolume", "ralpha", "rbeta", "rgamma", "trace", "trace_squared", "determinant", "spread", "longest_ratio", "middle_ratio", "skew",
+)
+
+
+def reciprocal_block(rows: DataFrame, key: str, a: Sequence[Column], b: Sequence[Column], c: Sequence[Column]) -> DataFrame:
+    """(key, 14 columns) of the reciprocal cell, with the factor 2 pi.
+
+    Lengths, volume and angles; trace, trace of the square, determinant and ratio of the outer eigenvalues
+    of M'M, whose rows are the reciprocal vectors; the longest and the middle length over the shortest; and
+    the sum of the angles' absolute cosines."""
+    out = rows.select(F.col(key), *(x.cast("double").alias(f"_{n}{i}") for n, v in zip("abc", (a, b, c)) for i, x in enumerate(v)))
+    turned = S.reciprocal(*([F.col(f"_{n}{i}") for i in range(3)] for n in "abc"))
+    out = out.withColumns({f"_r{i}{j}": x for i, v in enumerate(turned) for j, x in enumerate(v)})
+    r = [[F.col(f"_r{i}{j}") for j in range(3)] for i in range(3)]
+    shape = S.lattice(*r)
+    out = out.withColumns({f"r{n}": x for n, x in shape.items()})
+    out = out.withColumns({f"_m{i}{j}": r[0][i] * r[0][j] + r[1][i] * r[1][j] + r[2][i] * r[2][j] for i in range(3) for j in range(i, 3)})
+    m = [[F.col(f"_m{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
+    out = out.withColumn("_e", S.symmetric_eigenvalues(m)).withColumn("_l", F.array_sort(F.array("ra", "rb", "rc")))
+    cosines = [F.abs(F.cos(F.radians(n))) for n in ("ralpha", "rbeta", "rgamma")]
+    minors = [m[1][1] * m[2][2] - m[1][2] * m[1][2], m[0][1] * m[2][2] - m[1][2] * m[0][2], m[0][1] * m[1][2] - m[1][1] * m[0][2]]
+    more = {
+        "trace": m[0][0] + m[1][1] + m[2][2], "trace_squared": sum((x * x for row in m for x in row[1:]), m[0][0] * m[0][0] + m[1][0] * m[1][0] + m[2][0] * m[2][0]),
+        "determinant": m[0][0] * minors[0] - m[0][1] * minors[1] + m[0][2] * minors[2], "spread": F.get("_e", 2) / F.get("_e", 0),
+        "longest_ratio": F.get("_l", 2) / F.get("_l", 0), "middle_ratio": F.get("_l", 1) / F.get("_l", 0), "skew": cosines[0] + cosines[1] + cosines[2],
+    }
+    return out.withColumns(more).select(key, *RECIPROCAL)
+
+
 def until_jump(meshes: DataFrame, key: str, order: str, axes: Sequence[str]) -> DataFrame:
     """The rows of each key before the first at which an axis grows by more than one."""
     w = Window.partitionBy(key).orderBy(order)
@@ -89,28 +120,76 @@ def until_jump(meshes: DataFrame, key: str, order: str, axes: Sequence[str]) ->
 def composition_stats(rows: DataFrame, key: str, parts: DataFrame, properties: DataFrame, names: Sequence[str]) -> DataFrame:
     """(key, <name>_mean, _min, _max, _range): properties of a composition's elements, means weighted by amount.
 
-    `parts` is (key, element, amount) and `properties` (element, <names>): element data is a lookup table."""
-    joined = rows.select(key).join(parts, key).join(properties, "element")
+    `parts` is (key, element, amount) and `properties` (element, <names>): element data is a lookup table.
+    Every row of `rows` stays. Where it has no parts, or an element or its property isn't known, nothing can
+    be said of the whole, and that property's numbers are null."""
+    known = properties.groupBy("element").agg(*(F.min(n).cast("double").alias(n) for n in names))
+    joined = rows.select(key).distinct().join(parts.select(key, "element", "amount"), key, "left").join(known, "element", "left")
     aggs = []
     for n in names:
-        aggs += [
-            (F.sum(F.col(n) * F.col("amount")) / F.sum("amount")).alias(f"{n}_mean"), F.min(n).alias(f"{n}_min"),
-            F.max(n).alias(f"{n}_max"), (F.max(n) - F.min(n)).alias(f"{n}_range"),
-        ]
+        whole = F.count(n) == F.count("*")
+        found = {"mean": F.sum(F.col(n) * F.col("amount")) / F.sum("amount"), "min": F.min(n), "max": F.max(n), "range": F.max(n) - F.min(n)}
+        aggs += [F.when(whole, v).alias(f"{n}_{k}") for k, v in found.items()]
     return joined.groupBy(key).agg(*aggs)
 
 
+def common_divisor(amounts: Column) -> Column:
+    """The greatest common divisor of an array of longs, by Euclid; 93 steps are enough for any two of them."""
+
+    def both(g: Column, x: Column) -> Column:
+        start = F.struct(g.alias("a"), x.alias("b"))
+        ended = F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))))
+        return ended["a"]
+
+    return F.aggregate(amounts, F.lit(0).cast("long"), both)
+
+
 def reduced_formula(parts: DataFrame, key: str) -> DataFrame:
-    """(key, formula): elements in order with amounts divided by their greatest common divisor."""
-    ordered = F.array_sort(F.collect_list(F.struct("element", F.col("amount").cast("long").alias("amount"))))
-    least = F.min(F.col("amount").cast("long"))
-    some = parts.groupBy(key).agg(ordered.alias("o"), least.alias("least"))
-    divides = F.filter(F.sequence(F.col("least"), F.lit(1).cast("long"), F.lit(-1).cast("long")), lambda d: F.forall("o", lambda e: e["amount"] % d == 0))
-    some = some.withColumn("d", F.get(divides, 0))
-    text = F.transform("o", lambda e: F.concat(e["element"], F.when(e["amount"] == F.col("d"), "").otherwise((e["amount"] / F.col("d")).cast("long").cast("string"))))
-    return some.select(key, F.concat_ws("", text).alias("formula"))
-
-
-def seed_moment(electrons: Column, capacity: Column, limit: Column) -> Column:
-    """High-spin moment of an open shell, kept to 0.7 of the limit."""
-    return F.least(F.least(electrons, capacity - electrons), 0.7 * limit)
+    """(key, formula): elements in order with their amounts, whole ones divided by their greatest common divisor.
+
+    Amounts of one element are added up. If an amount isn't whole they are written as they are, to six
+    digits. An amount of 1 isn't written. The formula is null where an amount is null or not above 0."""
+    some = parts.groupBy(key, "element").agg(F.sum("amount").cast("double").alias("amount"), F.count_if(F.col("amount").isNull()).alias("gaps"))
+    held = some.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("element", "amount"))).alias("o"), F.min("amount").alias("least"), F.sum("gaps").alias("gaps"))
+    whole = F.forall("o", lambda e: e["amount"] == F.floor(e["amount"]))
+    held = held.withColumn("d", F.when(whole, common_divisor(F.transform("o", lambda e: e["amount"].cast("long")))))
+
+    def written(e: Column) -> Column:
+        n = e["amount"].cast("long") / F.col("d")
+        said = F.when(F.col("d").isNotNull(), n.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", e["amount"]), r"\.?0+$", ""))
+        return F.concat(e["element"], F.when(said == "1", "").otherwise(said))
+
+    good = (F.col("gaps") == 0) & (F.col("least") > 0)
+    return held.select(key, F.when(good, F.concat_ws("", F.transform("o", written))).alias("formula"))
+
+
+# Electrons that a d and an f shell hold, and the share of a limit that a moment starts within.
+CAPACITY = {"d": 10, "f": 14}
+WITHIN_LIMIT = 0.7
+
+
+def open_shell(orbitals: Column, oxidation: Column) -> Column:
+    """(shell, capacity, electrons) from which an ion's moment comes; null without one.
+
+    `orbitals` are (n, shell, electrons) of the neutral atom in order. It is the last f shell that is partly
+    filled, else the last d shell. Electrons of higher n leave first, then those of the shell; an anion's
+    come to the shell. No oxidation counts as 0."""
+    partly = F.filter(orbitals, lambda o: (o["shell"] == "f") & (o["electrons"] > 0) & (o["electrons"] < CAPACITY["f"]))
+    some = F.when(F.size(partly) > 0, partly).otherwise(F.filter(orbitals, lambda o: o["shell"] == "d"))
+    last = F.when(F.size(some) > 0, F.element_at(some, -1))
+
+    def of(o: Column) -> Column:
+        outer = F.aggregate(orbitals, F.lit(0.0), lambda s, x: s + F.when(x["n"] > o["n"], x["electrons"].cast("double")).otherwise(0.0))
+        charge = F.coalesce(oxidation.cast("double"), F.lit(0.0))
+        left = o["electrons"].cast("double") - F.when(charge >= 0, F.greatest(charge - outer, F.lit(0.0))).otherwise(charge)
+        room = F.when(o["shell"] == "f", float(CAPACITY["f"])).otherwise(float(CAPACITY["d"]))
+        return F.struct(o["shell"].alias("shell"), room.alias("capacity"), F.least(F.greatest(left, F.lit(0.0)), room).alias("electrons"))
+
+    return F.get(F.transform(F.when(last.isNotNull(), F.array(last)), of), 0)
+
+
+def seed_moment(orbitals: Column, oxidation: Column, limit: Column) -> Column:
+    """High-spin moment of an ion's open shell, kept to 0.7 of its element's limit; 0 without a shell or a limit."""
+    shell = open_shell(orbitals, oxidation)
+    spins = F.least(shell["electrons"], shell["capacity"] - shell["electrons"])
+    return F.when(shell.isNotNull() & limit.isNotNull(), F.least(spins, WITHIN_LIMIT * limit)).otherwise(0.0)

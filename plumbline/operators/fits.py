@@ -36,11 +36,11 @@ def standardizer(rows: DataFrame, columns: Sequence[str], floor: float = FLOOR)
     return Standardizer(tuple(columns), tuple(found[:k]), tuple(s if s > floor else 1.0 for s in found[k:]))
 
 
-def moments_of_arrays(rows: DataFrame, by: Sequence[str], values: str) -> DataFrame:
-    """(by, at, n, mean, deviation) for each place of an array column."""
+def moments_of_arrays(rows: DataFrame, by: Sequence[str], values: str, floor: float = FLOOR) -> DataFrame:
+    """(by, at, n, mean, deviation) for each place of an array column; a deviation of at most the floor counts as 1."""
     at = rows.select(*by, F.posexplode(values).alias("at", "v"))
     v = F.col("v").cast("double")
-    return at.groupBy(*by, "at").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
+    return at.groupBy(*by, "at").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.when(F.stddev_pop(v) > floor, F.stddev_pop(v)).otherwise(1.0).alias("deviation"))
 
 
 def _partial_gram(width: int):
@@ -146,38 +146,85 @@ def balanced_forest(rows: DataFrame, features: str, label: str, trees: int = 50,
     return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, seed=seed).fit(ready)
 
 
-def quantile_forest(train: DataFrame, queries: DataFrame, key: str, features: str, target: str, levels: Sequence[float], trees: int = 20, seed: int = 0) -> DataFrame:
-    """(key, level, value): quantiles of the targets that share leaves with a query, trees counting alike.
+#: Rows of a leaf that a tree aims at.
+LEAF = 20
+
 
-    In each tree, training rows of the query's leaf have weight 1 / leaf size; their mean over trees is the
-    row's weight, and a quantile is the first target whose running weight reaches the level. Leaves keep
-    sums by target value, so a row meets leaves and not all rows; leaf sizes are bounded by tree depth
-    and the number of trees."""
+@dataclass(frozen=True)
+class QuantileForest:
+    """A fitted forest and, for each leaf of each tree, the training targets in it with their shares."""
+
+    model: object
+    held: DataFrame
+    features: str
+    trees: int
+
+    def spread(self, rows: DataFrame, key: str, levels: Sequence[float]) -> DataFrame:
+        """(key, values): quantiles of the targets that share leaves with a row, an entry for each level, trees counting alike.
+
+        In each tree, training rows of the row's leaf have weight 1 / leaf size; their mean over trees is
+        the target's weight, and a quantile is the first target whose running weight reaches the level.
+        A row meets the targets of its leaves only, one array for each tree. Keys must not repeat."""
+        at = _leaves(self.model, rows, self.features, F.col(key))
+        met = at.join(self.held, ["tree", "leaf"]).groupBy(key).agg(F.flatten(F.collect_list("targets")).alias("t"))
+        trees = self.trees
+
+        def of(y: pd.Series, share: pd.Series) -> pd.Series:
+            out = []
+            for values, weights in zip(y, share):
+                order = np.argsort(values, kind="stable")
+                run, values = np.cumsum(weights[order]) / trees, values[order]
+                out.append([float(values[min(np.searchsorted(run, q - 1e-9), len(values) - 1)]) for q in levels])
+            return pd.Series(out)
+
+        of.__annotations__ = {"y": pd.Series, "share": pd.Series, "return": pd.Series}
+        parts = (F.transform("t", lambda x: x[n]) for n in ("y", "share"))
+        return met.select(key, F.pandas_udf(of, "array<double>")(*parts).alias("values"))
+
+    def quantiles(self, rows: DataFrame, key: str, levels: Sequence[float]) -> DataFrame:
+        """(key, level, value), as `spread`."""
+        both = F.arrays_zip(F.array(*(F.lit(float(q)) for q in levels)).alias("level"), F.col("values").alias("value"))
+        return self.spread(rows, key, levels).select(key, F.explode(both).alias("r")).select(key, "r.*")
+
+
+def _leaves(model, rows: DataFrame, features: str, *keep: Column) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.regression import RandomForestRegressor
 
+    kept = [f"_k{i}" for i in range(len(keep))]
     vector = array_to_vector(F.col(features).cast("array<double>")).alias("features")
-    forest = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=trees, seed=seed, leafCol="leaves", maxDepth=6)
-    fitted = forest.fit(train.select(vector, F.col(target).cast("double").alias("y")))
-
-    def leaves(rows: DataFrame, *keep) -> DataFrame:
-        scored = fitted.transform(rows.select(vector, *keep))
-        return scored.select(*[c for c in scored.columns if c not in ("features", "leaves", "prediction")], F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
-
-    held = leaves(train, F.col(target).cast("double").alias("y")).groupBy("tree", "leaf", "y").agg(F.count("*").alias("n"))
-    sizes = held.groupBy("tree", "leaf").agg(F.sum("n").alias("size"))
-    shares = held.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "y", (F.col("n") / F.col("size") / trees).alias("w"))
-    weights = leaves(queries, F.col(key)).join(shares, ["tree", "leaf"]).groupBy(key, "y").agg(F.sum("w").alias("w"))
-    ordered = F.array_sort(F.collect_list(F.struct("y", "w"))).alias("o")
-    spread = weights.groupBy(key).agg(ordered)
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("value"))
-
-    def reached(q: float) -> Column:
-        def step(s, o):
-            run = s["run"] + o["w"]
-            return F.struct(run.alias("run"), F.coalesce(s["value"], F.when(run >= q - 1e-9, o["y"])).alias("value"))
-
-        return F.aggregate("o", start, step)["value"]
-
-    at = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("level"), reached(q).alias("value")) for q in levels)))
-    return spread.select(key, at.alias("r")).select(key, "r.*")
+    scored = model.transform(rows.select(vector, *(c.alias(k) for c, k in zip(keep, kept))))
+    out = scored.select(*kept, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+    names = rows.select(*keep).columns
+    return out.withColumnsRenamed(dict(zip(kept, names)))
+
+
+def fit_quantile_forest(train: DataFrame, features: str, target: str, trees: int = 20, leaf: int = LEAF, seed: int = 0) -> QuantileForest:
+    """A forest whose trees grow with the table, so that leaves don't: depth is the logarithm of rows over `leaf`, and 2.
+
+    So what a row meets, trees times a leaf, doesn't grow with the table, and predicting is in proportion
+    to it. Leaves that features can't part further, or that are at Spark's depth of 30, are longer; equal
+    targets in a leaf are one entry of its array."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+
+    y = F.col(target).cast("double").alias("y")
+    rows = train.select(F.col(features).cast("array<double>").alias("x"), y).filter("y is not null").persist()
+    try:
+        n = rows.count()
+        if not n:
+            raise ValueError("there are no rows to grow a forest on")
+        depth = min(30, max(1, int(np.ceil(np.log2(max(2, n / leaf)))) + 2))
+        forest = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=trees, seed=seed, leafCol="leaves", maxDepth=depth, minInstancesPerNode=min(leaf, max(1, n // 2)))
+        model = forest.fit(rows.select(array_to_vector("x").alias("features"), "y"))
+    finally:
+        rows.unpersist()
+    counts = _leaves(model, train.filter(F.col(target).isNotNull()), features, y).groupBy("tree", "leaf", "y").agg(F.count("*").alias("n"))
+    # sorted, so that weights are added in one order always
+    held = counts.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("y", "n"))).alias("t"), F.sum("n").alias("size"))
+    held = held.select("tree", "leaf", F.transform("t", lambda x: F.struct(x["y"].alias("y"), (x["n"] / F.col("size")).alias("share"))).alias("targets"))
+    return QuantileForest(model, held, features, trees)
+
+
+def quantile_forest(train: DataFrame, queries: DataFrame, key: str, features: str, target: str, levels: Sequence[float], trees: int = 20, seed: int = 0) -> DataFrame:
+    """(key, level, value) of the rows of `queries` by a forest grown on `train`."""
+    return fit_quantile_forest(train, features, target, trees, seed=seed).quantiles(queries, key, levels)

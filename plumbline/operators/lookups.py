@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +37,13 @@ def both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def first_known(rows: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
-    """`rows` with `path`: that of the first source (key, path) that has one; later sources only fill gaps."""
+    """`rows` with `path`: that of the first source (key, path) that has one; later sources only fill gaps.
+
+    Of several paths of one key in a source the first in order counts, so rows are never doubled."""
     out, names = rows, []
     for i, source in enumerate(sources):
         names.append(f"_p{i}")
-        out = out.join(source.select(key, F.col("path").alias(f"_p{i}")), key, "left")
+        out = out.join(source.groupBy(key).agg(F.min("path").alias(f"_p{i}")), key, "left")
     return out.withColumn("path", F.coalesce(*names)).drop(*names)
 
 
@@ -52,17 +56,69 @@ def band_join(rows: DataFrame, value: Column, bands: DataFrame) -> DataFrame:
     return rows.join(held, (F.coalesce(F.col("lower"), F.lit(float("-inf"))) <= value) & (value < F.coalesce(F.col("upper"), F.lit(float("inf")))))
 
 
+def grid_product(spark: SparkSession, values: dict[str, Sequence]) -> DataFrame:
+    """(position, names...): all combinations of a few values for each name, the last name changing fastest.
+
+    Lists that a person writes, so rows are few; each list is a frame of its own and Spark crosses them."""
+    if not values or not all(values.values()):
+        raise ValueError("every name needs a value")
+    out, before = spark.range(1).select(F.lit(0).cast("long").alias("position")), ["position"]
+    for name, some in values.items():
+        one = spark.createDataFrame([(i, x) for i, x in enumerate(some)], ["_at", name])
+        out = out.crossJoin(one).withColumn("position", F.col("position") * len(some) + F.col("_at")).drop("_at")
+        before.append(name)
+    return out.select(*before)
+
+
+#: Points and queries that meet in one task, at most.
+CELL = 4096
+
+
+def _nearest(group: str, key: str, radius: float, k: int):
+    """The k nearest others within the radius for each query of a cell, ties by key."""
+
+    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
+        asks, points = rows[rows["_asks"]], rows[~rows["_asks"]].sort_values("_id", kind="stable")
+        out = []
+        if len(asks) and len(points):
+            p, ids = np.stack(points["_p"].to_numpy()), points["_id"].to_numpy()
+            for at in range(0, len(asks), 256):
+                some = asks.iloc[at : at + 256]
+                gap = np.stack(some["_p"].to_numpy())[:, None, :] - p[None, :, :]
+                distance = np.sqrt(gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1] + gap[..., 2] * gap[..., 2])
+                distance[(some["_id"].to_numpy()[:, None] == ids) | ~(distance <= radius)] = np.inf
+                # points stand in the order of their keys, so a stable sort breaks ties by them
+                order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                taken = np.take_along_axis(distance, order, axis=1)
+                row, place = np.nonzero(np.isfinite(taken))
+                out.append(pd.DataFrame({group: some[group].to_numpy()[row], key: some["_id"].to_numpy()[row], "other": ids[order[row, place]], "distance": taken[row, place]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({group: [], key: [], "other": [], "distance": []})
+
+    return nearest
+
+
 def nearest_within(points: DataFrame, group: str, key: str, position: str, radius: float, k: int) -> DataFrame:
     """(group, key, other, distance, place): the k nearest other points of the group within the radius, ties by key.
 
     Points (a three-dimensional array in `position`) meet in grid cells as wide as the radius: each goes to
-    its own and is looked for from the 27 around it, so a pair is met once and distant points never."""
-    cell = F.transform(position, lambda x: F.floor(x / radius).cast("long"))
-    own = points.select(group, F.col(key).alias("other"), F.col(position).alias("_q"), cell.alias("_cell"))
+    its own and asks in the 27 around it, so distant points never meet. A cell with more points or askers
+    than `CELL` is cut into parts by their hashes, each part of points meeting each of askers. What a
+    meeting hands on are its k nearest for each asker, however many are within the radius. Rows without a
+    group, key or position ask nothing and are nobody's neighbours."""
+    some = points.select(F.col(group).alias("_g"), F.col(key).alias("_id"), F.col(position).alias("_p")).dropna()
+    cell = F.transform("_p", lambda x: F.floor(x / radius).cast("long"))
     steps = F.array(*(F.array(*(F.lit(s).cast("long") for s in (a, b, c))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
-    near = points.select(group, key, F.col(position).alias("_p"), cell.alias("_own")).withColumn("_step", F.explode(steps))
-    near = near.withColumn("_cell", F.zip_with("_own", "_step", lambda a, b: a + b)).drop("_own", "_step")
-    distance = F.sqrt(F.aggregate(F.zip_with("_p", "_q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = near.join(own, [group, "_cell"]).filter(F.col(key) != F.col("other")).select(group, key, "other", distance.alias("distance"))
+    own = some.select("*", cell.alias("_cell"), F.lit(False).alias("_asks"))
+    asks = some.select("*", F.explode(F.transform(steps, lambda s: F.zip_with(s, cell, lambda a, b: a + b))).alias("_cell"), F.lit(True).alias("_asks"))
+    sizes = own.groupBy("_g", "_cell").agg(F.count("*").alias("_points")).join(asks.groupBy("_g", "_cell").agg(F.count("*").alias("_askers")), ["_g", "_cell"])
+    sizes = sizes.select("_g", "_cell", F.ceil(F.col("_points") / CELL).cast("int").alias("_of_points"), F.ceil(F.col("_askers") / CELL).cast("int").alias("_of_askers"))
+    whole = own.unionByName(asks).join(sizes, ["_g", "_cell"])
+    mine = lambda parts: F.array(F.pmod(F.xxhash64("_id"), F.col(parts)).cast("int"))
+    every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    whole = whole.withColumn("_a", F.explode(F.when(F.col("_asks"), mine("_of_askers")).otherwise(every("_of_askers"))))
+    whole = whole.withColumn("_b", F.explode(F.when(F.col("_asks"), every("_of_points")).otherwise(mine("_of_points"))))
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
+    schema = f"{group} {kinds['_g']}, {key} {kinds['_id']}, other {kinds['_id']}, distance double"
+    met = whole.select(F.col("_g").alias(group), "_id", "_p", "_asks", "_cell", "_a", "_b").groupBy(group, "_cell", "_a", "_b").applyInPandas(_nearest(group, key, radius, k), schema)
     w = Window.partitionBy(group, key).orderBy("distance", "other")
-    return pairs.filter(F.col("distance") <= radius).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import with_rank
+from .ordered import with_group, with_rank
 
 SPLITS = ("train", "validation", "calibration", "test")
 #: Slots that one row makes.
@@ -24,8 +25,9 @@ def check_ratios(ratios: Sequence[float]) -> None:
 
 
 def shuffle_key(seed: int, stratum: Column, unit: Column) -> Column:
-    """SHA-256 of seed, stratum and unit: an order of our own, the same for any order of rows."""
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), stratum, unit).cast("binary"), 256)
+    """SHA-256 of seed, stratum and unit: an order of our own, the same for any order of rows. Nulls count as empty texts."""
+    empty = F.lit("")
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(stratum, empty), F.coalesce(unit, empty)).cast("binary"), 256)
 
 
 def split_rows(rows: DataFrame, sample_id: str, ratios: Sequence[float], seed: int, stratum: str | None = None) -> DataFrame:
@@ -33,7 +35,7 @@ def split_rows(rows: DataFrame, sample_id: str, ratios: Sequence[float], seed: i
 
     The rule gives each unit, in shuffled order, to the split that is furthest below its share, the first
     of equals. For units of size one that depends on positions only: split s has slots at k - ratio * n for
-    k = 0, 1, ..., and position i takes the i-th slot. A slot's place is counted from its own numbers, so
+    k = 0, 1, ..., and position i takes the i-th slot. Rows without a stratum are one of their own. A slot's place is counted from its own numbers, so
     slots are made in runs and joined, never sorted; samples are ranked in buckets."""
     check_ratios(ratios)
     strata = F.col(stratum).cast("string") if stratum else F.lit("")
@@ -59,7 +61,7 @@ def split_rows(rows: DataFrame, sample_id: str, ratios: Sequence[float], seed: i
         before = [((x < F.col("at")) | ((x == F.col("at")) & (F.lit(i) < F.col("ordinal")))).cast("long") for x in near]
         position = position + sure + before[0] + before[1] + before[2] + before[3]
     slots = slots.select("stratum", "split", position.alias("position"))
-    return placed.join(slots, ["stratum", "position"]).select("sample_id", "stratum", "split")
+    return with_group(placed, slots, ["stratum", "position"]).select("sample_id", "stratum", "split")
 
 
 def majority(rows: DataFrame, by: Sequence[str], label: str) -> DataFrame:
@@ -70,40 +72,48 @@ def majority(rows: DataFrame, by: Sequence[str], label: str) -> DataFrame:
 
 
 def unit_sizes(rows: DataFrame, group: str, label: str | None = None) -> DataFrame:
-    """(unit, size, stratum) of groups; the stratum is the group's majority label, or one for all."""
+    """(unit, size, stratum) of groups; the stratum is the group's majority label, or one for all.
+
+    A group of which no row has a label has a null stratum. A row without a group is an error."""
+    there = F.when(F.col(group).isNotNull(), F.col(group).cast("string")).otherwise(F.raise_error(F.lit("every sample needs a group")).cast("string"))
+    rows = rows.withColumn(group, there)
     units = rows.groupBy(F.col(group).cast("string").alias("unit")).agg(F.count("*").alias("size"))
     if label is None:
         return units.withColumn("stratum", F.lit(""))
     most = majority(rows.select(F.col(group).cast("string").alias("unit"), F.col(label).cast("string").alias("label")), ["unit"], "label")
-    return units.join(most.select("unit", F.col("majority").alias("stratum")), "unit")
+    return units.join(most.select("unit", F.col("majority").alias("stratum")), "unit", "left")
 
 
-def _allocate(ratios: Sequence[float]):
-    shares = [(i, s, r) for i, (s, r) in enumerate(zip(SPLITS, ratios)) if r > 0]
+def _dealer(ratios: Sequence[float]):
+    """Deals out one stratum's units in shuffled order, from a heap of splits by how far each is over its share."""
 
-    def allocate(units: pd.DataFrame) -> pd.DataFrame:
+    def deal(units: pd.DataFrame) -> pd.DataFrame:
         units = units.sort_values(["key", "unit"], kind="stable")
-        total, given = int(units["size"].sum()), [0] * len(SPLITS)
-        out = []
-        for size in units["size"]:
-            i, split, _ = min(shares, key=lambda s: (given[s[0]] - s[2] * total, s[0]))
-            given[i] += int(size)
-            out.append(split)
-        return pd.DataFrame({"unit": units["unit"].to_numpy(), "stratum": units["stratum"].to_numpy(), "split": out})
+        wanted = {at: ratio * float(units["size"].sum()) for at, ratio in enumerate(ratios) if ratio > 0}
+        held = dict.fromkeys(wanted, 0)
+        heap = [(-rows, at) for at, rows in wanted.items()]
+        heapq.heapify(heap)
+        chosen = []
+        for size in units["size"].tolist():
+            at = heap[0][1]
+            held[at] += size
+            heapq.heapreplace(heap, (held[at] - wanted[at], at))
+            chosen.append(SPLITS[at])
+        return pd.DataFrame({"unit": units["unit"].to_numpy(), "split": chosen})
 
-    return allocate
+    return deal
 
 
 def split_groups(rows: DataFrame, sample_id: str, group: str, ratios: Sequence[float], seed: int, label: str | None = None) -> DataFrame:
-    """(sample_id, unit, split): whole groups go to a split, so no group leaks.
+    """(sample_id, unit, split): whole groups go to a split, so no group leaks. A row without a group is an error.
 
-    The rule is sequential in each stratum, over its units only: their number, a row for each group, is
-    what one task gets; samples join its decisions back."""
+    The rule is sequential in each stratum, over its units only: one task gets a row of some 100 bytes for
+    each group of a stratum, so 10 million groups are a gigabyte; samples join its decisions back."""
     check_ratios(ratios)
     units = unit_sizes(rows, group, label).withColumn("key", shuffle_key(seed, F.col("stratum"), F.col("unit")))
-    decided = units.groupBy("stratum").applyInPandas(_allocate(ratios), "unit string, stratum string, split string")
+    decided = units.groupBy("stratum").applyInPandas(_dealer(ratios), "unit string, split string")
     samples = rows.select(F.col(sample_id).cast("string").alias("sample_id"), F.col(group).cast("string").alias("unit"))
-    return samples.join(decided.select("unit", "split"), "unit").select("sample_id", "unit", "split")
+    return samples.join(decided, "unit").select("sample_id", "unit", "split")
 
 
 def check_assignment(assignment: DataFrame, samples: DataFrame, sample_id: str, group: str | None, required: Sequence[str]) -> DataFrame:

@@ -4,40 +4,14 @@ Doubles are rounded to nine digits on both sides: sums of doubles depend on the
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import scalars as S
 from ..operators import checks, compare, decisions, evaluate, features, fits, lookups, ordered, ranking, splits
 from . import training
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if there is one."""
-
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
-
+from .registry import QUERIES, SQL, query, rounded, t  # noqa: F401  QUERIES and SQL are read here
 
 RATIOS = (0.7, 0.1, 0.1, 0.1)
 SPLITS_SQL = "r(o, split, q) AS (VALUES (0, 'train', 0.7::DOUBLE), (1, 'validation', 0.1::DOUBLE), (2, 'calibration', 0.1::DOUBLE), (3, 'test', 0.1::DOUBLE))"
@@ -91,13 +65,22 @@ def split_group(spark, sf):
 
 
 @query(
-    f"""{GROUP_SQL} SELECT 0::BIGINT unknown_splits, 0::BIGINT repeated_ids, 4 - count(DISTINCT split) empty_splits,
-(SELECT count(*) FROM documents) - count(*) missing_ids, 0::BIGINT extra_ids,
-(SELECT count(*) FROM (SELECT unit FROM a GROUP BY unit HAVING count(DISTINCT split) > 1)) leaking_groups FROM a"""
+    f"""{GROUP_SQL}, g2 AS (SELECT sample_id, CASE WHEN sample_id::BIGINT % 101 = 0 THEN 'validation' WHEN sample_id::BIGINT % 103 = 0 THEN 'nowhere' ELSE split END split FROM a WHERE sample_id::BIGINT % 97 <> 0
+ UNION ALL SELECT sample_id, split FROM a WHERE sample_id::BIGINT % 89 = 1 UNION ALL SELECT 'x' || sample_id, split FROM a WHERE sample_id::BIGINT % 83 = 2),
+w AS (SELECT CAST(doc_id AS VARCHAR) sample_id, source unit FROM documents)
+SELECT count_if(split NOT IN ('train', 'validation', 'calibration', 'test'))::BIGINT unknown_splits, count(*) - count(DISTINCT sample_id) repeated_ids,
+4 - count(DISTINCT split) FILTER (split <> 'nowhere') empty_splits, (SELECT count(*) FROM w WHERE sample_id NOT IN (SELECT sample_id FROM g2)) missing_ids,
+count_if(sample_id NOT IN (SELECT sample_id FROM w))::BIGINT extra_ids,
+(SELECT count(*) FROM (SELECT unit FROM w JOIN g2 USING (sample_id) GROUP BY unit HAVING count(DISTINCT split) > 1)) leaking_groups FROM g2"""
 )
 def split_leakage_check(spark, sf):
-    docs = t(spark, sf, "documents")
-    return splits.check_assignment(split_group(spark, sf).select("sample_id", "split"), docs, "doc_id", "source", splits.SPLITS)
+    """Over an assignment with every kind of violation."""
+    docs, good = t(spark, sf, "documents"), split_group(spark, sf).select("sample_id", "split")
+    n = F.col("sample_id").cast("long")
+    moved = F.when(n % 101 == 0, "validation").when(n % 103 == 0, "nowhere").otherwise(F.col("split"))
+    broken = good.filter(n % 97 != 0).withColumn("split", moved).unionByName(good.filter(n % 89 == 1))
+    broken = broken.unionByName(good.filter(n % 83 == 2).withColumn("sample_id", F.concat(F.lit("x"), "sample_id")))
+    return splits.check_assignment(broken, docs, "doc_id", "source", splits.SPLITS)
 
 
 @query("SELECT o_orderstatus, count(*) n, median(o_totalprice) median, round(stddev_pop(o_totalprice), 6) deviation FROM orders GROUP BY 1")
@@ -282,7 +265,7 @@ m AS (SELECT *, floor(p + add + 0.5) r, p + add v, CASE WHEN floor(p + 0.5) < 10
 
 @query(
     f"""WITH {LEVEL_SQL}, g AS (SELECT level, round(avg(abs(y - v)), 9) AS value, round(avg((r < y)::INT), 9) rate FROM m GROUP BY 1)
-SELECT level, value, rate, true feasible FROM g ORDER BY value, level LIMIT 1"""
+SELECT level, value, rate, rate IS NOT NULL feasible FROM g ORDER BY value, level LIMIT 1"""
 )
 def decision_level(spark, sf):
     return rounded(decisions.select_level(_levels(spark, sf), LEVELS, "truth", "mae"))
@@ -290,7 +273,8 @@ def decision_level(spark, sf):
 
 @query(
     f"""WITH {LEVEL_SQL}, g AS (SELECT level, round(avg(abs(y - v)), 9) AS value, round(avg((r < y)::INT), 9) rate FROM m GROUP BY 1)
-SELECT level, value, rate, true feasible FROM g WHERE rate <= 0.1 ORDER BY value, level LIMIT 1"""
+SELECT arg_min(level, (value, level)) FILTER (rate <= 0.1) level, arg_min(value, (value, level)) FILTER (rate <= 0.1) AS value,
+coalesce(arg_min(rate, (value, level)) FILTER (rate <= 0.1), min(rate)) rate, count_if(rate <= 0.1) > 0 feasible FROM g"""
 )
 def decision_level_with_floor(spark, sf):
     return rounded(decisions.select_level(_levels(spark, sf), LEVELS, "truth", "mae", 0.1))
@@ -298,8 +282,9 @@ def decision_level_with_floor(spark, sf):
 
 @query(
     f"""WITH {LEVEL_SQL}, g AS (SELECT band, level, round(avg(abs(y - v)), 9) AS value, round(avg((r < y)::INT), 9) rate FROM m GROUP BY 1, 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY value, level) k FROM g WHERE rate <= 0.1)
-SELECT band, level, value, rate, true feasible FROM o WHERE k = 1"""
+c AS (SELECT *, rate <= 0.1 ok FROM g)
+SELECT band, arg_min(level, (value, level)) FILTER (ok) level, arg_min(value, (value, level)) FILTER (ok) AS value,
+coalesce(arg_min(rate, (value, level)) FILTER (ok), min(rate)) rate, count_if(ok) > 0 feasible FROM c GROUP BY band"""
 )
 def level_by_band(spark, sf):
     return rounded(decisions.level_by_band(_levels(spark, sf), LEVELS, "truth", "prediction", [10, 25, 40], "mae", 0.1))
@@ -366,11 +351,11 @@ def standardize(spark, sf):
 
 
 @query(
-    """WITH x AS (SELECT unnest(range(1, 9)) i, embedding[1:8]::DOUBLE[] e FROM embeddings), y AS (SELECT i, unnest(range(i, 9)) j, e FROM x)
+    """WITH x AS (SELECT unnest(range(1, 65)) i, embedding::DOUBLE[] e FROM embeddings), y AS (SELECT i, unnest(range(i, 65)) j, e FROM x)
 SELECT (i - 1)::INT i, (j - 1)::INT j, round(sum(e[i] * e[j]), 6) v FROM y GROUP BY 1, 2"""
 )
 def gram_matrix(spark, sf):
-    return rounded(fits.gram_cells(t(spark, sf, "embeddings"), "embedding", 8), 6)
+    return rounded(fits.gram_cells(t(spark, sf, "embeddings"), "embedding", 64), 6)
 
 
 def _parts(spark, sf) -> DataFrame:
@@ -468,21 +453,27 @@ def feature_lookup_strict(spark, sf):
     return lookups.lookup(t(spark, sf, "labels").select("doc_id", "quality"), t(spark, sf, "documents"), "doc_id", ["lang", "n_chars"])
 
 
-LISTED_SQL = """l AS (SELECT CAST(doc_id AS VARCHAR) "name", quality + 1 size_bytes, sha256(CAST(doc_id AS VARCHAR)) s FROM labels),
-p AS (SELECT CAST(doc_id AS VARCHAR) "name", (n_chars % 2) + 1 size_bytes, sha256(CAST(doc_id AS VARCHAR)) s FROM documents)"""
-
-
 @query(
-    f"""WITH {LISTED_SQL} SELECT 0::BIGINT repeated_entries, 0::BIGINT unsafe_names, 0::BIGINT bad_digests, count_if(p."name" IS NULL)::BIGINT stale_entries,
-count_if(l."name" IS NULL)::BIGINT unlisted_files, count_if(l.size_bytes <> p.size_bytes)::BIGINT wrong_sizes, count_if(l.s <> p.s)::BIGINT wrong_digests, 1::BIGINT missing_required
-FROM l FULL JOIN p ON l."name" = p."name" """
+    """WITH l0 AS (SELECT CASE WHEN doc_id % 50 = 7 THEN 'a/' || doc_id ELSE doc_id::VARCHAR END "name", quality + 1 size_bytes,
+ CASE WHEN doc_id % 41 = 3 THEN 'no digest' WHEN doc_id % 43 = 5 THEN sha256('other') ELSE sha256(doc_id::VARCHAR) END s FROM labels),
+l1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l0 WHERE "name" LIKE '%9'),
+l AS (SELECT "name", count(*) times, min(size_bytes) size_bytes, min(s) s FROM l1 GROUP BY 1),
+p AS (SELECT CAST(doc_id AS VARCHAR) "name", (n_chars % 2) + 1 size_bytes, sha256(CAST(doc_id AS VARCHAR)) s FROM documents)
+SELECT coalesce(sum(times - 1), 0)::BIGINT repeated_entries, count_if(l."name" LIKE '%/%')::BIGINT unsafe_names, count_if(NOT regexp_full_match(l.s, '[0-9a-f]{64}'))::BIGINT bad_digests,
+count_if(p."name" IS NULL)::BIGINT stale_entries, count_if(l."name" IS NULL)::BIGINT unlisted_files, count_if(l.size_bytes <> p.size_bytes)::BIGINT wrong_sizes, count_if(l.s <> p.s)::BIGINT wrong_digests,
+(SELECT count(*) FROM (VALUES ('id_prop.csv'), ('1'), ('3')) r(x) WHERE x NOT IN (SELECT "name" FROM l)) missing_required FROM l FULL JOIN p ON l."name" = p."name" """
 )
 def manifest_reconcile(spark, sf):
-    name = F.col("doc_id").cast("string")
-    digest = F.sha2(name.cast("binary"), 256).alias("sha256")
-    listed = t(spark, sf, "labels").select(name.alias("name"), (F.col("quality") + 1).cast("long").alias("size_bytes"), digest)
-    present = t(spark, sf, "documents").select(name.alias("name"), (F.col("n_chars") % 2 + 1).alias("size_bytes"), digest)
-    return checks.reconcile(listed, present, ["id_prop.csv"])
+    """Over a manifest with every kind of violation."""
+    doc, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    digest = F.sha2(name.cast("binary"), 256)
+    listed = t(spark, sf, "labels").select(
+        F.when(doc % 50 == 7, F.concat(F.lit("a/"), name)).otherwise(name).alias("name"), (F.col("quality") + 1).cast("long").alias("size_bytes"),
+        F.when(doc % 41 == 3, "no digest").when(doc % 43 == 5, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(digest).alias("sha256"),
+    )
+    listed = listed.unionByName(listed.filter(F.col("name").endswith("9")))
+    present = t(spark, sf, "documents").select(name.alias("name"), (F.col("n_chars") % 2 + 1).alias("size_bytes"), digest.alias("sha256"))
+    return checks.reconcile(listed, present, ["id_prop.csv", "1", "3"])
 
 
 @query(
@@ -514,16 +505,21 @@ def derived_target(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber id, l_returnflag, l_quantity v FROM lineitem), b AS (SELECT l_orderkey * 10 + l_linenumber id, l_quantity + (l_linenumber - 4) * 0.25 v FROM lineitem WHERE l_linenumber < 7),
-j AS (SELECT a.id, l_returnflag, a.v av, b.v bv, abs(a.v - b.v) d, abs(a.v - 25) m FROM a LEFT JOIN b USING (id))
-SELECT l_returnflag, count(d) n, count_if(bv IS NULL)::BIGINT only_left, 0::BIGINT only_right, max(d) max_diff, round(avg(d), 9) mean_diff,
-arg_min(id, (-d, id)) FILTER (d IS NOT NULL) worst, count_if((av >= 25) <> (bv >= 25))::BIGINT flips, arg_min(id, (m, id)) FILTER (d IS NOT NULL) closest, min(m) FILTER (d IS NOT NULL) closest_margin, 'differs' verdict FROM j GROUP BY 1"""
+    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber id, l_linestatus g, l_quantity v FROM lineitem WHERE l_quantity > 2),
+b AS (SELECT l_orderkey * 10 + l_linenumber id, l_linestatus g, CASE WHEN l_linestatus = 'O' THEN l_quantity WHEN l_linenumber = 1 THEN l_quantity + 0.05 ELSE l_quantity + (l_linenumber - 4) * 0.25 END v FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 2 OR l_linestatus = 'F' AND l_linenumber < 7),
+j AS (SELECT coalesce(a.g, b.g) g, a.id, coalesce(a.id, b.id) ids, a.v av, b.v bv, abs(a.v - b.v) d, abs(a.v - 25) m FROM a FULL JOIN b USING (id)),
+s AS (SELECT g l_linestatus, count(d) n, count_if(bv IS NULL)::BIGINT only_left, count_if(av IS NULL)::BIGINT only_right, max(d) max_diff, round(avg(d), 9) mean_diff,
+arg_min(ids, (-d, ids)) FILTER (d IS NOT NULL) worst, count_if((av >= 25) <> (bv >= 25))::BIGINT flips, arg_min(ids, (m, ids)) FILTER (d IS NOT NULL) closest, min(m) FILTER (d IS NOT NULL) closest_margin FROM j GROUP BY 1)
+SELECT *, CASE WHEN only_left > 0 OR only_right > 0 OR max_diff > 0.1 THEN 'differs' WHEN flips > 0 THEN 'flips' ELSE 'same' END verdict FROM s"""
 )
 def run_comparison(spark, sf):
+    """Runs that agree in one group and lack each other's ids in the other."""
     rows = t(spark, sf, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    left = rows.select("id", "l_returnflag", F.col("l_quantity").alias("v"))
-    right = rows.filter("l_linenumber < 7").select("id", (F.col("l_quantity") + (F.col("l_linenumber") - 4) * F.lit(0.25)).alias("v"))
-    return rounded(compare.verdict(compare.differences(left, right, "id", "v", 25.0, ["l_returnflag"]), 0.1))
+    opened = F.col("l_linestatus") == "O"
+    left = rows.filter("l_quantity > 2").select("id", F.col("l_linestatus"), F.col("l_quantity").alias("v"))
+    moved = F.when(opened, F.col("l_quantity")).when(F.col("l_linenumber") == 1, F.col("l_quantity") + 0.05).otherwise(F.col("l_quantity") + (F.col("l_linenumber") - 4) * F.lit(0.25))
+    right = rows.filter((opened & (F.col("l_quantity") > 2)) | ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") < 7))).select("id", F.col("l_linestatus"), moved.alias("v"))
+    return rounded(compare.verdict(compare.differences(left, right, "id", "v", 25.0, ["l_linestatus"]), 0.1))
 
 
 @query(
@@ -551,16 +547,42 @@ def mesh_ladder(spark, sf):
     return rounded(features.ladder(t(spark, sf, "part"), "p_partkey", F.col("p_size"), 12))
 
 
+CELL_SQL = """v AS (SELECT p_partkey, 3 + p_size / 10.0::DOUBLE a1, 0.0::DOUBLE a2, 0.0::DOUBLE a3, 0.3::DOUBLE b1, 4 + p_size / 20.0::DOUBLE b2, 0.0::DOUBLE b3, 0.5::DOUBLE c1, (p_partkey % 7) / 10.0::DOUBLE c2, 5 + p_size / 50.0::DOUBLE c3 FROM part),
+l AS (SELECT *, a1 a, sqrt(b1 ** 2 + b2 ** 2) b, sqrt(c1 ** 2 + c2 ** 2 + c3 ** 2) c, a1 * b2 * c3 volume FROM v),
+r AS (SELECT *, 2 * pi() / a1 x1, -2 * pi() * b1 / (a1 * b2) x2, 2 * pi() * (b1 * c2 - b2 * c1) / volume x3, 0.0 y1, 2 * pi() / b2 y2, -2 * pi() * c2 / (b2 * c3) y3, 2 * pi() / c3 z3 FROM l),
+m AS (SELECT *, x1 ** 2 m11, x1 * x2 m12, x1 * x3 m13, x2 ** 2 + y2 ** 2 m22, x2 * x3 + y2 * y3 m23, x3 ** 2 + y3 ** 2 + z3 ** 2 m33,
+ sqrt(x1 ** 2 + x2 ** 2 + x3 ** 2) ra, sqrt(y2 ** 2 + y3 ** 2) rb, z3 rc FROM r)"""
+
+
+def _cells(spark, sf):
+    """Cells whose axes aren't at right angles."""
+    zero, size = F.lit(0.0), F.col("p_size").cast("double")
+    return t(spark, sf, "part"), "p_partkey", (3 + size / 10, zero, zero), (F.lit(0.3), 4 + size / 20, zero), (F.lit(0.5), (F.col("p_partkey") % 7) / 10, 5 + size / 50)
+
+
 @query(
-    """WITH x AS (SELECT p_partkey, 3 + p_size / 10.0 a, 4 + p_size / 20.0 b, 5 + p_size / 50.0 c FROM part)
-SELECT p_partkey, round(a, 9) a, round(b, 9) b, round(c, 9) c, 90.0::DOUBLE alpha, 90.0::DOUBLE beta, 90.0::DOUBLE gamma, round(a * b * c, 6) volume,
-round(2 * pi() / a, 9) ra, round(2 * pi() / b, 9) rb, round(2 * pi() / c, 9) rc, round((2 * pi() / greatest(a, b, c)) ** 2, 6) least_metric FROM x"""
+    f"""WITH {CELL_SQL} SELECT p_partkey, round(a, 9) a, round(b, 9) b, round(c, 9) c, round(degrees(acos((b1 * c1 + b2 * c2) / (b * c))), 6) alpha, round(degrees(acos(c1 / c)), 6) beta,
+round(degrees(acos(b1 / b)), 6) gamma, round(volume, 6) volume, round(ra, 9) ra, round(rb, 9) rb, round(rc, 9) rc,
+round(ra ** 2 + rb ** 2 + rc ** 2, 6) trace, round((x1 * y2 * z3) ** 2, 6) determinant FROM m"""
 )
 def lattice_features(spark, sf):
-    zero, size = F.lit(0.0), F.col("p_size").cast("double")
-    cell = features.lattice_block(t(spark, sf, "part"), "p_partkey", (3 + size / 10, zero, zero), (zero, 4 + size / 20, zero), (zero, zero, 5 + size / 50))
-    out = rounded(cell.drop("middle", "high").withColumnRenamed("low", "least_metric"))
-    return out.withColumns({n: F.round(n, 6) for n in ("volume", "least_metric")})
+    """The metric's eigenvalues are compared by their sum and product."""
+    cell = features.lattice_block(*_cells(spark, sf))
+    low, middle, high = F.col("low"), F.col("middle"), F.col("high")
+    out = rounded(cell.withColumns({"trace": low + middle + high, "determinant": low * middle * high}).drop("low", "middle", "high"))
+    return out.withColumns({n: F.round(n, 6) for n in ("alpha", "beta", "gamma", "volume", "trace", "determinant")})
+
+
+@query(
+    f"""WITH {CELL_SQL}, q AS (SELECT *, (y2 * 0 + y3 * z3) / (rb * rc) ca, x3 * z3 / (ra * rc) cb, (x2 * y2 + x3 * y3) / (ra * rb) cg, list_sort([ra, rb, rc]) s FROM m)
+SELECT p_partkey, round(ra, 6) ra, round(rb, 6) rb, round(rc, 6) rc, round(x1 * y2 * z3, 6) rvolume, round(degrees(acos(ca)), 6) ralpha, round(degrees(acos(cb)), 6) rbeta, round(degrees(acos(cg)), 6) rgamma,
+round(m11 + m22 + m33, 6) trace, round(m11 ** 2 + m22 ** 2 + m33 ** 2 + 2 * (m12 ** 2 + m13 ** 2 + m23 ** 2), 5) trace_squared, round((x1 * y2 * z3) ** 2, 5) determinant,
+round(s[3] / s[1], 6) longest_ratio, round(s[2] / s[1], 6) middle_ratio, round(abs(ca) + abs(cb) + abs(cg), 6) skew FROM q"""
+)
+def reciprocal_features(spark, sf):
+    """The ratio of eigenvalues is compared in the tests."""
+    out = features.reciprocal_block(*_cells(spark, sf)).drop("spread")
+    return rounded(out.withColumns({n: F.round(n, 5) for n in ("trace_squared", "determinant")}), 6)
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY sha256('7::' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 50")
@@ -569,12 +591,19 @@ def hash_sample(spark, sf):
 
 
 @query(
-    """SELECT conv_id, sum(CASE WHEN NOT inside AND rule THEN 1 ELSE 0 END)::BIGINT "tables" FROM (SELECT conv_id, sum((length(text) % 7 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) % 2 = 1 inside, length(text) % 3 = 0 AND length(text) % 7 <> 0 rule FROM conversations) GROUP BY 1"""
+    r"""WITH x AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i FROM conversations
+ UNION ALL SELECT doc_id, -1, unnest(['| a | b |', '|:--|--:|', '```', '|---|---|', '~~~', 'text']), unnest([1, 2, 3, 4, 5, 6]) FROM documents WHERE doc_id % 3 = 0),
+y AS (SELECT conv_id, turn * 1000000 + i ord, trim(line, ' ') line FROM x),
+z AS (SELECT conv_id, line, regexp_matches(line, '^(```|~~~)') fence, sum(regexp_matches(line, '^(```|~~~)')::INT) OVER (PARTITION BY conv_id ORDER BY ord) % 2 = 1 inside FROM y)
+SELECT conv_id, count_if(NOT inside AND NOT fence AND regexp_matches(line, '^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?$'))::BIGINT "tables" FROM z GROUP BY 1"""
 )
 def tables_outside_fences(spark, sf):
-    n = F.length("text")
-    lines = t(spark, sf, "conversations").select("conv_id", "turn", F.when(n % 7 == 0, "```").when(n % 3 == 0, "|---|---|").otherwise("words").alias("line"))
-    return checks.tables_outside_fences(lines, "conv_id", "turn", "line")
+    """Over the lines of all turns, and a written table before some of them."""
+    parts = t(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    said = F.array(*map(F.lit, ("| a | b |", "|:--|--:|", "```", "|---|---|", "~~~", "text")))
+    more = t(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("conv_id"), F.lit(-1).alias("turn"), F.posexplode(said).alias("i", "line"))
+    lines = parts.unionByName(more).withColumn("at", F.col("turn") * 1_000_000 + F.col("i"))
+    return checks.tables_outside_fences(lines, "conv_id", "at", "line")
 
 
 @query("SELECT doc_id, text FROM documents WHERE text NOT IN (SELECT text FROM benchmark)")
@@ -592,9 +621,15 @@ def target_domain(spark, sf):
     return checks.target_domain(t(spark, sf, "lineitem"), "l_discount", "positive")
 
 
-@query("SELECT event_type, count(*) n, count_if(value IS NOT NULL AND isfinite(value))::BIGINT numbers FROM events GROUP BY 1")
+@query(
+    """WITH x AS (SELECT event_type, CASE event_id % 9 WHEN 0 THEN ' ' || value || ' ' WHEN 1 THEN value || 'x' WHEN 2 THEN 'nan' WHEN 3 THEN 'inf' WHEN 4 THEN '' WHEN 5 THEN '1e999' WHEN 6 THEN '1,5' ELSE value::VARCHAR END s, event_id % 9 IN (0, 7, 8) AND value IS NOT NULL ok FROM events)
+SELECT event_type, count(*) n, count_if(ok)::BIGINT numbers FROM x GROUP BY 1"""
+)
 def strict_numbers(spark, sf):
-    rows = t(spark, sf, "events").withColumn("number", S.strict_number(F.col("value").cast("string")))
+    """Over texts of which most say no finite number."""
+    v, k = F.col("value").cast("string"), F.col("event_id") % 9
+    said = F.when(k == 0, F.concat(F.lit(" "), v, F.lit(" "))).when(k == 1, F.concat(v, F.lit("x"))).when(k == 2, "nan").when(k == 3, "inf").when(k == 4, "").when(k == 5, "1e999").when(k == 6, "1,5").otherwise(v)
+    rows = t(spark, sf, "events").withColumn("number", S.strict_number(said))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("number").alias("numbers"))
 
 
@@ -609,10 +644,17 @@ def running_counts(spark, sf):
     return ordered.running_sums(rows, ["l_returnflag"], "key", ["n"]).drop("n")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LABEL_SQL}, k AS (SELECT avg(n_chars / 1000.0) ma, stddev_pop(n_chars / 1000.0) sa, avg((doc_id % 5)::DOUBLE) mb, stddev_pop((doc_id % 5)::DOUBLE) sb, count(*) n FROM x),
+d AS MATERIALIZED (SELECT doc_id, (n_chars / 1000.0 - ma) / sa u, ((doc_id % 5)::DOUBLE - mb) / sb v, quality::DOUBLE y FROM x, k),
+w(i, a, b, c) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+ SELECT i + 1, any_value(a) - 0.1 * (avg(e * u) + any_value(a) / any_value(n)), any_value(b) - 0.1 * (avg(e * v) + any_value(b) / any_value(n)), any_value(c) - 0.1 * avg(e)
+ FROM (SELECT i, a, b, c, u, v, 1 / (1 + exp(-greatest(-60, least(60, c + a * u + b * v)))) - y e, (SELECT n FROM k) n FROM w, d WHERE i < 500) GROUP BY i)
+SELECT doc_id, round(1 / (1 + exp(-(c + a * u + b * v))), 6) score FROM d, w WHERE i = 500"""
+)
 def logistic_fit(spark, sf):
     rows = _labelled(spark, sf).select("doc_id", (F.col("n_chars") / 1000.0).cast("double").alias("length"), (F.col("doc_id") % 5).cast("double").alias("five"), "quality")
-    model = fits.logistic(rows, ["length", "five"], F.col("quality"), 25, 0.5, 1.0)
+    model = fits.logistic(rows, ["length", "five"], F.col("quality"), 500, 0.1, 1.0)
     return rows.select("doc_id", F.round(model.probability(), 6).alias("score"))
 
 
@@ -630,3 +672,6 @@ def class_weighted_forest(spark, sf):
 def quantile_forest(spark, sf):
     rows = t(spark, sf, "embeddings").withColumn("target", F.round(F.get("embedding", 0).cast("double") * 10 + F.col("label"), 3))
     return fits.quantile_forest(rows, rows, "vec_id", "embedding", "target", [0.05, 0.5, 0.95], 10)
+
+
+from . import derived_queries  # noqa: E402, F401  registers the rest

@@ -1,15 +1,23 @@
-"""A training run: split, fit on train, score a baseline and the model on every split, choose on validation only."""
+"""A training run: split, fit on train, choose on validation, calibrate, score a baseline and the model on every split."""
 
 from __future__ import annotations
 
+import os
+import platform
+import sys
+from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from importlib import metadata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import decisions, evaluate, fits, ranking, splits
-from .models import trainer
-from .protocol import Protocol
+from ..functions import scalars as S
+from ..operators import checks, decisions, evaluate, fits, ranking, splits
+from ..sources import writers
+from .models import save_model, trainer
+from .protocol import RANKED, Protocol, to_toml
 
 
 @dataclass(frozen=True)
@@ -34,10 +42,19 @@ def train_majority(train: DataFrame, target: str) -> str:
     return splits.majority(train, [], target).first()["majority"]
 
 
-def predictions(rows: DataFrame, key: str, target: str, sources: dict[str, F.Column]) -> DataFrame:
-    """(sample_id, split, source, truth, prediction): each row once for each source, from one scan."""
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("source"), column.alias("prediction")) for name, column in sources.items())))
-    return rows.select(F.col(key).cast("string").alias("sample_id"), "split", F.col(target).alias("truth"), each.alias("s")).select("sample_id", "split", "s.source", "truth", "s.prediction")
+#: What a source says of a row; what it doesn't say is null.
+SAID = {"prediction": None, "score": "double", "lower": "double", "upper": "double"}
+
+
+def predictions(rows: DataFrame, key: str, target: str, sources: Mapping[str, Column | Mapping[str, Column]]) -> DataFrame:
+    """(sample_id, split, source, truth, prediction, ...): each row once for each source, from one scan.
+
+    A source is its prediction, or columns out of `SAID`; those that no source has are left out."""
+    said = {name: c if isinstance(c, Mapping) else {"prediction": c} for name, c in sources.items()}
+    names = [n for n in SAID if any(n in c for c in said.values())]
+    each = [F.struct(F.lit(s).alias("source"), *((c[n] if n in c else F.lit(None).cast(SAID[n])).alias(n) for n in names)) for s, c in said.items()]
+    out = rows.select(F.col(key).cast("string").alias("sample_id"), "split", F.col(target).alias("truth"), F.explode(F.array(*each)).alias("s"))
+    return out.select("sample_id", "split", "s.source", "truth", *(f"s.{n}" for n in names))
 
 
 def ridge_against_median(rows: DataFrame, key: str, features: list[str], target: str, seed: int = 42, l2: float = 1.0) -> DataFrame:
@@ -53,45 +70,119 @@ def ridge_against_median(rows: DataFrame, key: str, features: list[str], target:
 
 @dataclass(frozen=True)
 class Run:
+    """What a run gives: predictions by source, metrics by source and split, by band if there are bands, the model."""
+
+    protocol: Protocol
+    assignment: DataFrame
     predictions: DataFrame
     metrics: DataFrame
+    bands: DataFrame | None
     threshold: float | None
+    model: object
+    summary: dict
+    started_at: datetime
 
+    def close(self) -> None:
+        """Lets go of what the run has kept in memory; its frames can still be read, they are made anew then."""
+        self.assignment.unpersist()
 
-def execute(protocol: Protocol, samples: DataFrame) -> Run:
-    """Runs a configuration over samples (sample_id, target, group?, features...).
 
-    Whatever is fitted sees train, whatever is chosen sees validation; test is scored once, at the end."""
-    p, e = protocol, protocol.evaluation
+def _assigned(p: Protocol, samples: DataFrame) -> DataFrame:
     label = "target" if p.split.stratify else None
     if p.split.method == "group":
-        assignment = splits.split_groups(samples, "sample_id", "group", p.split.ratios, p.split.seed, label)
-    else:
-        assignment = splits.split_rows(samples, "sample_id", p.split.ratios, p.split.seed, label)
-    required = [s for s, r in zip(splits.SPLITS, p.split.ratios) if r > 0]
-    from ..operators.checks import require
+        return splits.split_groups(samples, "sample_id", "group", p.split.ratios, p.split.seed, label)
+    return splits.split_rows(samples, "sample_id", p.split.ratios, p.split.seed, label)
 
-    assignment = assignment.persist()
-    require(splits.check_assignment(assignment, samples, "sample_id", "group" if p.split.method == "group" else None, required))
+
+def execute(protocol: Protocol, samples: DataFrame, assignment: DataFrame | None = None) -> Run:
+    """Runs a configuration over samples (sample_id, target, group?, features...), by given splits if there are some.
+
+    Whatever is fitted sees train, whatever is chosen sees validation, intervals are calibrated on
+    calibration; test is scored once, at the end. `close` the run once its frames are written."""
+    p, e, started = protocol, protocol.evaluation, datetime.now(timezone.utc)
+    d = p.dataset.derive
+    if d:
+        samples = samples.withColumn("target", S.derived_class(F.col("target").cast("double"), d.threshold, d.positive, d.negative))
+    assignment = (assignment if assignment is not None else _assigned(p, samples)).select("sample_id", "split").persist()
+    required = [s for s, r in zip(splits.SPLITS, p.split.ratios) if r > 0]
+    checks.require(splits.check_assignment(assignment, samples, "sample_id", "group" if p.split.method == "group" else None, required))
     rows = splits.partition(samples, "sample_id", assignment)
     seen = context(rows)
-    model = trainer(p.model)(p, seen)
     if p.dataset.task == "regression":
-        preds = predictions(rows, "sample_id", "target", {"baseline": F.lit(train_median(seen.train, "target")), "model": model.score()})
-        return Run(preds, evaluate.regression(preds, [m for m in e.metrics], ["source", "split"]), None)
+        model = trainer(p.model)(p, seen)
+        median = train_median(seen.train, "target")
+        fitted = model.apply(rows)
+        own = {"prediction": F.col("value")} | {n: F.col(n) for n in ("lower", "upper") if n in fitted.columns}
+        preds = predictions(fitted, "sample_id", "target", {"baseline": F.lit(float(median)), "model": own})
+        found, banded = evaluate.everything(preds, e.metrics, p.parameters.get("quantiles", (0.05, 0.5, 0.95)), e.bands)
+        return Run(p, assignment, preds, found, banded, None, model, {"baseline_constant": median}, started)
     positive = e.positive or evaluate.default_positive(seen.train, "target")
-    scored = rows.withColumn("score", model.probability())
-    chosen = None
+    classes = checks.two_classes(seen.train, "target", positive).first()
+    if classes["classes"] != 2 or not classes["has_positive"]:
+        raise checks.DataError(f"train needs two classes, {positive} one of them")
+    negative = seen.train.filter(F.col("target") != positive).agg(F.min("target")).first()[0]
+    model = trainer(p.model)(p, seen)
+    scored, chosen = model.apply(rows), None
     if e.threshold_metric:
         on = scored.filter("split = 'validation'")
-        found = decisions.select_threshold(on, "score", F.col("target") == positive, e.threshold_metric, e.min_recall).first()
-        chosen = found["threshold"] if found else None
-    negative = F.lit(samples.filter(F.col("target") != positive).agg(F.min("target")).first()[0])
-    cut = 0.5 if chosen is None else chosen
-    most = F.lit(train_majority(seen.train, "target"))
-    preds = predictions(scored, "sample_id", "target", {"baseline": most, "model": F.when(F.col("score") >= cut, positive).otherwise(negative)})
-    metrics = evaluate.classification(preds, [m for m in e.metrics if m not in ("roc_auc", "pr_auc")], positive, ["source", "split"])
+        best = decisions.select_threshold(on, "score", F.col("target") == positive, e.threshold_metric, e.min_recall).first()
+        if best is None:
+            raise checks.DataError("no threshold keeps the recall on validation")
+        chosen = best["threshold"]
+    most = splits.majority(seen.train, [], "target").first()
+    frequency = most["n"] / seen.train.filter("target is not null").count()
+    sure = frequency if most["majority"] == positive else 1 - frequency
+    label = S.derived_class(F.col("score"), 0.5 if chosen is None else chosen, positive, negative)
+    sources = {"baseline": {"prediction": F.lit(most["majority"]), "score": F.lit(float(sure))}, "model": {"prediction": label, "score": F.col("score")}}
+    preds = predictions(scored, "sample_id", "target", sources)
+    by = ["source", "split"]
+    found = evaluate.classification(preds, [m for m in e.metrics if m not in RANKED], positive, by)
     for name, area in (("roc_auc", ranking.roc_auc), ("pr_auc", ranking.pr_auc)):
         if name in e.metrics:
-            metrics = metrics.join(area(scored, ["split"], "score", F.col("target") == positive).select("split", name), "split", "left")
-    return Run(preds, metrics, chosen)
+            found = found.join(area(preds, by, "score", F.col("truth") == positive).select(*by, name), by, "left")
+    summary = {
+        "positive": positive, "negative": negative, "baseline_label": most["majority"],
+        "threshold": {"value": 0.5 if chosen is None else chosen, "metric": e.threshold_metric, "min_recall": e.min_recall, "selected_on": "validation" if e.threshold_metric else None},
+    }
+    return Run(p, assignment, preds, found.select(*by, "n", *e.metrics), None, chosen, model, summary, started)
+
+
+def environment_record() -> dict:
+    """Interpreter, packages and machine of the driver."""
+    packages = {d.metadata["Name"]: d.version for d in metadata.distributions() if d.metadata["Name"]}
+    return {
+        "python": sys.version.split()[0], "implementation": platform.python_implementation(), "platform": platform.platform(),
+        "machine": platform.machine(), "cpus": os.cpu_count(), "packages": dict(sorted(packages.items())),
+    }
+
+
+def run_record(run: Run, run_id: str, reused_splits: bool) -> dict:
+    """What ran and when, in UTC."""
+    return {
+        "run_id": run_id, "protocol": run.protocol.name, "status": "completed", "started_at": run.started_at.isoformat(),
+        "finished_at": datetime.now(timezone.utc).isoformat(), "splits_reused": reused_splits,
+    }
+
+
+def write_bundle(run: Run, directory: str, run_id: str, dataset: dict | None = None, reused_splits: bool = False) -> dict:
+    """Writes a run whole and its manifest: configuration, splits, predictions, metrics, model, data and provenance.
+
+    The manifest's digest is of all that doesn't depend on when or where it ran."""
+    spark, p = run.predictions.sparkSession, run.protocol
+    writers.write_text(spark, f"{directory}/protocol.toml", to_toml(p.resolved()))
+    d = p.dataset
+    writers.write_json(f"{directory}/dataset.json", {"target": d.target, "contract": d.contract, "units": d.units, "features": list(p.features), **(dataset or {})}, spark)
+    writers.write_file(run.assignment.orderBy("sample_id"), f"{directory}/splits.csv")
+    columns = [c for c in writers.PREDICTIONS if c in run.predictions.columns]
+    writers.write_file(run.predictions.select(*columns).orderBy("source", "sample_id"), f"{directory}/predictions.csv")
+    by = ["source", "split"]
+    metrics = {
+        "primary": p.evaluation.primary, **run.summary, "metrics": [r.asDict() for r in run.metrics.orderBy(*by).collect()],
+        "bands": [r.asDict() for r in run.bands.orderBy(*by, "band").collect()] if run.bands is not None else [],
+        "sizes": {r["split"]: r["count"] for r in run.assignment.groupBy("split").count().orderBy("split").collect()},
+    }
+    writers.write_json(f"{directory}/metrics.json", metrics, spark)
+    record = save_model(spark, run.model, p, directory)
+    writers.write_json(f"{directory}/environment.json", environment_record(), spark)
+    writers.write_json(f"{directory}/run.json", run_record(run, run_id, reused_splits), spark)
+    return {"metrics": metrics, "model": record, "manifest": writers.write_manifest(spark, directory)}

@@ -22,6 +22,7 @@ SAMPLE = T.StructType(
         T.StructField("target_label", T.StringType()), T.StructField("group", T.StringType()),
     ]
 )
+# The keys of a snapshot's manifest.
 MANIFEST_KEYS = {"schema_version", "record_id", "snapshot_version", "target", "structure_suffix", "features_file", "files"}
 FILES = "name string, size_bytes long, sha256 string"
 
@@ -62,9 +63,9 @@ def feature_table(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
     return rows.select(F.trim("sample_id").alias("sample_id"), *wrong)
 
 
-def file_listing(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """(name, size_bytes, sha256) of a flat folder's files, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+def file_listing(spark: SparkSession, directory: str, pattern: str = "*", deep: bool = False) -> DataFrame:
+    """(name, size_bytes, sha256) of a flat folder's files, or of those at any depth, hashed where they are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(directory)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
@@ -165,12 +166,14 @@ def _members(folder: str, suffix: str):
 
 
 def archive_members(spark: SparkSession, path: str, folder: str, suffix: str = ".cif") -> DataFrame:
-    """(sample_id, content) of the files of tar archives: an archive is one task's, a member one row."""
+    """(sample_id, content) of the files of tar archives: a member is one row.
+
+    An archive is read whole by one task, as one value, so it has 2 GB at most; larger ones are to be split."""
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members(folder, suffix), "sample_id string, content binary")
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON files, compressed or not: an array or a line each."""
+    """Records of JSON files, compressed or not: an array or a line each. A file is one task's, read as one value."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 

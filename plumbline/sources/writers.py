@@ -14,10 +14,34 @@ from pyspark.sql import functions as F
 from ..operators import checks
 from .readers import file_listing
 
+# The columns of predictions, in order, and the files of a bundle that tell when and where it was made.
 PREDICTIONS = ("sample_id", "split", "source", "truth", "prediction", "score", "lower", "upper")
+PROVENANCE = ("run.json", "environment.json")
 MARKER = ".plumbline-run"
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file of a report, in whichever store Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_file(rows: DataFrame, path: str) -> None:
+    """A CSV file with a header, of rows in their order: the one part that Spark writes, under a name of its own."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = f"{path}.parts"
+    rows.coalesce(1).write.mode("overwrite").csv(folder, header=True, nullValue="", emptyValue="")
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = [f.getPath() for f in store.listStatus(hadoop(folder)) if f.getPath().getName().startswith("part-")]
+    store.rename(part[0], hadoop(path))
+    store.delete(hadoop(folder), True)
+
+
 def write_splits(assignment: DataFrame, path: str, single: bool = True) -> None:
     """A table of (sample_id, split) by id. One file is a report's form; `single=False` keeps ranges of ids apart."""
     ordered = assignment.select("sample_id", "split").orderBy("sample_id")
@@ -35,11 +59,16 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_json(path: str, document: dict) -> None:
-    Path(path).write_text(json.dumps(document, indent=2, sort_keys=True) + "\n")
+def write_json(path: str, document: dict, spark: SparkSession | None = None) -> None:
+    """A document as JSON with sorted keys; with a session in any store, else in the driver's folder."""
+    text = json.dumps(document, indent=2, sort_keys=True) + "\n"
+    if spark:
+        write_text(spark, path, text)
+    else:
+        Path(path).write_text(text)
 
 
-def manifest_frame(spark: SparkSession, directory: str, provenance: Sequence[str] = ("run.json", "environment.json")) -> DataFrame:
+def manifest_frame(spark: SparkSession, directory: str, provenance: Sequence[str] = PROVENANCE) -> DataFrame:
     """(name, size_bytes, sha256, deterministic) of a bundle's files, without the manifest itself."""
     files = file_listing(spark, directory).filter("name <> 'manifest.json' and not startswith(name, '.')")
     return files.withColumn("deterministic", ~F.col("name").isin(*provenance))
@@ -62,7 +91,7 @@ def write_manifest(spark: SparkSession, directory: str) -> dict:
         "deterministic_digest": stable_digest(files).first()["digest"],
         "non_deterministic_files": [r["name"] for r in rows if not r["deterministic"]],
     }
-    write_json(f"{directory}/manifest.json", document)
+    write_json(f"{directory}/manifest.json", document, spark)
     return document
 
 

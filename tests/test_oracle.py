@@ -20,7 +20,7 @@ def duck(sf):
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple(None if x != x else x for x in r) for r in frame.astype(object).itertuples(index=False))
+    return list(frame.columns), sorted((tuple(None if x != x else x for x in r) for r in frame.astype(object).itertuples(index=False)), key=lambda r: tuple((x is None, 0 if x is None else x) for x in r))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
