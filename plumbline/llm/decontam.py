@@ -17,8 +17,9 @@ SPAN = 13
 GRAM = 8
 #: Consecutive k-grams of which the least is kept: any shared SPAN words then share a fingerprint.
 WINNOW = SPAN - GRAM + 1
-#: Bytes of benchmark text in one index that all tasks hold; a larger benchmark is worked off in slices.
-SLICE = 32 << 20
+#: Bytes of distinct benchmark texts and their ids in one index that all tasks hold; a larger benchmark is worked
+#: off in slices. An index takes some three times its texts: their words, where each begins, and fingerprints.
+SLICE = 16 << 20
 REMEMBERED = 200_000
 
 # A-Z become lower case, other ASCII characters but digits and a-z become spaces.
@@ -75,51 +76,74 @@ def winnowed(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of some benchmark texts: winnowed k-grams of long ones, the whole of short ones."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]]) -> None:
-        ids: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item_id, text in items:
-            if words := tuple(words_of(text)):
-                ids[words] |= {item_id} - {None}
-        self.words = list(ids)
-        self.ids = [sorted(ids[w]) for w in self.words]
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, words in enumerate(self.words):
+    """Fingerprints of some benchmark texts: winnowed k-grams of long ones, the whole of short ones.
+
+    All words stand one after the other in one string, with an array of where each begins. Fingerprints are
+    sorted arrays, for each length of grams: hash, item, and place in the item."""
+
+    def __init__(self, items: list[tuple[list[str], str | None]]) -> None:
+        self.ids: list[list[str]] = []
+        texts, lengths, counts = [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for ids, text in items:
+            if not (words := words_of(text)):
+                continue
             k = GRAM if len(words) >= SPAN else len(words)
-            hashes = gram_hashes(list(words), k)
-            for q in winnowed(hashes) if len(words) >= SPAN else [0]:
-                places[k if len(words) < SPAN else 0][int(hashes[q])].append((i, int(q)))
-        self.places = {k: dict(v) for k, v in places.items()}
-        self.keys = {k: np.array(sorted(v), np.uint64) for k, v in self.places.items()}
+            hashes = gram_hashes(words, k)
+            at = winnowed(hashes) if len(words) >= SPAN else np.zeros(1, np.int64)
+            found[k if len(words) < SPAN else 0].append((hashes[at], np.full(len(at), len(self.ids), np.int32), at.astype(np.int32)))
+            self.ids.append(sorted(i for i in ids if i is not None))
+            texts.append(b" ".join(words))
+            counts.append(len(words))
+            lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
+        self.blob = b" ".join(texts)
+        # a space is between any two words
+        self.begins = np.concatenate(([0], np.cumsum(np.concatenate(lengths) + 1, dtype=np.int64))) if lengths else np.zeros(1, np.int64)
+        self.first = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        self.tables = {}
+        for k, parts in found.items():
+            hashes, item, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            self.tables[k] = hashes[order], item[order], place[order]
+
+    def size(self) -> int:
+        """Bytes of its arrays and words."""
+        return len(self.blob) + self.begins.nbytes + self.first.nbytes + sum(a.nbytes for t in self.tables.values() for a in t)
 
     def _hits(self, words: list[bytes]):
         """(place, item, place in the item) of each fingerprint that the words share."""
-        for k, keys in self.keys.items():
+        for k, (keys, item, place) in self.tables.items():
             hashes = gram_hashes(words, k or GRAM)
             at = np.arange(len(hashes)) if k else winnowed(hashes)
             some = hashes[at]
-            where = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
-            for p in at[keys[where] == some].tolist():
-                for i, q in self.places[k][int(hashes[p])]:
+            low = np.searchsorted(keys, some)
+            there = keys[np.minimum(low, len(keys) - 1)] == some
+            for p, a, b in zip(at[there].tolist(), low[there].tolist(), np.searchsorted(keys, some[there], "right").tolist()):
+                for i, q in zip(item[a:b].tolist(), place[a:b].tolist()):
                     yield p, i, q
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The spans of words (start, end) that are in an occurring window, and the items that have one."""
         spans, items, done = [], set(), {}
+        blob, begins = self.blob, self.begins
         for p, i, q in self._hits(words):
             if p < done.get((i, p - q), 0):
                 continue
-            other = self.words[i]
-            need = min(SPAN, len(other))
+            first = int(self.first[i])
+            length = int(self.first[i + 1]) - first
+
+            def same(at: int, place: int) -> bool:
+                begin = begins[first + place]
+                return words[at] == blob[begin : begins[first + place + 1] - 1]
+
             a, b = p, q
-            while a and b and words[a - 1] == other[b - 1]:
+            while a and b and same(a - 1, b - 1):
                 a, b = a - 1, b - 1
-            end, stop = p, min(len(words), p - q + len(other))
-            while end < stop and words[end] == other[end - p + q]:
+            end, stop = p, min(len(words), p - q + length)
+            while end < stop and same(end, end - p + q):
                 end += 1
             done[i, p - q] = max(end, p + 1)
-            if end - a >= need and end > p:
+            if end - a >= min(SPAN, length) and end > p:
                 spans.append((a, end))
                 items.update(self.ids[i])
         return spans, items
@@ -154,14 +178,16 @@ def _search(index):
 def search(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
     """`docs` with a column `found`: number of words, hit spans of words (start, end, ...) and items, as text.
 
-    The texts of the benchmark (item_id, text) are read once for their size. An index of one slice, of
-    `slice_bytes` of text or about that, is sent to all tasks; a benchmark of more is cut by the hash of
-    its texts, and documents meet one slice after another, with what was found so far written in between.
-    Null texts have no words. Items without words have no windows. Rows of one item_id are texts of one
-    item; an item without an id hits words but can't be named."""
+    Texts of the benchmark (item_id, text) are made distinct, each with its ids, and measured. An index of
+    one slice, of `slice_bytes` or about that, is sent to all tasks; a benchmark of more is cut by the hash
+    of its texts, and documents meet one slice after another, with what was found so far written in
+    between. Null texts have no words. Items without words have no windows. Rows of one item_id are texts
+    of one item; an item without an id hits words but can't be named."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), "text").filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string"), "text").filter("text is not null").groupBy("text").agg(F.collect_set("item_id").alias("ids"))
+    items = written(items.select("ids", "text"), "decontam-items")
+    ids = F.aggregate("ids", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+    size = items.agg(F.sum(F.octet_length("text") + ids)).first()[0] or 0
     slices = max(1, math.ceil(size / slice_bytes))
     out = docs.withColumn("found", F.lit(None).cast(f"struct<{', '.join(':'.join(c.split()) for c in FOUND.split(', '))}>"))
     nothing = F.array().cast("array<int>"), F.array().cast("array<string>")
