@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .toxicity import labelled_sample
 
-#: Hashed unigrams and bigrams share so many buckets.
-BUCKETS = 1 << 14
+#: Hashed unigrams and bigrams share so many buckets: one for each `BYTES` of all texts, in a power of two between
+#: these. The most bounds what a task shuffles and what all tasks hold, 2 MB.
+BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 14, 1 << 18
 #: Labelled rows of good quality that the target model is fitted on, at most.
 SAMPLE = 20_000
 #: Added to each bucket's count.
@@ -39,32 +40,49 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def buckets(text: str | None) -> np.ndarray:
-    """The bucket of each word and of each two consecutive words; words are parted by ASCII white space, A-Z lowered."""
+def bucket_count(docs: DataFrame) -> int:
+    """How many buckets the models of these texts have: it grows with them."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, (size // BYTES) - 1).bit_length()))
+
+
+def buckets(text: str | None, n: int) -> np.ndarray:
+    """The bucket, out of n, of each word and of each two consecutive words; words are parted by ASCII white space, A-Z lowered."""
     words = text.encode().lower().split() if text else []
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     pairs = h[:-1] * ODD + h[1:]
     pairs ^= pairs >> np.uint64(31)
-    return (np.concatenate((h, pairs * ODD)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return (np.concatenate((h, pairs * ODD)) >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+
+
+def _counter(n: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                found, times = np.unique(buckets(text, n), return_counts=True)
+                total[found] += times
+        there = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": there, "n": total[there]})
+
+    return count
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(BUCKETS, np.int64)
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for text in batch["text"]:
-            total += np.bincount(buckets(text), minlength=BUCKETS)
-    yield pd.DataFrame({"bucket": np.arange(BUCKETS), "n": total})
+        yield pd.DataFrame({"bucket": [batch["bucket"].to_numpy("<i4").tobytes()], "n": [batch["n"].to_numpy("<i8").tobytes()]})
 
 
-def model(docs: DataFrame) -> np.ndarray:
-    """The smoothed log probability of each bucket over all texts of `docs`.
+def model(docs: DataFrame, n: int) -> np.ndarray:
+    """The smoothed log probability of each of n buckets over all texts of `docs`.
 
-    A task counts what it reads in one array, so a bucket and task make one row of the shuffle."""
-    counts = docs.select("text").mapInPandas(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    n = np.full(BUCKETS, SMOOTHING)
-    for r in counts:
-        n[r["bucket"]] += r["n"]
-    return np.log(n / n.sum())
+    A task counts what it reads in one array, so a bucket and task make one row of the shuffle; sums come
+    to the driver as packed arrays, 12 bytes for each bucket."""
+    counts = docs.select("text").mapInPandas(_counter(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    total = np.full(n, SMOOTHING)
+    for r in counts.mapInPandas(_packed, "bucket binary, n binary").collect():
+        total[np.frombuffer(r["bucket"], "<i4")] += np.frombuffer(r["n"], "<i8")
+    return np.log(total / total.sum())
 
 
 def weigh(docs: DataFrame, target: np.ndarray, raw: np.ndarray, seed: int = SEED) -> DataFrame:
@@ -76,7 +94,7 @@ def weigh(docs: DataFrame, target: np.ndarray, raw: np.ndarray, seed: int = SEED
 
     def log_weight(texts: pd.Series) -> pd.Series:
         r = ratio.value
-        return pd.Series([float(r[buckets(t)].sum()) for t in texts], dtype="float64")
+        return pd.Series([float(r[buckets(t, len(r))].sum()) for t in texts], dtype="float64")
 
     log_weight.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     noise = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
@@ -112,8 +130,8 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
     importance weights. Rows that tie with the last one selected are selected too, so that repeated rows
     fare alike. Null and empty texts have log weight 0; an empty target tells nothing, and then all log
     weights are 0. Scores are written once; texts are read for the models and for the scores."""
-    raw = model(docs)
-    wanted = model(target)
+    n = bucket_count(docs)
+    raw, wanted = model(docs, n), model(target, n)
     if np.ptp(wanted) == 0:
         wanted = raw
     keyed = weigh(docs.select("doc_id", "text"), wanted, raw, seed)
