@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import exact, longs, new_path, numbers, table
 
 # Fixed values of the template: what begins a turn, what ends it, and the sign that escapes both in texts.
 BEGIN, END, ESCAPE = "### ", "</turn>", "\\"
@@ -54,26 +54,32 @@ def parse_turn(formatted: str) -> tuple[str | None, str]:
     return None if role == ESCAPE + "0" else unescape(role), unescape(formatted[at + 2 : -len(END) - 1])
 
 
+def _frame(rows: list[tuple], schema: str, *nullable: str) -> pd.DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pd.DataFrame({n: longs(list(c)) if n in nullable else pd.Series(c, dtype=None if c else object) for n, c in zip(names, columns)})
+
+
 def _format(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come ordered by conversation and turn; what a task remembers is a position and two counts."""
     now, place, example = object(), 0, 0
     for batch in batches:
         rows = []
-        for conv_id, turn, role, text in zip(batch["conv"].astype("Int64"), batch["turn"].astype("Int64"), batch["role"], batch["text"]):
-            conv = None if conv_id is pd.NA else int(conv_id)
+        for conv, turn, role, text in zip(numbers(batch["conv"]), numbers(batch["turn"]), batch["role"], batch["text"]):
             if conv != now:
                 now, place, example = conv, 0, 0
             formatted, start, length = format_turn(role, text)
             trained = role == TRAINED
-            rows.append((conv_id, turn, role, formatted, start, length, place, example if trained else pd.NA))
+            rows.append((conv, turn, role, formatted, start, length, place, example if trained else None))
             place += len(formatted)
             example += trained
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in TURNS.split(", ")]).astype({"conv_id": "Int64", "turn": "Int64", "example": "Int64"})
+        yield _frame(rows, TURNS, "conv_id", "turn", "example")
 
 
-def _ordered(rows: DataFrame, *order: str) -> DataFrame:
+def _ordered(rows: DataFrame, *order: str, ids: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """Rows of a conversation together and in order; ids as texts, on their way to Python."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, order[0]).sortWithinPartitions(*order)
+    return rows.repartition(n, order[0]).sortWithinPartitions(*order).select(*exact(*ids), *(c for c in rows.columns if c not in ids))
 
 
 def write_examples(conversations: DataFrame, path: str) -> None:
@@ -87,7 +93,7 @@ def write_examples(conversations: DataFrame, path: str) -> None:
     Rows are (conv_id, turn, role, text): a null text is empty; turns of equal numbers are ordered by
     role and text; a null conv_id is a conversation of its own, a null turn comes first."""
     rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
-    turns = _ordered(rows, "conv", "turn", "role", "text").mapInPandas(_format, TURNS)
+    turns = _ordered(rows, "conv", "turn", "role", "text", ids=("conv", "turn")).mapInPandas(_format, TURNS)
     turns.write.parquet(path)
 
 
@@ -121,32 +127,30 @@ HANDED = 1 << 22
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Turns come ordered; each reply hands on all turns before it, then itself with its mask."""
-    names = [c.split()[0] for c in PIECES.split(", ")]
     now, rows, chars = object(), [], 0
 
     def handed() -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+        return _frame(rows, PIECES, "conv_id")
 
     with tempfile.SpooledTemporaryFile(REMEMBERED) as before:
         for batch in batches:
-            for conv_id, formatted, start, length, example in zip(
-                batch["conv_id"].astype("Int64"), batch["formatted"], batch["text_start"], batch["text_length"], batch["example"].astype("Int64")
+            for conv, formatted, start, length, example in zip(
+                numbers(batch["conv_id"]), batch["formatted"], batch["text_start"], batch["text_length"], numbers(batch["example"])
             ):
-                conv = None if conv_id is pd.NA else int(conv_id)
                 if conv != now:
                     now, n = conv, 0
                     before.seek(0)
                     before.truncate()
-                if example is not pd.NA:
+                if example is not None:
                     before.seek(0)
                     for position in range(n):
                         piece = before.read(int.from_bytes(before.read(8), "big")).decode()
-                        rows.append((conv_id, int(example), position, piece, 0, 0))
+                        rows.append((conv, example, position, piece, 0, 0))
                         chars += len(piece)
                         if chars >= HANDED:
                             yield handed()
                             rows, chars = [], 0
-                    rows.append((conv_id, int(example), n, formatted, start, length))
+                    rows.append((conv, example, n, formatted, start, length))
                     chars += len(formatted)
                 before.seek(0, 2)
                 data = formatted.encode()
@@ -161,7 +165,7 @@ def write_expanded(turns: DataFrame, path: str) -> None:
 
     Only the mask's characters are trainable: those of the last piece from `mask_start` on. A long context
     is many rows, none of which is longer than a turn."""
-    _ordered(turns.select("conv_id", "turn_start", "formatted", "text_start", "text_length", "example"), "conv_id", "turn_start").mapInPandas(_expand, PIECES).write.parquet(path)
+    _ordered(turns.select("conv_id", "turn_start", "formatted", "text_start", "text_length", "example"), "conv_id", "turn_start", ids=("conv_id", "example")).mapInPandas(_expand, PIECES).write.parquet(path)
 
 
 def read_expanded(spark: SparkSession, path: str) -> DataFrame:
@@ -172,22 +176,27 @@ LOSSES = "c long, loss_chars long, loss_sha256 string, n_examples long"
 
 
 def _loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    now, state = object(), None
+    now, state, rows = object(), None, []
+
+    def closed() -> None:
+        if state:
+            rows.append((now, state[0], state[1].hexdigest(), state[2]))
+
     for batch in batches:
-        rows = []
-        for conv_id, piece, start, length in zip(batch["conv_id"].astype("Int64"), batch["piece"], batch["mask_start"], batch["mask_length"]):
-            conv = None if conv_id is pd.NA else int(conv_id)
+        for conv, piece, start, length in zip(numbers(batch["conv_id"]), batch["piece"], batch["mask_start"], batch["mask_length"]):
             if conv != now:
-                if state:
-                    rows.append((pd.NA if now is None else now, state[0], state[1].hexdigest(), state[2]))
+                closed()
                 now, state = conv, [0, hashlib.sha256(), 0]
             masked = unescape(piece[start : start + length])
             state[0] += len(masked)
             state[1].update(masked.encode())
             state[2] += 1
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LOSSES.split(", ")]).astype({"c": "Int64"})
-    if state:
-        yield pd.DataFrame([(pd.NA if now is None else now, state[0], state[1].hexdigest(), state[2])], columns=[c.split()[0] for c in LOSSES.split(", ")]).astype({"c": "Int64"})
+        if rows:
+            yield _frame(rows, LOSSES, "c")
+            rows = []
+    closed()
+    if rows:
+        yield _frame(rows, LOSSES, "c")
 
 
 def example_digests(turns: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -205,20 +214,18 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in DIGESTS.split(", ")]
     now, state = object(), None
     rows: list[tuple] = []
 
     def closed() -> None:
         if state:
             n, turns, chars, loss, formatted, n_examples = state
-            rows.append((pd.NA if now is None else now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, n_examples))
+            rows.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, n_examples))
 
     for batch in batches:
-        for conv_id, formatted, start, length, example in zip(
-            batch["conv_id"].astype("Int64"), batch["formatted"], batch["text_start"], batch["text_length"], batch["example"].astype("Int64")
+        for conv, formatted, start, length, example in zip(
+            numbers(batch["conv_id"]), batch["formatted"], batch["text_start"], batch["text_length"], numbers(batch["example"])
         ):
-            conv = None if conv_id is pd.NA else int(conv_id)
             if conv != now:
                 closed()
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
@@ -226,22 +233,22 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state[0] += 1
             state[1].update(f"{role or ''}\n{text}\n".encode())
             state[4] += len(formatted)
-            if example is not pd.NA:
+            if example is not None:
                 masked = unescape(formatted[start : start + length])
                 state[2] += len(masked)
                 state[3].update(masked.encode())
                 state[5] += 1
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+            yield _frame(rows, DIGESTS, "conv_id")
             rows = []
     closed()
     if rows:
-        yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+        yield _frame(rows, DIGESTS, "conv_id")
 
 
 def digests(turns: DataFrame) -> DataFrame:
     """What a reader finds in each conversation; texts stream through hashes, so length needs no memory."""
-    return _ordered(turns.select("conv_id", "turn_start", "formatted", "text_start", "text_length", "example"), "conv_id", "turn_start").mapInPandas(_digest, DIGESTS)
+    return _ordered(turns.select("conv_id", "turn_start", "formatted", "text_start", "text_length", "example"), "conv_id", "turn_start", ids=("conv_id", "example")).mapInPandas(_digest, DIGESTS)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

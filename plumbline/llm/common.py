@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact(*names: str) -> list[Column]:
+    """Columns of longs as texts: on their way to pandas longs with nulls among them would become doubles."""
+    return [F.col(n).cast("string").alias(n) for n in names]
+
+
+def numbers(column: pd.Series) -> list[int | None]:
+    """The longs that `exact` has made texts."""
+    return [None if x is None else int(x) for x in column]
+
+
+def longs(values: list[int | None]) -> pd.Series:
+    return pd.Series(pd.array(values, "Int64"))
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo `parts`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))

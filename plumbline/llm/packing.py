@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import exact, longs, numbers, table
 from .tokens import VOCABULARY, word_tokens
 
 WINDOW = 2048
@@ -138,14 +138,15 @@ def _packer(window: int, vocabulary: str, end_id: int):
             for sequence in plan([len(ids) // 4 for _, ids in docs], window):
                 offset = 0
                 for doc, start, n in sequence:
-                    doc_id, ids = docs[doc]
-                    rows.append((doc_id, start, n, len(ids) // 4, next_id, offset, ids[4 * start : 4 * (start + n)]))
+                    ids = docs[doc][1]
+                    rows.append((doc, start, n, len(ids) // 4, next_id, offset, ids[4 * start : 4 * (start + n)]))
                     offset += n
                 next_id += 1
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc", *(c.split()[0] for c in SCHEMA.split(", ")[1:])])
+            return out.assign(doc_id=longs([docs[d][0] for d in out["doc"]])).drop(columns="doc")
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+            for doc_id, text in zip(numbers(batch["doc_id"]), batch["text"]):
                 docs.append((doc_id, tokens.encode(text) + end))
                 held += len(docs[-1][1]) // 4
                 if held >= BATCH:
@@ -166,7 +167,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
     not filled are to be padded to the window, unless their length is a power of two."""
     if window % STEP:
         raise ValueError("the window must be a multiple of the length step")
-    return docs.select("doc_id", "text").mapInPandas(_packer(window, vocabulary, end_id), SCHEMA)
+    return docs.select(*exact("doc_id"), "text").mapInPandas(_packer(window, vocabulary, end_id), SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

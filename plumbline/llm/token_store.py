@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import exact, new_path, numbers, table
 from .tokens import VOCABULARY, word_tokens
 
 MAGIC = b"S8B1"
@@ -34,7 +34,7 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 FRAME = 4096
 BLOCK = 1 << 16
 LIMIT = np.uint64(1 << 60)
-BLOCK_SCHEMA = "shard int, block long, shard_start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, payload binary"
+BLOCK_SCHEMA = "shard int, block long, shard_start long, n_ids long, doc_ids array<long>, known array<boolean>, doc_lengths array<long>, payload binary"
 
 
 def _runs(fits: np.ndarray, length: int) -> np.ndarray:
@@ -135,11 +135,12 @@ def _writer(vocabulary: str, end_id: int):
 
         def closed() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(parts), "<u4")
-            row = (shard, block, done, len(ids), pd.array(doc_ids, "Int64"), [len(p) // 4 for p in parts], encode_block(ids))
+            # a missing id stands as 0 that isn't known
+            row = (shard, block, done, len(ids), [i or 0 for i in doc_ids], [i is not None for i in doc_ids], [len(p) // 4 for p in parts], encode_block(ids))
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text in zip(numbers(batch["doc_id"]), batch["text"]):
                 parts.append(tokens.encode(text) + end)
                 doc_ids.append(doc_id)
                 filled += len(parts[-1]) // 4
@@ -161,8 +162,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     in the order of their texts. A row of the written table is a block; Spark commits a shard's file
     only when its task has ended, so a lost executor leaves no half-written shard."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id")
-    ordered = docs.select(ids, "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").select(*exact("doc_id"), "text")
     ordered.mapInPandas(_writer(vocabulary, end_id), BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -174,7 +174,7 @@ def _reader(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = np.cumsum(lengths)
             cut = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)]
             yield pd.DataFrame(
-                {"doc_id": row["doc_ids"], "shard": row["shard"], "shard_start": row["shard_start"] + ends - lengths, "n_tokens": lengths, "ids": cut}
+                {"doc_id": row["doc_ids"], "known": row["known"], "shard": row["shard"], "shard_start": row["shard_start"] + ends - lengths, "n_tokens": lengths, "ids": cut}
             )
 
 
@@ -190,9 +190,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         starts.append((shard, before))
         before += n
     shards = spark.createDataFrame(starts, "shard int, before long")
-    docs = blocks.mapInPandas(_reader, "doc_id long, shard int, shard_start long, n_tokens long, ids binary")
+    docs = blocks.mapInPandas(_reader, "doc_id long, known boolean, shard int, shard_start long, n_tokens long, ids binary")
     return docs.join(F.broadcast(shards), "shard").select(
-        F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("known"), F.col("doc_id")).alias("doc_id"),
         (F.col("before") + F.col("shard_start")).alias("start"),
         "n_tokens",
         "ids",

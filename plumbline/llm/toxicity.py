@@ -102,6 +102,8 @@ def target_transducer() -> Transducer:
     for state, to, factor in [("none", "none", 0.25), *((s, near[-1], 0.7) for s in near), *((s, rest(s), 1.0) for s in seen)]:
         arcs[state, "insult"] = [(to, factor), (f"owed{REACH}", 1.0)]
         arcs[state, "threat"] = [(rest(state), 0.0), (f"owed{REACH}", 1.0)]
+    # who reports is not whom it is about
+    arcs |= {(s, "report"): [("none", 1.0)] for s in (*near, *seen)}
     arcs |= {(f"owed{k}", "target"): [(seen[-1], 1.0)] for k in range(1, REACH + 1)}
     # what is owed a target for too long has no way on: only the path that owes nothing is left
     return Transducer("none", arcs, lambda s: None if s == "owed1" else rest(s), lambda s: s.startswith("owed"))

@@ -200,3 +200,26 @@ def test_pipeline_stages(spark, sf, awkward, empty, tmp_path):
             assert stages[stage](spark, frame, sf).columns == frame.columns
     pieces = stages["packing"](spark, safe, sf)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in safe.collect()} and stages["packing"](spark, empty, sf).count() == 0
+
+
+def test_whole_pipeline(spark, sf, tmp_path):
+    """`run` over tables with null and repeated labels, ids and texts."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 120")
+    more = spark.createDataFrame([(None, None, None, None, None), (900, "", "en", "s", 0), (900, "", "en", "s", 0), (901, "token = 'abcdef123456'", "en", "s", 1), (901, "token = 'abcdef123456'", "en", "s", 1)], docs.schema)
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    gaps = spark.createDataFrame([(None, None, 1), (3, 1, None), (3, 0, 1), (3, 1, 0), (900, None, None)], labels.schema)
+    labels.unionByName(gaps).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in kept.collect()} and {None, 900, 901} <= {p.doc_id for p in pieces}
+    by_doc = {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+    assert all(sum(p.length for p in some) >= some[0].doc_tokens for some in by_doc.values())

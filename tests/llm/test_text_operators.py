@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import chat, decontam, langid, packing, quality, secrets, token_store, toxicity
-from plumbline.llm.common import new_path
+from plumbline.llm.common import fold, new_path
 from plumbline.llm.tokens import word_tokens
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -126,6 +126,34 @@ def test_token_files(spark, awkward, empty):
     assert token_store.read_tokens(spark, path).count() == 0
 
 
+def test_token_files_of_all_documents(spark, sf):
+    got = sorted(token_store.op2_token_ids(spark, sf).collect(), key=lambda r: r.doc_id)
+    at = 0
+    for g, w in zip(got, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect(), strict=True):
+        ids = encoded(w.text, 2)
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (w.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+#: Ids that doubles can't tell apart, beside nulls.
+LARGE = [-(1 << 63), -(1 << 63) + 1, (1 << 62) + 1, (1 << 62) + 2, None, 0]
+
+
+def test_large_ids_beside_nulls(spark):
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(LARGE)], "doc_id long, text string").coalesce(1)
+    path = new_path(spark, "test-tokens")
+    token_store.write_tokens(docs, path)
+    assert sorted(str(r.doc_id) for r in token_store.read_tokens(spark, path).collect()) == sorted(map(str, LARGE))
+    assert {r.doc_id for r in packing.pack(docs).collect()} == set(LARGE)
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text").coalesce(1)
+    paths = new_path(spark, "test-chat"), new_path(spark, "test-chat")
+    chat.write_examples(turns, paths[0])
+    read = chat.read_turns(spark, paths[0])
+    chat.write_expanded(read, paths[1])
+    got = chat.example_digests(read, chat.read_expanded(spark, paths[1])).collect()
+    assert sorted(str(r.conv_id) for r in got) == sorted(map(str, LARGE)) and all(r.n_turns == r.n_examples == 1 for r in got)
+
+
 def packed_well(pieces, docs, window):
     """Pieces by document make its ids, pieces by sequence leave no gap; returns padding and tokens."""
     by_doc, by_sequence = {}, {}
@@ -151,7 +179,7 @@ def packed_well(pieces, docs, window):
 
 
 def test_packing(spark, sf, awkward, empty):
-    for frame, window in ((awkward, 2048), (awkward, 64), (spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 150"), 2048)):
+    for frame, window in ((awkward, 2048), (awkward, 64), (spark.read.parquet(f"{sf}/documents.parquet"), 2048)):
         docs = {}
         for r in frame.collect():
             docs.setdefault(r.doc_id, []).append(r.text)
@@ -209,6 +237,15 @@ def test_decontamination(spark, slice_bytes):
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(i) for i, t in docs if not brute_hits(t, items)[-1])
 
 
+def test_index_is_as_large_as_it_says():
+    """Some three times its texts."""
+    r = np.random.default_rng(1)
+    items = [([str(i)], " ".join("".join(r.choice(list("abcdefghijklmnop"), 6)) for _ in range(200))) for i in range(100)]
+    size = decontam.Index(items).size()
+    assert 2 < size / sum(len(t) for _, t in items) < 4
+    assert decontam.Index([]).find([b"a"] * 20) == ([], set())
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame([(1, "plain WORDS stand, here; and say little of note to anyone at all today")], "item_id long, text string")
     got = {(r.doc_id, r.contaminated) for r in decontam.report(awkward, bench).collect()}
@@ -230,6 +267,41 @@ def test_language(spark, sf, awkward, empty):
     assert {r.lang_pred for r in langid.identify(awkward, *langid.prototypes(empty)).collect()} == {"und"}
 
 
+def naive_language(text, letters):
+    """The bundle of a text's trigrams, letter by letter."""
+    import itertools
+
+    kinds = [0, *(langid._class(ord(c)) for c in text), 0]
+    kinds = [k for k, _ in itertools.groupby(kinds, key=lambda k: (k, None) if k == 0 else (k, object()))]
+    kinds = [k[0] for k in kinds]
+    if not any(kinds):
+        return None
+    grams = list(zip(kinds, kinds[1:], kinds[2:]))
+    return sum(np.roll(letters[a], 2).astype(float) * np.roll(letters[b], 1) * letters[c] for a, b, c in grams) / len(grams)
+
+
+def test_language_by_brute_force(spark):
+    r = np.random.default_rng(8)
+    sounds = {"xx": ["ka", "to", "mi", "ra"], "yy": ["sch", "ung", "be", "ö"], "zz": ["eau", "ç", "le", "tion"]}
+    word = lambda lang: "".join(r.choice(sounds[lang], r.integers(1, 4)))
+    rows = [(i, lang, " ".join([*(word(lang) for _ in range(12)), *(word(other) for _ in range(4))]) + " 12, !") for i in range(60) for lang, other in [list(sounds)[i % 3 : i % 3 + 1] * 2] for other in [list(sounds)[(i + 1) % 3]]]
+    rows += [(100, "xx", "ka"), (101, None, "ka to"), (102, "yy", "12"), (103, "yy", None)]
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.CLASSES, langid.DIMENSIONS))
+    learned = [(lang, naive_language(t, letters)) for i, lang, t in rows if zlib.crc32(str(i).encode()) % 5 and lang and t]
+    unit = lambda v: v / np.linalg.norm(v)
+    prototypes = {lang: unit(sum(v for k, v in learned if k == lang and v is not None)) for lang in sounds}
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = langid.prototypes(docs.filter(fold(F.col("doc_id"), 5) != 0))
+    assert found[0] == sorted(sounds)
+    for g in langid.identify(docs, *found).collect():
+        bundle = naive_language(g.text, letters) if g.text else None
+        if bundle is None:
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        cosines = {lang: float(p @ unit(bundle)) for lang, p in prototypes.items()}
+        assert g.lang_pred == max(cosines, key=cosines.get) and g.score == pytest.approx(max(0, max(cosines.values())), abs=1e-5)
+
+
 def test_letters_of_all_planes():
     assert langid.count_grams("𠀀") is not None and langid.count_grams("🙂 1 !") is None and langid.count_grams("ª") is not None
 
@@ -265,6 +337,32 @@ def test_toxicity(spark, sf, awkward, empty):
     assert clashing.columns == awkward.columns and clashing.count() == 10
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores from every path of every clause; a learned word; held-out labels that change nothing."""
+    from tests.llm.test_toxicity_words import every_path
+
+    r = np.random.default_rng(9)
+    plain = [f"w{c}{d}" for c in "abcdefghij" for d in "klmno"]
+    texts = [". ".join(" ".join(r.choice([*plain, "you", "not", "is", "said", "will"], 6)) for _ in range(2)) for _ in range(90)]
+    rows = [(i, t + [". You zorgle", ". the zorgle is not a zorgle", ". I will kill you"][i % 3] * (i % 2), i % 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon, scale = toxicity.fit(docs, labels)
+    assert lexicon.get("zorgle") or any("zorgle".startswith(k[:-1]) for k in lexicon if k.endswith("*"))
+    words, parts = toxicity.Words(lexicon), [make() for make in toxicity.PARTS.values()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    got = {g.doc_id: g for g in toxicity.score_documents(docs, labels).collect()}
+    for i, text, _ in rows:
+        clauses = [[words._read(w) for w in toxicity.words_of(c)] for c in toxicity.CLAUSE.split(text.lower())]
+        e = sum(every_path(parts, c) for c in clauses)
+        assert got[i].score == pytest.approx(e / (e + scale * 3 / 7)) and got[i].held_out == held(i) and got[i].predicted == (got[i].score >= 0.7)
+    other = spark.createDataFrame([(i, 1 - y if held(i) else y) for i, _, y in rows], "doc_id long, toxic int")
+    assert {g.doc_id: g.score for g in toxicity.score_documents(docs, other).collect()} == {i: g.score for i, g in got.items()}
+    # a labelled document on many rows teaches once
+    again = docs.unionByName(docs.filter("doc_id = 1")).unionByName(docs.filter("doc_id = 1"))
+    assert toxicity.labelled_sample(again, labels, "toxic").count() == 90
+
+
 SAID = ["\\### Assistant: </turn> ok", "", None, "\\", "\\\\### </turn>", "a\nb ### x</turn></turn>", "</tur\\n>", "plain"]
 
 
@@ -309,12 +407,21 @@ def test_importance_resampling(spark, sf, awkward, empty):
     assert len(rows) == 1000 and sum(r.selected for r in rows) == 500
     assert min(r.sample_key for r in rows if r.selected) >= max(r.sample_key for r in rows if not r.selected)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    target = quality.model(spark.createDataFrame([(texts[1],)], "text string"))
-    raw = quality.model(spark.createDataFrame([(t,) for t in texts.values()], "text string"))
-    counts = np.bincount(np.concatenate([quality.buckets(t) for t in texts.values()]), minlength=quality.BUCKETS) + 1.0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = quality.bucket_count(docs)
+    assert n == quality.LEAST_BUCKETS and quality.bucket_count(docs.withColumn("text", F.repeat("text", 200))) == 1 << 16
+    # keys from the noise and the weights, and the rows with the largest, worked out here
+    noise = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.lit(quality.SEED), F.col("doc_id").cast("string"), "text")).collect()}
+    keys = {r.doc_id: round((r.log_weight - np.log(-np.log(((noise[r.doc_id] % 2**64 >> 11) + 0.5) / 2**53))) * 1e6) for r in rows}
+    assert all(abs(keys[r.doc_id] - r.sample_key) <= 1 for r in rows)
+    best = sorted((r.sample_key for r in rows), reverse=True)[499]
+    assert all(r.selected == (r.sample_key >= best) for r in rows)
+    target = quality.model(spark.createDataFrame([(texts[1],)], "text string"), n)
+    raw = quality.model(spark.createDataFrame([(t,) for t in texts.values()], "text string"), n)
+    counts = np.bincount(np.concatenate([quality.buckets(t, n) for t in texts.values()]), minlength=n) + 1.0
     assert raw == pytest.approx(np.log(counts / counts.sum()))
     got = quality.weigh(spark.createDataFrame([(1, texts[1])], "doc_id long, text string"), target, raw).first()
-    assert got.log_weight == pytest.approx((target - raw)[quality.buckets(texts[1])].sum())
+    assert got.log_weight == pytest.approx((target - raw)[quality.buckets(texts[1], n)].sum())
     some = quality.resample(awkward, awkward.filter("doc_id = 1"))
     assert some.count() == 10 and len({(r.sample_key, r.selected) for r in some.filter("doc_id = 1").collect()}) == 1
     assert quality.resample(empty, empty).count() == 0 and quality.resample(awkward, empty).filter("log_weight <> 0").count() == 0
