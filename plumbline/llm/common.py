@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,12 +82,13 @@ _REMEMBERING: list = []
 
 
 def remembering(memory) -> None:
-    """Lets a worker that goes over to another operator's words forget those of the one before.
+    """Lets a worker that goes over to another operator's words forget those of the one before, and give back what Arrow holds unused.
 
     `memory` has a method `forget`. What is remembered saves time only, so forgetting changes no result."""
     if not _REMEMBERING or _REMEMBERING[0] is not memory:
         for other in _REMEMBERING:
             other.forget()
+        pa.default_memory_pool().release_unused()
         _REMEMBERING[:] = [memory]
 
 

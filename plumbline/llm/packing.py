@@ -21,7 +21,7 @@ DEPTH = 3
 #: A gap shorter than this is padded rather than filled with a scrap of a document.
 SCRAP = 16
 #: Tokens that are packed together; this bounds a task's memory.
-BATCH = 1 << 22
+BATCH = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 

@@ -12,7 +12,7 @@ from .common import remembering
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and pieces of words, that a worker remembers before it forgets them all; this bounds its memory and
 #: changes no result. Pieces are forgotten apart from words: what they cost is the merges.
-REMEMBERED = 600_000
+REMEMBERED, PIECES_REMEMBERED = 250_000, 600_000
 
 # The tokenizer's own pattern, for texts of ASCII and Latin-1 letters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zª²-µ¹-ºß-öø-ÿ]+|[0-9]|[^\sa-z0-9ª²-µ¹-ºß-öø-ÿ]+")
@@ -47,7 +47,7 @@ class WordTokens(dict):
         if found is None:
             spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
             found = b"".join([self.spelled[t.id] for t in self.model.tokenize(spelled)])
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= PIECES_REMEMBERED:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found
