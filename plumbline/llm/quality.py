@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .toxicity import labelled_sample
 
-#: Hashed unigrams and bigrams share so many buckets: one for each `BYTES` of all texts, in a power of two between
-#: these. The most bounds what a task shuffles and what all tasks hold, 2 MB.
-BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 14, 1 << 18
+#: Hashed unigrams and bigrams share `SPREAD` buckets for each square root of a byte of all texts, as distinct words
+#: grow, in a power of two that is this at least: some 2**19 at 30 GB and 2**25, 256 MB in a task, at 100 TB.
+SPREAD, LEAST_BUCKETS = 2, 1 << 14
 #: Labelled rows of good quality that the target model is fitted on, at most.
 SAMPLE = 20_000
 #: Added to each bucket's count.
@@ -41,9 +41,9 @@ _HASHES = _Hashes()
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """How many buckets the models of these texts have: it grows with them."""
+    """How many buckets the models of these texts have: it grows with them, at every size."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, (size // BYTES) - 1).bit_length()))
+    return max(LEAST_BUCKETS, 1 << (SPREAD * math.isqrt(size)).bit_length())
 
 
 def buckets(text: str | None, n: int) -> np.ndarray:
