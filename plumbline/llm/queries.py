@@ -16,6 +16,7 @@ from .packing import op6_packing
 from .quality import op3_quality
 from .secrets import op1_secrets
 from .simhash import op5_simhash
+from .suffix_dedup import op11_suffix_dedup
 from .token_store import op2_token_ids
 from .toxicity import op10_toxicity
 
@@ -63,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_language": op9_language,
         "op10_toxicity": op10_toxicity,
+        "op11_suffix_dedup": op11_suffix_dedup,
     }
 
 
