@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ BEGIN, END, ESCAPE = "### ", "</turn>", "\\"
 #: The role whose texts are learned from.
 TRAINED = "assistant"
 
-TURNS = "conv_id long, turn long, role string, formatted string, text_start long, text_length long, turn_start long, example long"
+TURNS = "conv_id long, turn long, role string, formatted string, text_start long, text_length long, turn_start long, example long, position long"
 
 
 def escape(text: str) -> str:
@@ -62,16 +61,17 @@ def _frame(rows: list[tuple], schema: str, *nullable: str) -> pd.DataFrame:
 
 def _format(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come ordered by conversation and turn; what a task remembers is a position and two counts."""
-    now, place, example = object(), 0, 0
+    now, place, example, position = object(), 0, 0, 0
     for batch in batches:
         rows = []
         for conv, turn, role, text in zip(numbers(batch["conv"]), numbers(batch["turn"]), batch["role"], batch["text"]):
             if conv != now:
-                now, place, example = conv, 0, 0
+                now, place, example, position = conv, 0, 0, 0
             formatted, start, length = format_turn(role, text)
             trained = role == TRAINED
-            rows.append((conv, turn, role, formatted, start, length, place, example if trained else None))
+            rows.append((conv, turn, role, formatted, start, length, place, example if trained else None, position))
             place += len(formatted)
+            position += 1
             example += trained
         yield _frame(rows, TURNS, "conv_id", "turn", "example")
 
@@ -119,53 +119,22 @@ def examples(turns: DataFrame) -> DataFrame:
 
 
 PIECES = "conv_id long, example long, position long, piece string, mask_start long, mask_length long"
-#: Characters of a conversation's turns that a task remembers; more of them go to a temporary file.
-REMEMBERED = 1 << 23
-#: Characters of pieces that are handed on at once.
-HANDED = 1 << 22
-
-
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Turns come ordered; each reply hands on all turns before it, then itself with its mask."""
-    now, rows, chars = object(), [], 0
-
-    def handed() -> pd.DataFrame:
-        return _frame(rows, PIECES, "conv_id")
-
-    with tempfile.SpooledTemporaryFile(REMEMBERED) as before:
-        for batch in batches:
-            for conv, formatted, start, length, example in zip(
-                numbers(batch["conv_id"]), batch["formatted"], batch["text_start"], batch["text_length"], numbers(batch["example"])
-            ):
-                if conv != now:
-                    now, n = conv, 0
-                    before.seek(0)
-                    before.truncate()
-                if example is not None:
-                    before.seek(0)
-                    for position in range(n):
-                        piece = before.read(int.from_bytes(before.read(8), "big")).decode()
-                        rows.append((conv, example, position, piece, 0, 0))
-                        chars += len(piece)
-                        if chars >= HANDED:
-                            yield handed()
-                            rows, chars = [], 0
-                    rows.append((conv, example, n, formatted, start, length))
-                    chars += len(formatted)
-                before.seek(0, 2)
-                data = formatted.encode()
-                before.write(len(data).to_bytes(8, "big") + data)
-                n += 1
-        if rows:
-            yield handed()
+#: Positions of a conversation that are joined with its replies at once.
+RANGE = 64
 
 
 def write_expanded(turns: DataFrame, path: str) -> None:
     """Writes every example in full, a row for each of its turns: the context's, then the reply with its mask.
 
     Only the mask's characters are trainable: those of the last piece from `mask_start` on. A long context
-    is many rows, none of which is longer than a turn."""
-    _ordered(turns.select("conv_id", "turn_start", "formatted", "text_start", "text_length", "example"), "conv_id", "turn_start", ids=("conv_id", "example")).mapInPandas(_expand, PIECES).write.parquet(path)
+    is many rows, none of which is longer than a turn. Replies are joined with the turns before them by ranges of positions, so a
+    conversation is as many keys as it has ranges, and no task holds one."""
+    replies = turns.filter("example is not null").select(F.col("conv_id").alias("c"), "example", F.col("position").alias("until"))
+    wanted = replies.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("until") / RANGE))))
+    held = turns.select("conv_id", "position", F.col("formatted").alias("piece"), "text_start", "text_length", F.floor(F.col("position") / RANGE).alias("of"))
+    met = wanted.join(held, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("range") == F.col("of")) & (F.col("position") <= F.col("until")))
+    mask = [F.when(F.col("position") == F.col("until"), F.col(c)).otherwise(F.lit(0)).cast("long").alias(n) for c, n in (("text_start", "mask_start"), ("text_length", "mask_length"))]
+    met.select("conv_id", "example", "position", "piece", *mask).write.parquet(path)
 
 
 def read_expanded(spark: SparkSession, path: str) -> DataFrame:

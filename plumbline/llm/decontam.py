@@ -1,4 +1,4 @@
-"""Benchmark decontamination: winnowed k-gram fingerprints, then extension of each hit word by word."""
+"""Benchmark decontamination: winnowed k-gram fingerprints, then each hit extended to the windows around it."""
 
 from __future__ import annotations
 
@@ -18,8 +18,8 @@ GRAM = 8
 #: Consecutive k-grams of which the least is kept: any shared SPAN words then share a fingerprint.
 WINNOW = SPAN - GRAM + 1
 #: Bytes of distinct benchmark texts and their ids in one index that all tasks hold; a larger benchmark is worked
-#: off in slices. An index takes some three times its texts: their words, where each begins, and fingerprints.
-SLICE = 16 << 20
+#: off in slices. An index takes some seven times its texts: their words, where each begins, fingerprints, windows.
+SLICE = 8 << 20
 REMEMBERED = 200_000
 
 # A-Z become lower case, other ASCII characters but digits and a-z become spaces.
@@ -61,90 +61,104 @@ def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
     return out
 
 
-def winnowed(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
-    """Places of the least hash of each `window` consecutive ones, equal ones included."""
+def least_grams(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
+    """The fingerprint of each span: the least hash of `window` consecutive grams."""
     n = len(hashes) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     least = hashes[:n].copy()
     for j in range(1, window):
         np.minimum(least, hashes[j : j + n], out=least)
-    kept = np.zeros(len(hashes), bool)
-    for j in range(window):
-        kept[j : j + n] |= hashes[j : j + n] == least
-    return np.flatnonzero(kept)
+    return least
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of `wanted` is in the sorted `keys`, and whether it is."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Windows:
+    """The distinct windows of one length: sorted hashes, a word at which each begins, and the items that have it."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        hashes, item, word = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((word, item, hashes))
+        hashes, item, word = hashes[order], item[order], word[order]
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        fresh = new | np.concatenate(([True], item[1:] != item[:-1]))
+        self.hashes, self.word, self.items = hashes[new], word[new], item[fresh]
+        self.first = np.append(np.flatnonzero(new[fresh]), len(self.items))
+
+    def size(self) -> int:
+        return self.hashes.nbytes + self.word.nbytes + self.items.nbytes + self.first.nbytes
 
 
 class Index:
-    """Fingerprints of some benchmark texts: winnowed k-grams of long ones, the whole of short ones.
+    """Fingerprints and windows of some benchmark texts: spans of long texts, the whole of short ones.
 
-    All words stand one after the other in one string, with an array of where each begins. Fingerprints are
-    sorted arrays, for each length of grams: hash, item, and place in the item."""
+    All words stand one after the other in one string, with an array of where each begins. A window that comes
+    again and again, in one item or in many, is there once, so repeated words cost no more than others."""
 
     def __init__(self, items: list[tuple[list[str], str | None]]) -> None:
         self.ids: list[list[str]] = []
-        texts, lengths, counts = [], [], []
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        texts, lengths, words_before = [], [], 0
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        least = [np.zeros(0, np.uint64)]
         for ids, text in items:
             if not (words := words_of(text)):
                 continue
-            k = GRAM if len(words) >= SPAN else len(words)
+            k = min(SPAN, len(words))
             hashes = gram_hashes(words, k)
-            at = winnowed(hashes) if len(words) >= SPAN else np.zeros(1, np.int64)
-            found[k if len(words) < SPAN else 0].append((hashes[at], np.full(len(at), len(self.ids), np.int32), at.astype(np.int32)))
+            parts[k].append((hashes, np.full(len(hashes), len(self.ids), np.int32), words_before + np.arange(len(hashes))))
+            if k == SPAN:
+                least.append(np.unique(least_grams(gram_hashes(words, GRAM))))
             self.ids.append(sorted(i for i in ids if i is not None))
             texts.append(b" ".join(words))
-            counts.append(len(words))
+            words_before += len(words)
             lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
         self.blob = b" ".join(texts)
         # a space is between any two words
         self.begins = np.concatenate(([0], np.cumsum(np.concatenate(lengths) + 1, dtype=np.int64))) if lengths else np.zeros(1, np.int64)
-        self.first = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-        self.tables = {}
-        for k, parts in found.items():
-            hashes, item, place = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(hashes, kind="stable")
-            self.tables[k] = hashes[order], item[order], place[order]
+        self.fingerprints = np.unique(np.concatenate(least))
+        self.tables = {k: Windows(p) for k, p in parts.items()}
 
     def size(self) -> int:
         """Bytes of its arrays and words."""
-        return len(self.blob) + self.begins.nbytes + self.first.nbytes + sum(a.nbytes for t in self.tables.values() for a in t)
-
-    def _hits(self, words: list[bytes]):
-        """(place, item, place in the item) of each fingerprint that the words share."""
-        for k, (keys, item, place) in self.tables.items():
-            hashes = gram_hashes(words, k or GRAM)
-            at = np.arange(len(hashes)) if k else winnowed(hashes)
-            some = hashes[at]
-            low = np.searchsorted(keys, some)
-            there = keys[np.minimum(low, len(keys) - 1)] == some
-            for p, a, b in zip(at[there].tolist(), low[there].tolist(), np.searchsorted(keys, some[there], "right").tolist()):
-                for i, q in zip(item[a:b].tolist(), place[a:b].tolist()):
-                    yield p, i, q
+        return len(self.blob) + self.begins.nbytes + self.fingerprints.nbytes + sum(t.size() for t in self.tables.values())
+
+    def _starts(self, words: list[bytes], k: int, table: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of `table` begin in the words, and which they are.
+
+        A span is looked at only if its fingerprint is one of the benchmark's."""
+        at = np.arange(len(words) - k + 1)
+        if k == SPAN:
+            at = at[_found(self.fingerprints, least_grams(gram_hashes(words, GRAM)))[1]]
+            if not len(at):
+                return at, at
+        which, there = _found(table.hashes, gram_hashes(words, k)[at])
+        at, which = at[there], which[there]
+        # each distinct window is compared word by word where it comes first
+        distinct, first = np.unique(which, return_index=True)
+        begin = self.begins[table.word[distinct]].tolist()
+        end = (self.begins[table.word[distinct] + k] - 1).tolist()
+        same = np.array([b" ".join(words[p : p + k]) == self.blob[a:b] for p, a, b in zip(at[first].tolist(), begin, end)], bool)
+        kept = np.isin(which, distinct[same])
+        return at[kept], which[kept]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The spans of words (start, end) that are in an occurring window, and the items that have one."""
-        spans, items, done = [], set(), {}
-        blob, begins = self.blob, self.begins
-        for p, i, q in self._hits(words):
-            if p < done.get((i, p - q), 0):
+        spans, items = [], set()
+        for k, table in self.tables.items():
+            if len(words) < k:
+                continue
+            at, which = self._starts(words, k, table)
+            if not len(at):
                 continue
-            first = int(self.first[i])
-            length = int(self.first[i + 1]) - first
-
-            def same(at: int, place: int) -> bool:
-                begin = begins[first + place]
-                return words[at] == blob[begin : begins[first + place + 1] - 1]
-
-            a, b = p, q
-            while a and b and same(a - 1, b - 1):
-                a, b = a - 1, b - 1
-            end, stop = p, min(len(words), p - q + length)
-            while end < stop and same(end, end - p + q):
-                end += 1
-            done[i, p - q] = max(end, p + 1)
-            if end - a >= min(SPAN, length) and end > p:
-                spans.append((a, end))
+            cut = np.flatnonzero(np.diff(at) > k)
+            spans += zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + k).tolist())
+            which = np.unique(which)
+            for i in np.unique(np.concatenate([table.items[a:b] for a, b in zip(table.first[which], table.first[which + 1])])).tolist():
                 items.update(self.ids[i])
         return spans, items
 

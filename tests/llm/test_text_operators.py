@@ -238,14 +238,33 @@ def test_decontamination(spark, slice_bytes):
 
 
 def test_index_is_as_large_as_it_says():
-    """Some three times its texts."""
+    """Some seven times its texts."""
     r = np.random.default_rng(1)
     items = [([str(i)], " ".join("".join(r.choice(list("abcdefghijklmnop"), 6)) for _ in range(200))) for i in range(100)]
     size = decontam.Index(items).size()
-    assert 2 < size / sum(len(t) for _, t in items) < 4
+    assert 5 < size / sum(len(t) for _, t in items) < 8
     assert decontam.Index([]).find([b"a"] * 20) == ([], set())
 
 
+@pytest.mark.parametrize("n", [4_000, 8_000, 16_000, 32_000])
+def test_repeated_words_are_found_in_time(n):
+    """Runs of one word, and of two and three in turn, against themselves and a long item: no longer than other words."""
+    index = decontam.Index([(["a"], "na " * n), (["b"], "x y " * (n // 2)), (["c"], "p q r " * 20)])
+    began = time.perf_counter()
+    assert index.find([b"na"] * n) == ([(0, n)], {"a"}) and index.find([b"y", b"x"] * (n // 2)) == ([(0, n)], {"b"})
+    assert index.find([b"z"] * n + [b"q", b"r", b"p"] * 100 + [b"q"]) == ([(n, n + 301)], {"c"})
+    assert time.perf_counter() - began < 2
+
+
+def test_repeated_words_are_those_of_brute_force(spark):
+    r = np.random.default_rng(5)
+    run = lambda: " ".join(" ".join([r.choice(["a", "b", "a b", "a a b"])] * r.integers(1, 40)) for _ in range(4))
+    items, docs = [(i, run()) for i in range(12)], [(i, run()) for i in range(20)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(d, b).collect())
+    assert got == sorted((i, *brute_hits(t, items)) for i, t in docs)
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame([(1, "plain WORDS stand, here; and say little of note to anyone at all today")], "item_id long, text string")
     got = {(r.doc_id, r.contaminated) for r in decontam.report(awkward, bench).collect()}
