@@ -20,27 +20,37 @@ SAMPLE = 20_000
 #: Score from which a document counts as toxic.
 CUT = 0.7
 REMEMBERED = 200_000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 
 # Words of the grammar's closed classes in English, German, French and Spanish. A word of two
 # classes belongs to the first.
 CLOSED = {
     "threat": "kill hurt destroy murder stab shoot strangle töten umbringen verprügeln erschießen tuer frapper étrangler matar golpear apuñalar",
+    "doom": "die rot hell verrecken verrecke krepieren hölle crever crève enfer muérete morirte infierno",
+    "wish": "hope wish deserve deserves go burn hoffe wünsche verdient fahr espère souhaite mérite ojalá espero mereces vete",
     "target": "you your yourself he she they him her them du dich dir ihr ihn sie tu te toi vous il elle ils elles tú usted ustedes él ella ellos ellas",
-    "negation": "not never no nobody isn't aren't wasn't don't won't can't cannot nicht kein keine keinen nie niemals pas jamais aucun aucune nunca jamás ni",
-    "report": "said says claimed claims called calls quoted wrote sagte schrieb nannte zitierte dit écrit appelé cité dijo escribió llamó citó",
+    "negation": "not never no nobody isn't aren't wasn't don't doesn't won't can't cannot nicht kein keine keinen nie niemals pas jamais aucun aucune nunca jamás ni",
+    "report": "said says claimed claims called calls quoted wrote word words term phrase spelled sagte schrieb nannte zitierte wort wörter dit écrit appelé cité mot mots dijo escribió llamó citó palabra palabras",
     "intent": "will shall going gonna i'll we'll he'll they'll werde werden wirst wird vais vas va allons vont voy vamos van",
-    "frame": "is are was were am be this that these those the a an such so ist sind war bist seid der die das dieser diese ein eine est es sont êtes suis le la les ce cette un une eres son eso esa este esta el los las una tan",
+    "personal": "you're he's she's they're bist seid êtes eres sois",
+    "copula": "is are was were am be ist sind war est sont suis es son era",
+    "article": "this that these those the a an such so der die das dieser diese ein eine le la les ce cette un une el los las eso esa esta este una tan",
 }
-# Common insults of the four languages.
+# Common insults of the four languages; and those that are insults only of somebody.
 INSULTS = (
-    "idiot idiots idiotic moron morons moronic imbecile stupid dumb dumbass pathetic worthless scum scumbag trash garbage vermin filth loser losers disgusting clown coward liar creep jerk bastard bitch asshole retard "
-    "trottel dummkopf blödmann schwachkopf arschloch mistkerl dreckskerl hurensohn wichser schlampe versager abschaum feigling lügner widerlich erbärmlich "
-    "idiote imbécile crétin abruti connard connasse salaud salope débile minable ordure raclure bouffon pourriture menteur "
-    "idiota imbécil estúpido estúpida cretino pendejo cabrón gilipollas escoria basura payaso mentiroso patético asqueroso perdedor"
+    "idiot idiots idiotic moron morons moronic imbecile stupid dumb dumbass pathetic worthless scum scumbag subhuman loser losers disgusting bastard bitch asshole retard "
+    "trottel dummkopf blödmann schwachkopf arschloch mistkerl dreckskerl hurensohn wichser schlampe widerlich erbärmlich "
+    "idiote imbécile crétin abruti connard connasse salaud salope débile minable raclure "
+    "idiota imbécil estúpido estúpida cretino pendejo cabrón gilipollas escoria patético asqueroso"
 )
+NOUNS = "trash garbage vermin filth clown clowns coward liar creep jerk animal animals pig pigs versager abschaum feigling lügner ordure bouffon pourriture menteur basura payaso mentiroso perdedor"
 INSULT_WEIGHT = 3.0
 THREAT_WEIGHT = 3.0
+#: What an insult weighs that is said of nobody.
+ALONE = 0.25
+#: A learned beginning of words counts by its share of a text's words, this share as one insult that is said of nobody;
+#: so many words are added to each text, so that one of a few words says little.
+DENSITY, FEW = 0.01, 30
 #: Words between what belongs together, at most.
 REACH = 4
 
@@ -81,29 +91,47 @@ def _fading(last: str | None):
     return rest
 
 
+#: The classes whose words weigh something.
+WEIGHED = ("insult", "noun", "threat", "doom")
+
+
 def insult_transducer() -> Transducer:
     """Each further insult of a clause weighs half of the one before."""
-    return Transducer("none", {("none", "insult"): [("some", 1.0)], ("some", "insult"): [("more", 0.5)], ("more", "insult"): [("more", 0.25)]})
+    steps = (("none", "some", 1.0), ("some", "more", 0.5), ("more", "more", 0.25))
+    return Transducer("none", {(state, kind): [(to, factor)] for state, to, factor in steps for kind in ("insult", "noun")})
 
 
 def threat_transducer() -> Transducer:
-    """A threat that is announced weighs twice as much as one that isn't."""
-    meant = [f"meant{k}" for k in range(1, REACH + 1)]
-    arcs = {(s, "intent"): [(meant[-1], 1.0)] for s in ("plain", *meant)} | {("plain", "threat"): [("plain", 0.5)]} | {(s, "threat"): [("plain", 1.0)] for s in meant}
+    """A threat that is announced weighs twice as much as one that isn't; a doom weighs only where it is wished."""
+    meant, wished = ([f"{n}{k}" for k in range(1, REACH + 1)] for n in ("meant", "wished"))
+    arcs = {(s, "intent"): [(meant[-1], 1.0)] for s in ("plain", *meant)} | {(s, "wish"): [(wished[-1], 1.0)] for s in ("plain", *meant, *wished)}
+    arcs |= {(s, "threat"): [("plain", 0.5)] for s in ("plain", *wished)} | {(s, "threat"): [("plain", 1.0)] for s in meant}
+    arcs |= {(s, "doom"): [("plain", 1.0 if s in wished else 0.0)] for s in ("plain", *meant, *wished)}
     return Transducer("plain", arcs, _fading("plain"))
 
 
 def target_transducer() -> Transducer:
-    """Whom it is about. An insult weighs in full after a target or, owed one, before it; less where only a
-    determiner or a copula is close before it, and little alone. A threat weighs where a target follows, else nothing."""
-    seen, near = [f"seen{k}" for k in range(1, REACH + 1)], ["near1", "near2"]
-    rest = _fading("none")
-    arcs = {(s, "target"): [(seen[-1], 1.0)] for s in ("none", *near, *seen)} | {(s, "frame"): [(near[-1], 1.0)] for s in ("none", *near)}
-    for state, to, factor in [("none", "none", 0.25), *((s, near[-1], 0.7) for s in near), *((s, rest(s), 1.0) for s in seen)]:
-        arcs[state, "insult"] = [(to, factor), (f"owed{REACH}", 1.0)]
-        arcs[state, "threat"] = [(rest(state), 0.0), (f"owed{REACH}", 1.0)]
+    """Whom it is about. An insult weighs in full after a target or, owed one, before it, and little alone.
+
+    What is an insult only of somebody weighs in full as an address, right after the target, or as a
+    predicate: a target, a copula, an article perhaps and a word at most between. Else it weighs next to
+    nothing. A threat weighs where a target follows and a doom where one or a wish is before, else nothing."""
+    seen, said = [f"seen{k}" for k in range(1, REACH + 1)], ["said1", "said2"]
+    fading = _fading("none")
+    rest = lambda s: "bare1" if s == "said2" else "none" if s in ("said1", "bare1") else fading(s)
+    free = ("none", *seen, *said, "bare1")
+    arcs = {(s, kind): [(seen[-1], 1.0)] for s in free for kind in ("target", "wish")}
+    # some copulas say by themselves whom they are about
+    arcs |= {(s, "personal"): [("said2", 1.0)] for s in free} | {(s, "copula"): [("said2", 1.0)] for s in seen} | {("said2", kind): [("said2", 1.0)] for kind in ("article", "negation")}
+    for state in free:
+        to = rest(state)
+        full = state != "none"
+        arcs[state, "insult"] = [("said2" if state in (*said, "bare1") else to, 1.0 if full else ALONE), (f"owed{REACH}", 1.0)]
+        arcs[state, "noun"] = [(to, 1.0 if state in (seen[-1], *said, "bare1") else 0.1)]
+        arcs[state, "threat"] = [(to, 0.0), (f"owed{REACH}", 1.0)]
+        arcs[state, "doom"] = [(to, 1.0 if full else 0.0)]
     # who reports is not whom it is about
-    arcs |= {(s, "report"): [("none", 1.0)] for s in (*near, *seen)}
+    arcs |= {(s, "report"): [("none", 1.0)] for s in free}
     arcs |= {(f"owed{k}", "target"): [(seen[-1], 1.0)] for k in range(1, REACH + 1)}
     # what is owed a target for too long has no way on: only the path that owes nothing is left
     return Transducer("none", arcs, lambda s: None if s == "owed1" else rest(s), lambda s: s.startswith("owed"))
@@ -114,12 +142,12 @@ def negation_transducer() -> Transducer:
     negated = [f"negated{k}" for k in range(1, REACH + 1)]
     arcs = {("plain", "negation"): [(negated[-1], 1.0)]} | {(s, "negation"): [("plain", 1.0)] for s in negated}
     rest = _fading("plain")
-    return Transducer("plain", arcs | {(s, kind): [(rest(s), 0.2)] for s in negated for kind in ("insult", "threat")}, rest)
+    return Transducer("plain", arcs | {(s, kind): [(rest(s), 0.2)] for s in negated for kind in WEIGHED}, rest)
 
 
 def report_transducer() -> Transducer:
-    """What follows a word of reported speech in its clause is somebody else's and weighs less."""
-    return Transducer("own", {("own", "report"): [("told", 1.0)], ("told", "insult"): [("told", 0.4)], ("told", "threat"): [("told", 0.4)]})
+    """What follows a word of reported speech in its clause, or one that mentions words, is somebody else's and weighs a fifth."""
+    return Transducer("own", {("own", "report"): [("told", 1.0)], **{("told", kind): [("told", 0.2)] for kind in WEIGHED}})
 
 
 PARTS = {"insult": insult_transducer, "threat": threat_transducer, "target": target_transducer, "negation": negation_transducer, "report": report_transducer}
@@ -157,8 +185,9 @@ class Composed:
 
 
 MACHINE = Composed(make() for make in PARTS.values())
-CLASSES = {word: kind for kind in reversed(CLOSED) for word in CLOSED[kind].split()}
-THREATS = frozenset(w.encode() for w in CLOSED["threat"].split())
+CLASSES = {word: kind for kind in reversed(CLOSED) for word in CLOSED[kind].split()} | dict.fromkeys(NOUNS.split(), "noun")
+WEIGHTS = {"threat": THREAT_WEIGHT, "doom": THREAT_WEIGHT, "noun": INSULT_WEIGHT}
+LOADED = frozenset(w.encode() for w, kind in CLASSES.items() if kind in WEIGHTS)
 
 
 def stems(word: str) -> set[str]:
@@ -167,43 +196,57 @@ def stems(word: str) -> set[str]:
 
 
 class Words(dict):
-    """word (lower case, UTF-8) -> weight as an insult; 0 for all others."""
+    """word (lower case, UTF-8) -> (weight as an insult, 0 for all others; whether a beginning of it is in the lexicon)."""
 
     def __init__(self, lexicon: dict[str, float], machine: Composed = MACHINE) -> None:
         super().__init__()
         self.lexicon, self.machine = lexicon, machine
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: bytes) -> tuple[float, bool]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = [w for s in stems(word.decode(errors="replace")) if (w := self.lexicon.get(s))]
-        self[word] = weight = max(found, default=0.0)
-        return weight
+        whole = word.decode(errors="replace")
+        found = self.lexicon.get(whole, 0.0), any(s in self.lexicon for s in stems(whole) - {whole})
+        self[word] = found
+        return found
 
     forget = dict.clear
 
     def evidence(self, text: str | None) -> float:
-        """The weights of the text's clauses, added up. Only clauses with an insult or a threat are run."""
+        """The weights of the text's clauses, added up. Only clauses with a word that weighs something are run.
+
+        Words of which only a beginning is known are run apart, and their clauses' weights are taken for
+        the text's length."""
         if not text:
             return 0.0
         lower = text.lower()
-        if not self._hit(words_of(lower)):
+        words = words_of(lower)
+        known = [self[w] for w in words]
+        whole, begun = any(w for w, _ in known) or not LOADED.isdisjoint(words), any(b for _, b in known)
+        if not whole and not begun:
             return 0.0
-        return sum(map(self.clause, CLAUSE.split(lower)))
+        clauses = [words_of(c) for c in CLAUSE.split(lower)]
+        total = sum(map(self.clause, clauses)) if whole else 0.0
+        if begun:
+            total += sum(map(self.begun, clauses)) / ((len(words) + FEW) * DENSITY)
+        return total
+
+    def clause(self, words: list[bytes]) -> float:
+        """A clause's weight by the composed machine; a word of a class that weighs something is of that class."""
+        return self._run([self._read(w) for w in words])
 
-    def _hit(self, words: list[bytes]) -> bool:
-        return any(map(self.__getitem__, words)) or not THREATS.isdisjoint(words)
+    def begun(self, words: list[bytes]) -> float:
+        """A clause's weight if only words whose beginnings are known are insults."""
+        return self._run([("insult", INSULT_WEIGHT) if self[w][1] else (CLASSES.get(w.decode(), "word"), 0.0) for w in words])
 
-    def clause(self, clause: str) -> float:
-        """A clause's weight by the composed machine; a word of the lexicon that is a threat too is a threat."""
-        words = words_of(clause)
-        return self.machine.weight(map(self._read, words)) if self._hit(words) else 0.0
+    def _run(self, clause: list[tuple[str, float]]) -> float:
+        return self.machine.weight(clause) if any(weight for _, weight in clause) else 0.0
 
     def _read(self, word: bytes) -> tuple[str, float]:
         kind = CLASSES.get(word.decode(), "word")
-        if kind == "threat":
-            return kind, THREAT_WEIGHT
-        return ("insult", weight) if (weight := self[word]) else (kind, 0.0)
+        if kind in WEIGHTS:
+            return kind, WEIGHTS[kind]
+        return ("insult", weight) if (weight := self[word][0]) else (kind, 0.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int = SAMPLE) -> DataFrame:
@@ -223,50 +266,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int =
     return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
-def _count_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def features(text: str | None) -> set[str]:
+    """The words of a text, and the beginnings that `DENSITY` of its words have."""
+    words = [w.decode(errors="replace") for w in words_of((text or "").lower())]
+    begun = Counter(s for w in words for s in stems(w) if s.endswith("*"))
+    return set(words) | {s for s, n in begun.items() if n >= DENSITY * (len(words) + FEW)}
+
+
+def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, y in zip(batch["text"], batch["y"]):
-            words = set(words_of((text or "").lower()))
-            counts[int(y > 0)].update(set().union(*(stems(w.decode(errors="replace")) for w in words)))
+            counts[int(y > 0)].update(features(text))
     every = list(counts[0] | counts[1])
     for at in range(0, len(every), 100_000):
         some = every[at : at + 100_000]
-        yield pd.DataFrame({"stem": some, "toxic": [counts[1][s] for s in some], "clean": [counts[0][s] for s in some]})
+        yield pd.DataFrame({"feature": some, "toxic": [counts[1][s] for s in some], "clean": [counts[0][s] for s in some]})
 
 
 def learn(sample: DataFrame) -> tuple[dict[str, float], float]:
     """(lexicon, scale) from rows (text, y).
 
-    A stem's weight is the log ratio of the shares of toxic and clean rows that have it. Only stems that
-    are all but absent from clean rows count, and they are taken greedily by the toxic rows that they
-    add: so words that merely stand in copies of one toxic text don't get in. Each adds 5 rows at least,
-    and 1 % of the toxic ones, so some 100 stems are the most; candidates are bounded by the sample's texts. The scale is where evidence of clauses best parts the sample's labels."""
+    The weight of a word or a beginning is the log ratio of the shares of toxic and clean rows that have it. Only
+    those that are all but absent from clean rows count, and they are taken greedily by the toxic rows
+    that they add: so words that merely stand in copies of one toxic text don't get in. Each adds 5 rows at least,
+    and 1 % of the toxic ones, so some 100 are the most; candidates are bounded by the sample's texts. The scale is where evidence of clauses best parts the sample's labels."""
     n_toxic, n_clean = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     lexicon = {word: INSULT_WEIGHT for word in INSULTS.split()}
     if not n_toxic or not n_clean:
-        return lexicon, INSULT_WEIGHT / 2
-    counts = sample.mapInPandas(_count_stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return lexicon, _AS_ONE
+    counts = sample.mapInPandas(_count_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     support = max(5, n_toxic // 100)
-    some = counts.withColumn("w", weight).filter((F.col("toxic") >= support) & (F.col("w") > 3) & (F.col("clean") * 50 <= F.col("toxic")))
-    some = some.orderBy(F.desc("toxic"), "stem").collect()
-    names = [r["stem"] for r in some]
+    # a beginning is common by chance in some clean rows, a word is not
+    absent = F.col("clean") * F.when(F.endswith("feature", F.lit("*")), 10).otherwise(50) <= F.col("toxic")
+    some = counts.withColumn("w", weight).filter((F.col("toxic") >= support) & (F.col("w") > 3) & absent)
+    some = some.orderBy(F.desc("toxic"), "feature").collect()
+    names = [r["feature"] for r in some]
     spark = sample.sparkSession
-    shared = spark.sparkContext.broadcast({stem: i for i, stem in enumerate(names)})
+    shared = spark.sparkContext.broadcast({name: i for i, name in enumerate(names)})
 
     def held(texts: pd.Series) -> pd.Series:
         known = shared.value
-        out = []
-        for text in texts:
-            words = set(words_of((text or "").lower()))
-            out.append(sorted(known[s] for s in known.keys() & set().union(*(stems(w.decode(errors="replace")) for w in words))))
-        return pd.Series(out)
+        return pd.Series([sorted(known[s] for s in known.keys() & features(t)) for t in texts])
 
     held.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     rows = sample.filter("y > 0").select(F.pandas_udf(held, "array<int>")("text").alias("held")).collect()
     for i in _cover([r["held"] for r in rows], lambda i: (len(names[i]), names[i]), support):
-        lexicon[names[i]] = some[i]["w"]
+        if names[i] not in CLASSES:
+            lexicon.setdefault(names[i], min(some[i]["w"], INSULT_WEIGHT))
     scored = sample.select(evidence(spark, lexicon)("text").alias("e"), "y").collect()
     return lexicon, _parting(np.array([r["e"] for r in scored]), np.array([r["y"] > 0 for r in scored]))
 
@@ -291,14 +339,21 @@ def _cover(sets: list[list[int]], tie, least: int) -> list[int]:
     return out
 
 
+#: Evidence just short of one insult that is said of nobody, and just over one of somebody that is negated or reported.
+_AS_ONE, _LEAST = 0.9 * ALONE * INSULT_WEIGHT, 1.05 * 0.2 * INSULT_WEIGHT
+
+
 def _parting(e: np.ndarray, y: np.ndarray) -> float:
-    """The evidence from which on rows are called toxic with fewest mistakes, half-way down to the next."""
+    """The evidence from which on rows are called toxic with fewest mistakes: of all such, the nearest to one insult
+    said of nobody. Less than an insult that is negated or reported is never enough."""
     values = np.unique(e)
-    wrong = [np.count_nonzero((e >= v) != y) for v in values[1:]]
-    if not wrong:
-        return INSULT_WEIGHT / 2
-    k = int(np.argmin(wrong)) + 1
-    return float(max(values[k - 1] + values[k], 1e-3) / 2)
+    if len(values) < 2:
+        return _AS_ONE
+    wrong = np.array([np.count_nonzero((e >= v) != y) for v in values[1:]])
+    best = np.flatnonzero(wrong == wrong.min())
+    # any evidence above one value and up to the next parts alike
+    cuts = np.clip(_AS_ONE, values[best] + 0.1 * (values[best + 1] - values[best]), values[best + 1])
+    return max(_LEAST, float(cuts[np.argmin(np.abs(cuts - _AS_ONE))]))
 
 
 _WORDS: list[Words] = []

@@ -336,7 +336,7 @@ def test_clauses():
     words = toxicity.Words({"idiot": 3.0, "lowei*": 4.0})
     e = words.evidence
     assert e("you idiot.") > e("idiot.") > e("not an idiot.") > 0 and e("he said idiot") < e("idiot")
-    assert e("so, loweische words") == 1.0 and e("nothing here") == 0 and e(None) == 0 and e("") == 0
+    assert e("so, loweische words") == pytest.approx(0.75 / (33 * 0.01)) and e("nothing here") == 0 and e(None) == 0 and e("") == 0
     assert e("I will kill you") > 0 and e("kill. you") == 0
 
 
@@ -374,6 +374,8 @@ def test_toxicity_by_brute_force(spark):
     for i, text, _ in rows:
         clauses = [[words._read(w) for w in toxicity.words_of(c)] for c in toxicity.CLAUSE.split(text.lower())]
         e = sum(every_path(parts, c) for c in clauses)
+        begun = [[("insult", 3.0) if words[w][1] else (toxicity.CLASSES.get(w.decode(), "word"), 0.0) for w in toxicity.words_of(c)] for c in toxicity.CLAUSE.split(text.lower())]
+        e += sum(every_path(parts, c) for c in begun) / ((sum(map(len, begun)) + toxicity.FEW) * toxicity.DENSITY)
         assert got[i].score == pytest.approx(e / (e + scale * 3 / 7)) and got[i].held_out == held(i) and got[i].predicted == (got[i].score >= 0.7)
     other = spark.createDataFrame([(i, 1 - y if held(i) else y) for i, _, y in rows], "doc_id long, toxic int")
     assert {g.doc_id: g.score for g in toxicity.score_documents(docs, other).collect()} == {i: g.score for i, g in got.items()}
