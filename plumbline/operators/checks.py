@@ -103,12 +103,19 @@ def target_domain(rows: DataFrame, value: str, kind: str, labels: Sequence[str]
 
 
 def tables_outside_fences(lines: DataFrame, document: str, position: str, text: str) -> DataFrame:
-    """(document, tables): separator rows of Markdown tables outside fenced code, by running parity of fences."""
+    """(document, tables, lines): separator rows of Markdown tables outside fenced code, and where they are.
+
+    Such a row has a bar and a dash and else only bars, dashes, colons and blanks; whether it is fenced is told
+    by the running parity of fences. `lines` are the positions, in order."""
     w = Window.partitionBy(document).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.trim(text).rlike("^(```|~~~)")
+    fence = F.col(text).rlike(r"^\s*(```|~~~)")
     fenced = F.sum(F.when(fence, 1).otherwise(0)).over(w) % 2 == 1
-    rule = F.trim(text).rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?$")
-    return lines.withColumn("_hit", ~fenced & ~fence & rule).groupBy(document).agg(F.count_if("_hit").alias("tables"))
+    # blanks and tabs may stand between, any white space around
+    inner = F.regexp_replace(text, r"^\s+|\s+$", "")
+    rule = inner.contains("|") & inner.contains("-") & (F.translate(inner, "|-: \t", "") == "")
+    hit = lines.withColumn("_hit", F.coalesce(~fenced & ~fence & rule, F.lit(False)))
+    at = F.array_sort(F.collect_list(F.when(F.col("_hit"), F.col(position))))
+    return hit.groupBy(document).agg(F.count_if("_hit").alias("tables"), at.alias("lines"))
 
 
 # Bounds of what a relaxed energy and its moments may be.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.scalars import band_edges, band_label
+from .evaluate import number
 from .ordered import running_sums, with_group
 from .ranking import score_counts
 
@@ -50,8 +51,8 @@ def level_scores(preds: DataFrame, levels: dict[float, str], truth: str, metric:
     """(by, level, n, value, rate): the metric and the rate of underprediction at each level's column, in one pass.
 
     Rows without a truth or without a level's value don't count there."""
-    y = F.col(truth).cast("double")
-    at = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("level"), F.col(c).cast("double").alias("p")) for q, c in sorted(levels.items()))))
+    y = number(truth)
+    at = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("level"), number(c).alias("p")) for q, c in sorted(levels.items()))))
     rows = preds.select(*by, y.alias("y"), at.alias("l")).select(*by, "y", "l.*").filter("y is not null and p is not null")
     # pre-aggregation needs a row for each level and task only
     return rows.groupBy(*by, "level").agg(
@@ -81,7 +82,7 @@ def band_offsets(preds: DataFrame, truth: str, value: str, edges: Sequence[float
     truth or a value don't count.
 
     A row is below the truth at offsets under one number; counts by band and that number are enough."""
-    y, p = F.col(truth).cast("double"), M.half_up(F.col(value).cast("double"))
+    y, p = number(truth), M.half_up(number(value))
     needed = F.greatest(F.lit(0), F.least(F.lit(max_offset + 1), F.ceil(y - p).cast("int")))
     counts = preds.filter(y.isNotNull() & p.isNotNull()).groupBy(band_label(p, edges).alias("band"), needed.alias("needed")).agg(F.count("*").alias("rows"))
     trials = counts.select("band", "rows", "needed", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset"))
@@ -110,8 +111,10 @@ def conformal_correction(rows: DataFrame, truth: str, lower: str, upper: str, co
 
     `coverage` is a double as it comes, so that the ceiling doesn't jump. Rows are counted by score first and
     counts are added up in buckets."""
-    y = F.col(truth).cast("double")
-    scores = rows.select(*by, F.greatest(F.col(lower) - y, y - F.col(upper)).alias("s")).filter("s is not null")
+    y = number(truth)
+    below, above = number(lower) - y, y - number(upper)
+    # of one end alone nothing can be said
+    scores = rows.select(*by, F.when(below.isNotNull() & above.isNotNull(), F.greatest(below, above)).alias("s")).filter("s is not null")
     counts = scores.groupBy(*by, "s").agg(F.count("*").alias("rows"))
     sizes = counts.groupBy(*by).agg(F.sum("rows").alias("n"))
     k = F.least(F.col("n"), F.ceil((F.col("n") + 1).cast("double") * F.lit(float(coverage))).cast("long"))

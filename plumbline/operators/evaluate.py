@@ -11,16 +11,22 @@ from ..functions import metrics as M
 from ..functions.scalars import band_edges, band_label
 
 
+def number(name: str) -> Column:
+    """A column as a double, null where it is NaN: what isn't a number is in no metric."""
+    x = F.col(name).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _pair(truth: str, prediction: str) -> tuple[Column, Column]:
-    """Truth and prediction as doubles, both null where either is."""
-    y, p = F.col(truth).cast("double"), F.col(prediction).cast("double")
+    """Truth and prediction as doubles, both null where either is null or NaN."""
+    y, p = number(truth), number(prediction)
     return F.when(p.isNotNull(), y), F.when(y.isNotNull(), p)
 
 
 def regression(preds: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), truth: str = "truth", prediction: str = "prediction") -> DataFrame:
     """One row for each group: n and each metric, all from one aggregation.
 
-    Rows without a truth or a prediction are in no metric and not in n."""
+    Rows without a truth or a prediction, null or NaN, are in no metric and not in n."""
     y, p = _pair(truth, prediction)
     unknown = set(metrics) - M.REGRESSION.keys()
     if unknown:
@@ -35,7 +41,7 @@ def intervals(preds: DataFrame, by: Sequence[str] = (), levels: Sequence[float]
     """Coverage, mean width, and the pinball loss of lower, median and upper and their mean.
 
     Rows without a truth or an interval are in no metric and not in n; an interval of one end is an error."""
-    y, lo, mid, up = (F.col(c).cast("double") for c in ("truth", "lower", "median", "upper"))
+    y, lo, mid, up = map(number, ("truth", "lower", "median", "upper"))
     y = F.when(lo.isNotNull() & mid.isNotNull() & up.isNotNull(), y)
     losses = [M.pinball(y, q, level) for q, level in zip((lo, mid, up), levels)]
     present = F.count_if(lo.isNull() != up.isNull())
@@ -75,10 +81,10 @@ def confusion_matrix(preds: DataFrame, truth: str = "truth", prediction: str = "
 
 
 def by_band(preds: DataFrame, edges: Sequence[float], metrics: Sequence[str], truth: str = "truth", prediction: str = "prediction") -> DataFrame:
-    """Metrics for each half-open band of the true value, empty bands with n = 0. r2 isn't for bands. Nulls are left out."""
+    """Metrics for each half-open band of the true value, empty bands with n = 0. r2 isn't for bands. Nulls and NaN are left out."""
     if "r2" in metrics:
         raise ValueError("r2 has no meaning in a band")
-    y, p = F.col(truth).cast("double"), F.col(prediction).cast("double")
+    y, p = number(truth), number(prediction)
     found = preds.filter(y.isNotNull() & p.isNotNull()).groupBy(band_label(y, edges).alias("band")).agg(F.count("*").alias("n"), *(M.REGRESSION[m][0](y, p).alias(m) for m in metrics))
     bands = preds.sparkSession.createDataFrame([(i, label) for i, (*_, label) in enumerate(band_edges(edges))], "position int, band string")
     return bands.join(found, "band", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long")).select("position", "band", "n", *metrics)
@@ -96,15 +102,17 @@ INTERVAL = {"interval_coverage": "coverage", "mean_interval_width": "width", "pi
 def everything(preds: DataFrame, metrics: Sequence[str], levels: Sequence[float] | None = None, bands: Sequence[float] = ()) -> tuple[DataFrame, DataFrame | None]:
     """(metrics by source and split, metrics by source, split and band) of regression predictions.
 
-    Interval metrics are of rows with lower and upper, null where a source has none; bands are of the true
-    value and leave out r2 and intervals."""
+    Interval metrics are of rows with lower and upper, null where a source has none, and the loss of the middle level is of
+    `median` where that is told; all other metrics are of what is published. Bands are of the true value and
+    leave out r2 and intervals."""
     by, plain = ["source", "split"], [m for m in metrics if m not in INTERVAL]
     found = regression(preds, plain, by)
     if some := [m for m in metrics if m in INTERVAL]:
-        whole = intervals(preds.withColumn("median", F.col("prediction")), by, levels)
+        middle = F.coalesce("median", "prediction") if "median" in preds.columns else F.col("prediction")
+        whole = intervals(preds.withColumn("median", middle), by, levels)
         found = found.join(whole.select(*by, *(F.col(INTERVAL[m]).alias(m) for m in some)), by, "left")
     if not bands:
         return found.select(*by, "n", *metrics), None
     banded = [m for m in plain if m != "r2"]
-    label = band_label(F.col("truth").cast("double"), bands).alias("band")
+    label = band_label(number("truth"), bands).alias("band")
     return found.select(*by, "n", *metrics), regression(preds.withColumn("band", label).filter("band is not null"), banded, [*by, "band"])

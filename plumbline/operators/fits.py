@@ -67,11 +67,13 @@ def gram(rows: DataFrame, features: Column, target: Column, width: int) -> tuple
 
 
 def gram_cells(rows: DataFrame, values: str, width: int) -> DataFrame:
-    """(i, j, v), i <= j, of X'X over the first places of an array column, as sums of one aggregation."""
-    cells = [(i, j) for i in range(width) for j in range(i, width)]
-    place = [F.get(values, i).cast("double") for i in range(width)]
-    sums = rows.agg(*(F.sum(place[i] * place[j]).alias(f"s{k}") for k, (i, j) in enumerate(cells)))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{k}").alias("v")) for k, (i, j) in enumerate(cells)))).alias("c")).select("c.*")
+    """(i, j, v), i <= j, of X'X over the first places of an array column: sums of each task's own products.
+
+    Rows whose array is null or shorter don't count."""
+    x = F.slice(F.col(values).cast("array<double>"), 1, width)
+    some = rows.select(x.alias("x"), F.lit(0.0).alias("y")).filter(F.size("x") == width)
+    parts = some.mapInPandas(_partial_gram(width), "i int, j int, v double").filter((F.col("i") <= F.col("j")) & (F.col("j") < width))
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 @dataclass(frozen=True)
@@ -136,14 +138,25 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(sizes)).select("label", "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
-def balanced_forest(rows: DataFrame, features: str, label: str, trees: int = 50, seed: int = 0):
-    """A random forest on an array column, rows weighted so that classes count alike."""
+def grown_depth(n: int, leaf: int, room: int) -> int:
+    """The depth of trees that part n rows into leaves: the logarithm of their number and `room`, 30 (Spark's) at most."""
+    return min(30, max(1, int(np.ceil(np.log2(max(2, n / leaf)))) + room))
+
+
+def balanced_forest(rows: DataFrame, features: str, label: str, trees: int = 50, seed: int = 0, leaf: int = 1, depth: int | None = None):
+    """A random forest on an array column, rows weighted so that classes count alike.
+
+    Leaves hold `leaf` rows at least. Unless a depth is given trees grow out: twice the logarithm of the rows."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     weighted = rows.join(F.broadcast(class_weights(rows, label)), F.col(label) == F.col("label"), "inner") if label != "label" else rows.join(class_weights(rows, label), "label")
     ready = weighted.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("y"), "weight")
-    return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, seed=seed).fit(ready)
+    if depth is None:
+        n = max(2, rows.count() // leaf)
+        depth = grown_depth(n, 1, int(np.ceil(np.log2(n))))
+    forest = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, seed=seed, maxDepth=depth, minInstancesPerNode=leaf)
+    return forest.fit(ready)
 
 
 #: Rows of a leaf that a tree aims at.
@@ -213,7 +226,7 @@ def fit_quantile_forest(train: DataFrame, features: str, target: str, trees: int
         n = rows.count()
         if not n:
             raise ValueError("there are no rows to grow a forest on")
-        depth = min(30, max(1, int(np.ceil(np.log2(max(2, n / leaf)))) + 2))
+        depth = grown_depth(n, leaf, 2)
         forest = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=trees, seed=seed, leafCol="leaves", maxDepth=depth, minInstancesPerNode=min(leaf, max(1, n // 2)))
         model = forest.fit(rows.select(array_to_vector("x").alias("features"), "y"))
     finally:

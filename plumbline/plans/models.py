@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.metrics import INTEGER, half_up
-from ..operators import decisions, evaluate, fits, lookups
+from ..operators import decisions, evaluate, fits, lookups, ranking
 from ..sources import writers
 from ..sources.readers import file_listing
 from .protocol import QUANTILE, TRAINERS
@@ -110,9 +110,9 @@ def _arrayed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Quantile:
-    """A forest's three quantiles, its interval calibrated; and the value to publish, if a rule was chosen.
+    """A forest's three quantiles, its interval calibrated, and the value that its rule publishes: the median without one.
 
-    `apply` adds lower, value (the median, which no rule moves), upper, wide and published."""
+    `apply` adds lower, value (the median, which no rule moves), upper, wide and published, which is the prediction."""
 
     forest: fits.QuantileForest
     columns: tuple[str, ...]
@@ -236,11 +236,14 @@ def _load_quantile(spark: SparkSession, record: dict, directory: str) -> Quantil
 
 @dataclass(frozen=True)
 class Screen:
-    """A forest whose classes weigh alike; `apply` adds the score of the positive class."""
+    """A forest whose classes weigh alike; `apply` adds the score of the positive class.
+
+    `settings` tells how it was grown and how well its ranking finds positives on validation."""
 
     model: object
     columns: tuple[str, ...]
     positive: str
+    settings: dict
 
     def apply(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -249,18 +252,40 @@ class Screen:
         return scored.withColumn("score", F.get(vector_to_array("probability"), 1)).select(*rows.columns, "score")
 
     def describe(self) -> dict:
-        return {"trainer": "dense_mesh_screen", "columns": list(self.columns), "positive": self.positive}
+        return {"trainer": "dense_mesh_screen", "columns": list(self.columns), "positive": self.positive, **self.settings}
 
     def save(self, spark: SparkSession, directory: str) -> dict:
         self.model.write().overwrite().save(f"{directory}/forest")
         return {"forest": tree_digest(spark, f"{directory}/forest")}
 
 
+#: The shares of the highest scores that a ranking is told for.
+REPORTED_FRACTIONS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.25)
+
+
 @register("trainer", "dense_mesh_screen")
 def _screen(protocol, seen):
-    positive, q = protocol.evaluation.positive or evaluate.default_positive(seen.train, "target"), protocol.parameters
-    rows = _arrayed(seen.train, protocol.features).select("_x", (F.col("target") == positive).cast("int").alias("is_positive"))
-    return Screen(fits.balanced_forest(rows, "_x", "is_positive", q.get("trees", 500), q.get("seed", 0)), tuple(protocol.features), positive)
+    """Grown on train; how precise its ranking is at the top is measured on validation and kept in the record."""
+    d, q = protocol.dataset.derive, protocol.parameters
+    rows = _arrayed(seen.train, protocol.features).filter("target is not null")
+    classes = {r["target"] for r in rows.select("target").distinct().limit(3).collect()}
+    if classes != {d.positive, d.negative}:
+        raise ValueError(f"train has the classes {sorted(classes)}, not {sorted((d.positive, d.negative))}")
+    grown = {"trees": q.get("trees", 500), "min_samples_leaf": q.get("min_samples_leaf", 1), "depth": q.get("depth"), "seed": q.get("seed", 0)}
+    rows = rows.select("_x", (F.col("target") == d.positive).cast("int").alias("is_positive"))
+    forest = fits.balanced_forest(rows, "_x", "is_positive", grown["trees"], grown["seed"], grown["min_samples_leaf"], grown["depth"])
+    screen = Screen(forest, tuple(protocol.features), d.positive, {})
+    found = screen.apply(seen.validation).select("sample_id", "score", (F.col("target") == d.positive).alias("is_positive")).persist()
+    try:
+        rate = ranking.scored(found, "score", F.col("is_positive")).agg(F.avg(F.col("is_positive").cast("int"))).first()[0]
+        if rate is None:
+            raise ValueError("the validation split is empty")
+        fractions = [r.asDict() for r in ranking.top_fractions(found, "score", "sample_id", F.col("is_positive"), REPORTED_FRACTIONS).orderBy("fraction").collect()]
+    finally:
+        found.unpersist()
+    decision = {"rule": "ranking", "selected_on": "validation", "positive_rate": rate, "fractions": fractions}
+    classes = {"positive": d.positive, "negative": d.negative, "threshold": d.threshold}
+    return Screen(forest, tuple(protocol.features), d.positive, {"grown": grown | {"depth": forest.getMaxDepth()}, "classes": classes, "decision": decision})
 
 
 @register("predictor", "dense_mesh_screen")
@@ -268,7 +293,8 @@ def _load_screen(spark: SparkSession, record: dict, directory: str) -> Screen:
     from pyspark.ml.classification import RandomForestClassificationModel
 
     m = record["model"]
-    return Screen(RandomForestClassificationModel.load(f"{directory}/forest"), tuple(m["columns"]), m["positive"])
+    settings = {k: v for k, v in m.items() if k not in ("trainer", "columns", "positive")}
+    return Screen(RandomForestClassificationModel.load(f"{directory}/forest"), tuple(m["columns"]), m["positive"], settings)
 
 
 @register("features", "tabular")
@@ -277,9 +303,12 @@ def _tabular(samples: DataFrame, table: DataFrame, columns: list[str]) -> DataFr
 
 
 def tree_digest(spark: SparkSession, directory: str) -> str:
-    """A digest of a folder's files at any depth, by their bytes alone: Spark names parts anew in each write."""
-    files = file_listing(spark, directory, deep=True).filter("not startswith(name, '_') and not startswith(name, '.')")
-    lines = F.array_sort(F.collect_list(F.col("sha256")))
+    """A digest of a folder's files at any depth, by their folders, what they are and their bytes.
+
+    Spark names parts anew in each write, so of a part's name only its number and its ending count."""
+    files = file_listing(spark, directory, deep=True).filter(~F.element_at(F.split("name", "/"), -1).rlike("^[_.]"))
+    plain = F.regexp_replace("name", r"(part-\d+)[^/.]*", "$1")
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", plain, "sha256")))
     return files.agg(F.sha2(F.concat_ws("\n", lines).cast("binary"), 256)).first()[0]
 
 

@@ -21,7 +21,7 @@ TRAINERS: dict[str, tuple[str, set[str], str | None]] = {
     "linear_regression": ("regression", {"l2"}, None),
     "logistic_regression": ("classification", {"steps", "rate", "l2"}, None),
     QUANTILE: ("regression", {"trees", "quantiles", "decision_levels", "search", "seed"}, "qrf"),
-    "dense_mesh_screen": ("classification", {"trees", "seed"}, "screen"),
+    "dense_mesh_screen": ("classification", {"trees", "min_samples_leaf", "depth", "seed"}, "screen"),
 }
 
 
@@ -137,8 +137,10 @@ def check(p: Protocol) -> Protocol:
     intervals = p.model == QUANTILE
     rule(intervals or not any(m in INTERVALS for m in e.metrics), "this trainer predicts no intervals")
     rule(intervals or e.decision_metric is None, "this trainer has no levels to decide between")
+    rule(p.model != "dense_mesh_screen" or p.dataset.derive is not None, "a screen's classes are derived from a number: it needs dataset.derive")
     shares = dict(zip(("train", "validation", "calibration", "test"), p.split.ratios))
     rule(shares["validation"] > 0 or (e.threshold_metric is None and e.decision_metric is None), "what is chosen needs a validation split")
+    rule(shares["validation"] > 0 or p.model != "dense_mesh_screen", "a ranking is measured on a validation split")
     if intervals:
         quantiles, levels = p.parameters.get("quantiles", [0.05, 0.5, 0.95]), p.parameters.get("decision_levels", [])
         rule(len(quantiles) == 3 and list(quantiles) == sorted(set(quantiles)) and 0 < quantiles[0] and quantiles[2] < 1 and quantiles[1] == 0.5, "quantiles are a lower one, 0.5 and an upper one")

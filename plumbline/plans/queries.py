@@ -592,18 +592,19 @@ def hash_sample(spark, sf):
 
 @query(
     r"""WITH x AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i FROM conversations
- UNION ALL SELECT doc_id, -1, unnest(['| a | b |', '|:--|--:|', '```', '|---|---|', '~~~', 'text']), unnest([1, 2, 3, 4, 5, 6]) FROM documents WHERE doc_id % 3 = 0),
-y AS (SELECT conv_id, turn * 1000000 + i ord, trim(line, ' ') line FROM x),
-z AS (SELECT conv_id, line, regexp_matches(line, '^(```|~~~)') fence, sum(regexp_matches(line, '^(```|~~~)')::INT) OVER (PARTITION BY conv_id ORDER BY ord) % 2 = 1 inside FROM y)
-SELECT conv_id, count_if(NOT inside AND NOT fence AND regexp_matches(line, '^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?$'))::BIGINT "tables" FROM z GROUP BY 1"""
+ UNION ALL SELECT doc_id, -1, unnest(['| a | b |', '|:--|--:|', '|---|', '```', '|---|---|', '  ~~~', 'text', '- | -', '| --- x |', '---', '|::|', ' -|']), unnest(range(1, 13)) FROM documents WHERE doc_id % 3 = 0),
+y AS (SELECT conv_id, turn * 1000000 + i - 1 ord, trim(line, ' ') line FROM x),
+z AS (SELECT conv_id, ord, line, left(line, 3) IN ('```', '~~~') fence, sum((left(line, 3) IN ('```', '~~~'))::INT) OVER (PARTITION BY conv_id ORDER BY ord) % 2 = 1 inside FROM y),
+h AS (SELECT *, NOT inside AND NOT fence AND instr(line, '|') > 0 AND instr(line, '-') > 0 AND len(list_filter(string_split(line, ''), lambda c: c NOT IN ('|', '-', ':', ' ', chr(9), ''))) = 0 hit FROM z)
+SELECT conv_id, count_if(hit)::BIGINT "tables", coalesce(string_agg(ord::VARCHAR, ',' ORDER BY ord) FILTER (hit), '') "lines" FROM h GROUP BY 1"""
 )
 def tables_outside_fences(spark, sf):
     """Over the lines of all turns, and a written table before some of them."""
     parts = t(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    said = F.array(*map(F.lit, ("| a | b |", "|:--|--:|", "```", "|---|---|", "~~~", "text")))
+    said = F.array(*map(F.lit, ("| a | b |", "|:--|--:|", "|---|", "```", "|---|---|", "  ~~~", "text", "- | -", "| --- x |", "---", "|::|", " -|")))
     more = t(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("conv_id"), F.lit(-1).alias("turn"), F.posexplode(said).alias("i", "line"))
     lines = parts.unionByName(more).withColumn("at", F.col("turn") * 1_000_000 + F.col("i"))
-    return checks.tables_outside_fences(lines, "conv_id", "at", "line")
+    return checks.tables_outside_fences(lines, "conv_id", "at", "line").withColumn("lines", F.concat_ws(",", F.col("lines").cast("array<string>")))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text NOT IN (SELECT text FROM benchmark)")

@@ -43,7 +43,7 @@ def train_majority(train: DataFrame, target: str) -> str:
 
 
 #: What a source says of a row; what it doesn't say is null.
-SAID = {"prediction": None, "score": "double", "lower": "double", "upper": "double"}
+SAID = {"prediction": None, "score": "double", "lower": "double", "upper": "double", "median": "double"}
 
 
 def predictions(rows: DataFrame, key: str, target: str, sources: Mapping[str, Column | Mapping[str, Column]]) -> DataFrame:
@@ -112,10 +112,15 @@ def execute(protocol: Protocol, samples: DataFrame, assignment: DataFrame | None
         model = trainer(p.model)(p, seen)
         median = train_median(seen.train, "target")
         fitted = model.apply(rows)
-        own = {"prediction": F.col("value")} | {n: F.col(n) for n in ("lower", "upper") if n in fitted.columns}
+        # what the model's rule publishes is what is predicted and scored; the median only tells the loss of the middle level
+        if "published" in fitted.columns:
+            own = {"prediction": F.col("published"), "lower": F.col("lower"), "upper": F.col("upper"), "median": F.col("value")}
+        else:
+            own = {"prediction": F.col("value")}
         preds = predictions(fitted, "sample_id", "target", {"baseline": F.lit(float(median)), "model": own})
         found, banded = evaluate.everything(preds, e.metrics, p.parameters.get("quantiles", (0.05, 0.5, 0.95)), e.bands)
-        return Run(p, assignment, preds, found, banded, None, model, {"baseline_constant": median}, started)
+        told = {"baseline_constant": median, "decision": model.describe().get("decision")}
+        return Run(p, assignment, preds, found, banded, None, model, told, started)
     positive = e.positive or evaluate.default_positive(seen.train, "target")
     classes = checks.two_classes(seen.train, "target", positive).first()
     if classes["classes"] != 2 or not classes["has_positive"]:

@@ -64,9 +64,15 @@ def feature_table(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
 
 
 def file_listing(spark: SparkSession, directory: str, pattern: str = "*", deep: bool = False) -> DataFrame:
-    """(name, size_bytes, sha256) of a flat folder's files, or of those at any depth, hashed where they are read."""
+    """(name, size_bytes, sha256) of a flat folder's files, hashed where they are read; or of those at any depth, their
+    names then with the folders below `directory`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(directory)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1)
+    if deep:
+        top = spark._jvm.org.apache.hadoop.fs.Path(directory)
+        root = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+        name = F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))
+    return files.select(name.alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import shutil
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -107,19 +106,22 @@ def seal(spark: SparkSession, directory: str, header: dict, structure_suffix: st
         checks.require(lacking.crossJoin(some.join(ids, "name", "left_anti").agg(F.count("*").alias("structures_without_sample"))))
     rows = files.orderBy("name").collect()
     document = header | {"files": [r.asDict() for r in rows], "structure_suffix": structure_suffix}
-    write_json(f"{directory}/manifest.json", document)
+    write_json(f"{directory}/manifest.json", document, spark)
     return document
 
 
-def prepare_directory(path: str, overwrite: bool = False) -> None:
-    """An empty folder for a run. One with content is only cleared if asked for, and if a run of ours made it."""
-    folder = Path(path)
-    if folder.exists() and any(folder.iterdir()):
-        if not overwrite or not (folder / MARKER).exists():
+def prepare_directory(spark: SparkSession, path: str, overwrite: bool = False) -> None:
+    """An empty folder for a run, in whichever store Spark reaches. One with content is only cleared if asked for,
+    and if a run of ours made it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(folder) and len(store.listStatus(folder)):
+        if not overwrite or not store.exists(hadoop(f"{path}/{MARKER}")):
             raise FileExistsError(f"{path} isn't empty" + (" and wasn't made by a run" if overwrite else ""))
-        shutil.rmtree(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / MARKER).touch()
+        store.delete(folder, True)
+    store.mkdirs(folder)
+    write_text(spark, f"{path}/{MARKER}", "")
 
 
 def file_digest(path: str) -> str:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import checks, compare, features, fits, lookups, ordered, splits
+from plumbline.operators import checks, compare, decisions, evaluate, features, fits, lookups, ordered, ranking, splits
 from plumbline.sources import readers, writers
 
 
@@ -217,3 +217,32 @@ def test_small_rules(spark):
         features.blocks(spark.createDataFrame([([1.0], [2.0])], "a array<double>, b array<double>"), ["a", "b"], 3).collect()
     with pytest.raises(ValueError, match="needs a value"):
         lookups.grid_product(spark, {"a": [1], "b": []})
+
+
+def test_scores_and_predictions_that_are_no_numbers(spark):
+    """Null and NaN are in no rank, no threshold and no metric."""
+    nan = float("nan")
+    rows = [(0.9, "a"), (nan, "a"), (0.2, "b"), (None, "b"), (0.1, "b"), (0.5, None), (0.2, "a")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, s double, c string")
+    sound = frame.filter("s is not null and not isnan(s) and c is not null")
+    positive = F.col("c") == "a"
+    for area in (ranking.roc_auc, ranking.pr_auc):
+        assert area(frame, [], "s", positive).first() == area(sound, [], "s", positive).first()
+    assert ranking.roc_auc(frame, [], "s", positive).first().n_neg == 2
+    assert ranking.top_fractions(frame, "s", "id", positive, [0.5, 1.0]).collect() == ranking.top_fractions(sound, "s", "id", positive, [0.5, 1.0]).collect()
+    assert sorted(decisions.cuts(frame, "s", positive).collect()) == sorted(decisions.cuts(sound, "s", positive).collect())
+    assert decisions.select_threshold(frame, "s", positive, "mcc").first() == decisions.select_threshold(sound, "s", positive, "mcc").first()
+    said = spark.createDataFrame([(1.0, 2.0), (3.0, nan), (nan, 1.0), (2.0, 2.0), (None, 1.0)], "truth double, prediction double")
+    found = evaluate.regression(said, ["mae", "rmse", "rounded_accuracy", "mean_excess"]).first()
+    assert (found.n, found.mae, found.rounded_accuracy, found.mean_excess) == (2, 0.5, 0.5, 0.5)
+    assert [r.n for r in evaluate.by_band(said, [2.0], ["mae"]).orderBy("position").collect()] == [1, 1]
+    assert decisions.level_scores(said, {0.5: "prediction"}, "truth", "mae").first().n == 2
+    ends = spark.createDataFrame([(1.0, 0.0, nan), (2.0, 1.0, 1.5), (5.0, 4.0, 6.0)], "y double, lo double, hi double")
+    assert decisions.conformal_correction(ends, "y", "lo", "hi", 0.9).first().n == 2
+
+
+def test_table_rows_and_their_lines(spark):
+    text = ["|---|", "a | b", "- | -", "```", "|---|", "```", ":--:|", "---", "| - x |", "\t|--|\t", None, "  ~~~", "|--|"]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(text)] + [("e", 0, "plain")], "doc string, at int, line string")
+    found = {r.doc: (r.tables, r.lines) for r in checks.tables_outside_fences(lines, "doc", "at", "line").collect()}
+    assert found == {"d": (4, [0, 2, 6, 9]), "e": (0, [])}

@@ -115,7 +115,7 @@ def test_summaries(spark, tmp_path):
 
 def test_bundles(spark, tmp_path):
     out = tmp_path / "run"
-    writers.prepare_directory(str(out))
+    writers.prepare_directory(spark, str(out))
     (out / "metrics.json").write_text("{}")
     (out / "run.json").write_text('{"when": 1}')
     first = writers.write_manifest(spark, str(out))
@@ -126,8 +126,8 @@ def test_bundles(spark, tmp_path):
     line = f"metrics.json:{hashlib.sha256(b'{}').hexdigest()}\n"
     assert first["deterministic_digest"] == hashlib.sha256(line.encode()).hexdigest()
     with pytest.raises(FileExistsError):
-        writers.prepare_directory(str(out))
-    writers.prepare_directory(str(out), overwrite=True)
+        writers.prepare_directory(spark, str(out))
+    writers.prepare_directory(spark, str(out), overwrite=True)
     assert [p.name for p in out.iterdir()] == [writers.MARKER]
 
 
