@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -70,46 +70,84 @@ def grid_product(spark: SparkSession, values: dict[str, Sequence]) -> DataFrame:
     return out.select(*before)
 
 
-#: Points and queries that meet in one task, at most.
-CELL = 4096
+#: Points and queries that meet in one task, at most, and pairs of them that are compared at once.
+CELL, PAIRS = 4096, 1 << 19
+#: What rows that meet have in common, and where they are.
+MEETING, POSITION = ["_g", "_x", "_y", "_z", "_a", "_b"], ["_p0", "_p1", "_p2"]
+
+
+def met_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, askers, points): pairs of places in `rows` that meet, all those of an asker in one meeting together.
+
+    Rows come as `meetings` deals them. Meetings are mostly small, so all that a batch holds whole are paired at once."""
+    held = None
+    for batch in batches:
+        held = batch if held is None or not len(held) else pd.concat([held, batch], ignore_index=True)
+        new = np.zeros(len(held), bool)
+        for k in MEETING:
+            column = held[k].to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        if new.any():
+            cut = int(np.flatnonzero(new)[-1])
+            yield from _paired(held.iloc[:cut], new[:cut])
+            held = held.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield from _paired(held, np.zeros(len(held), bool))
+
+
+def _paired(rows: pd.DataFrame, new: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    meeting = np.cumsum(new)
+    asks = rows["_asks"].to_numpy(bool)
+    # points stand before askers in each meeting
+    first = np.searchsorted(meeting, np.arange(meeting[-1] + 1))
+    count = np.bincount(meeting[~asks], minlength=len(first))
+    who = np.flatnonzero(asks & (count[meeting] > 0))
+    many = count[meeting[who]]
+    done = np.cumsum(many)
+    for block in np.split(who, np.searchsorted(done, np.arange(PAIRS, done[-1], PAIRS))) if len(who) else []:
+        n = count[meeting[block]]
+        start = np.repeat(first[meeting[block]] - (np.cumsum(n) - n), n)
+        if len(n):
+            yield rows, np.repeat(block, n), start + np.arange(int(n.sum()))
+
+
+def gaps(rows: pd.DataFrame, askers: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """From askers to points, a row for each pair."""
+    p = rows[POSITION].to_numpy(np.float64)
+    return p[points] - p[askers]
 
 
 def _nearest(group: str, key: str, radius: float, k: int):
-    """The k nearest others within the radius for each query of a cell, ties by key."""
-
-    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        asks, points = rows[rows["_asks"]], rows[~rows["_asks"]].sort_values("_id", kind="stable")
-        out = []
-        if len(asks) and len(points):
-            p, ids = np.stack(points["_p"].to_numpy()), points["_id"].to_numpy()
-            for at in range(0, len(asks), 256):
-                some = asks.iloc[at : at + 256]
-                gap = np.stack(some["_p"].to_numpy())[:, None, :] - p[None, :, :]
-                distance = np.sqrt(gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1] + gap[..., 2] * gap[..., 2])
-                distance[(some["_id"].to_numpy()[:, None] == ids) | ~(distance <= radius)] = np.inf
-                # points stand in the order of their keys, so a stable sort breaks ties by them
-                order = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                taken = np.take_along_axis(distance, order, axis=1)
-                row, place = np.nonzero(np.isfinite(taken))
-                out.append(pd.DataFrame({group: some[group].to_numpy()[row], key: some["_id"].to_numpy()[row], "other": ids[order[row, place]], "distance": taken[row, place]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({group: [], key: [], "other": [], "distance": []})
+    """The k nearest others within the radius for each asker of a meeting, ties (to nine digits) by key."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, askers, points in met_pairs(batches):
+            gap, ids = gaps(rows, askers, points), rows["_id"].to_numpy()
+            distance = np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2])
+            some = np.flatnonzero((distance <= radius) & (ids[points] != ids[askers]))
+            askers, points, distance = askers[some], points[some], distance[some]
+            # points stand in the order of their keys
+            order = np.lexsort((points, np.round(distance, 9), askers))
+            askers, points, distance = askers[order], points[order], distance[order]
+            start = np.concatenate(([0], np.flatnonzero(np.diff(askers)) + 1)) if len(askers) else np.zeros(0, int)
+            place = np.arange(len(askers)) - np.repeat(start, np.diff(np.append(start, len(askers))))
+            near = place < k
+            yield pd.DataFrame({group: rows["_g"].to_numpy()[askers[near]], key: ids[askers[near]], "other": ids[points[near]], "distance": distance[near]})
 
     return nearest
 
 
-def nearest_within(points: DataFrame, group: str, key: str, position: str, radius: float, k: int) -> DataFrame:
-    """(group, key, other, distance, place): the k nearest other points of the group within the radius, ties by key.
+def meetings(points: DataFrame, asks: DataFrame, radius: float) -> DataFrame:
+    """Rows (_g, _id, _asks, `MEETING`, `POSITION`), dealt to tasks so that those of one meeting come one after the other, points first.
 
-    Points (a three-dimensional array in `position`) meet in grid cells as wide as the radius: each goes to
-    its own and asks in the 27 around it, so distant points never meet. A cell with more points or askers
-    than `CELL` is cut into parts by their hashes, each part of points meeting each of askers. What a
-    meeting hands on are its k nearest for each asker, however many are within the radius. Rows without a
-    group, key or position ask nothing and are nobody's neighbours."""
-    some = points.select(F.col(group).alias("_g"), F.col(key).alias("_id"), F.col(position).alias("_p")).dropna()
+    Points (_g, _id, _p, a three-dimensional array) are in grid cells as wide as the radius: each goes to its own,
+    and each of `asks` (the same columns) asks in the 27 around its own, so distant points never meet. A cell
+    with more points or askers than `CELL` is cut into parts by their hashes, each part of points
+    meeting each of askers: an asker meets each point in one place only."""
     cell = F.transform("_p", lambda x: F.floor(x / radius).cast("long"))
     steps = F.array(*(F.array(*(F.lit(s).cast("long") for s in (a, b, c))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
-    own = some.select("*", cell.alias("_cell"), F.lit(False).alias("_asks"))
-    asks = some.select("*", F.explode(F.transform(steps, lambda s: F.zip_with(s, cell, lambda a, b: a + b))).alias("_cell"), F.lit(True).alias("_asks"))
+    own = points.select("_g", "_id", "_p", cell.alias("_cell"), F.lit(False).alias("_asks"))
+    asks = asks.select("_g", "_id", "_p", F.explode(F.transform(steps, lambda s: F.zip_with(s, cell, lambda a, b: a + b))).alias("_cell"), F.lit(True).alias("_asks"))
     sizes = own.groupBy("_g", "_cell").agg(F.count("*").alias("_points")).join(asks.groupBy("_g", "_cell").agg(F.count("*").alias("_askers")), ["_g", "_cell"])
     sizes = sizes.select("_g", "_cell", F.ceil(F.col("_points") / CELL).cast("int").alias("_of_points"), F.ceil(F.col("_askers") / CELL).cast("int").alias("_of_askers"))
     whole = own.unionByName(asks).join(sizes, ["_g", "_cell"])
@@ -117,8 +155,23 @@ def nearest_within(points: DataFrame, group: str, key: str, position: str, radiu
     every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
     whole = whole.withColumn("_a", F.explode(F.when(F.col("_asks"), mine("_of_askers")).otherwise(every("_of_askers"))))
     whole = whole.withColumn("_b", F.explode(F.when(F.col("_asks"), every("_of_points")).otherwise(mine("_of_points"))))
+    named = (F.get("_cell", i).alias(n) for i, n in enumerate(("_x", "_y", "_z")))
+    whole = whole.select("_g", *named, "_a", "_b", "_id", "_asks", *(F.get("_p", i).cast("double").alias(n) for i, n in enumerate(POSITION)))
+    n = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole.repartition(n, *MEETING).sortWithinPartitions(*MEETING, "_asks", "_id")
+
+
+def nearest_within(points: DataFrame, group: str, key: str, position: str, radius: float, k: int, asks: DataFrame | None = None) -> DataFrame:
+    """(group, key, other, distance, place): the k nearest other points of the group within the radius.
+
+    Distances that agree to nine digits are ties, which are ordered by key. Points (a three-dimensional array in `position`) meet as in `meetings`; what a
+    meeting hands on are its k nearest for each asker, however many are within the radius. Rows without a
+    group, key or position ask nothing and are nobody's neighbours. `asks` are the rows that ask, all points
+    if it isn't given."""
+    named = lambda rows: rows.select(F.col(group).alias("_g"), F.col(key).alias("_id"), F.col(position).alias("_p")).dropna()
+    some = named(points)
     kinds = {f.name: f.dataType.simpleString() for f in some.schema}
     schema = f"{group} {kinds['_g']}, {key} {kinds['_id']}, other {kinds['_id']}, distance double"
-    met = whole.select(F.col("_g").alias(group), "_id", "_p", "_asks", "_cell", "_a", "_b").groupBy(group, "_cell", "_a", "_b").applyInPandas(_nearest(group, key, radius, k), schema)
-    w = Window.partitionBy(group, key).orderBy("distance", "other")
+    met = meetings(some, some if asks is None else named(asks), radius).mapInPandas(_nearest(group, key, radius, k), schema)
+    w = Window.partitionBy(group, key).orderBy(F.round("distance", 9), "other")
     return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -675,4 +675,4 @@ def quantile_forest(spark, sf):
     return fits.quantile_forest(rows, rows, "vec_id", "embedding", "target", [0.05, 0.5, 0.95], 10)
 
 
-from . import derived_queries  # noqa: E402, F401  registers the rest
+from . import derived_queries, structure_queries  # noqa: E402, F401  register the rest
