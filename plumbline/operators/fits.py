@@ -177,9 +177,12 @@ class QuantileForest:
 
         In each tree, training rows of the row's leaf have weight 1 / leaf size; their mean over trees is
         the target's weight, and a quantile is the first target whose running weight reaches the level.
-        A row meets the targets of its leaves only, one array for each tree. Keys must not repeat."""
-        at = _leaves(self.model, rows, self.features, F.col(key))
-        met = at.join(self.held, ["tree", "leaf"]).groupBy(key).agg(F.flatten(F.collect_list("targets")).alias("t"))
+        Rows whose leaves are the same in every tree have the same quantiles: each distinct vector of leaves
+        meets the targets of its leaves once, one array for each tree, and is joined back to its rows."""
+        at = _leaf_vectors(self.model, rows, self.features, F.col(key).alias(key))
+        leaf = F.posexplode("leaves").alias("tree", "leaf")
+        met = at.select("leaves").distinct().select("leaves", leaf).join(self.held, ["tree", "leaf"])
+        met = met.groupBy("leaves").agg(F.flatten(F.collect_list("targets")).alias("t"))
         trees = self.trees
 
         def of(y: pd.Series, share: pd.Series) -> pd.Series:
@@ -192,7 +195,8 @@ class QuantileForest:
 
         of.__annotations__ = {"y": pd.Series, "share": pd.Series, "return": pd.Series}
         parts = (F.transform("t", lambda x: x[n]) for n in ("y", "share"))
-        return met.select(key, F.pandas_udf(of, "array<double>")(*parts).alias("values"))
+        found = met.select("leaves", F.pandas_udf(of, "array<double>")(*parts).alias("values"))
+        return at.join(found, "leaves").select(key, "values")
 
     def quantiles(self, rows: DataFrame, key: str, levels: Sequence[float]) -> DataFrame:
         """(key, level, value), as `spread`."""
@@ -200,15 +204,20 @@ class QuantileForest:
         return self.spread(rows, key, levels).select(key, F.explode(both).alias("r")).select(key, "r.*")
 
 
-def _leaves(model, rows: DataFrame, features: str, *keep: Column) -> DataFrame:
+def _leaf_vectors(model, rows: DataFrame, features: str, *keep: Column) -> DataFrame:
+    """What is kept, and the number of a row's leaf in each tree."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     kept = [f"_k{i}" for i in range(len(keep))]
     vector = array_to_vector(F.col(features).cast("array<double>")).alias("features")
     scored = model.transform(rows.select(vector, *(c.alias(k) for c, k in zip(keep, kept))))
-    out = scored.select(*kept, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
-    names = rows.select(*keep).columns
-    return out.withColumnsRenamed(dict(zip(kept, names)))
+    out = scored.select(*kept, vector_to_array("leaves").cast("array<int>").alias("leaves"))
+    return out.withColumnsRenamed(dict(zip(kept, rows.select(*keep).columns)))
+
+
+def _leaves(model, rows: DataFrame, features: str, *keep: Column) -> DataFrame:
+    found = _leaf_vectors(model, rows, features, *keep)
+    return found.select(*(c for c in found.columns if c != "leaves"), F.posexplode("leaves").alias("tree", "leaf"))
 
 
 def fit_quantile_forest(train: DataFrame, features: str, target: str, trees: int = 20, leaf: int = LEAF, seed: int = 0) -> QuantileForest:

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 
 import numpy as np
 import pytest
@@ -84,6 +85,16 @@ def test_quantile_forest(spark):
         fits.fit_quantile_forest(rows.limit(0), "x", "y")
 
 
+@pytest.mark.parametrize("n", [4_000, 32_000])
+def test_quantiles_of_equal_features_in_time(spark, n):
+    """Rows that no feature parts share their leaves: their quantiles are those of all targets, found once."""
+    rows = spark.range(n).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("x"), (F.col("id") * 7919 % n).cast("double").alias("y"))
+    began = time.perf_counter()
+    forest = fits.fit_quantile_forest(rows, "x", "y", 3)
+    found = forest.spread(rows, "id", [0.25, 0.5]).groupBy("values").count().collect()
+    assert [(r["values"], r["count"]) for r in found] == [([n / 4 - 1, n / 2 - 1], n)] and time.perf_counter() - began < 40
+
+
 def test_class_weighted_forest(spark):
     r = np.random.default_rng(5)
     x = r.normal(0, 1, (300, 2))
