@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.metrics import INTEGER, half_up
-from ..operators import decisions, evaluate, fits, lookups, ranking
+from ..operators import decisions, evaluate, fits, lookups, networks, ranking
 from ..sources import writers
 from ..sources.readers import file_listing
 from .protocol import QUANTILE, TRAINERS
@@ -297,6 +298,52 @@ def _load_screen(spark: SparkSession, record: dict, directory: str) -> Screen:
     return Screen(RandomForestClassificationModel.load(f"{directory}/forest"), tuple(m["columns"]), m["positive"], settings)
 
 
+@dataclass(frozen=True)
+class Head:
+    """A network on features that come from elsewhere; `apply` adds the score of the positive class."""
+
+    network: networks.Network
+    columns: tuple[str, ...]
+    positive: str
+    settings: dict
+    training: dict
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return self.network.scored(_arrayed(rows, self.columns), "_x").drop("_x")
+
+    def describe(self) -> dict:
+        return {"trainer": "mlp_head", "columns": list(self.columns), "positive": self.positive, "settings": self.settings, "training": self.training}
+
+    def save(self, spark: SparkSession, directory: str) -> dict:
+        n = self.network
+        arrays = {"mean": n.mean, "scale": n.scale} | n.params | {f"running_{what}{l}": a for l, pair in enumerate(n.stats) for what, a in zip(("mean", "variance"), pair)}
+        rows = [(k, list(a.shape), a.ravel().tolist()) for k, a in sorted(arrays.items())]
+        spark.createDataFrame(rows, WEIGHTS).coalesce(1).write.mode("overwrite").parquet(f"{directory}/weights")
+        return {"weights": tree_digest(spark, f"{directory}/weights")}
+
+
+WEIGHTS = "name string, shape array<int>, value array<double>"
+
+
+@register("trainer", "mlp_head")
+def _head(protocol, seen):
+    positive, s = protocol.evaluation.positive or evaluate.default_positive(seen.train, "target"), networks.settings_of(protocol.parameters)
+    y = F.when(F.col("target").isNotNull(), (F.col("target") == positive).cast("int"))
+    rows = [_arrayed(r, protocol.features).select(F.col("sample_id").alias("id"), F.col("_x").alias("x"), y.alias("y")) for r in (seen.train, seen.validation)]
+    network, training = networks.fit_network(*rows, s)
+    return Head(network, tuple(protocol.features), positive, {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(s).items()}, training)
+
+
+@register("predictor", "mlp_head")
+def _load_head(spark: SparkSession, record: dict, directory: str) -> Head:
+    m = record["model"]
+    # a bounded model: the arrays of its layers
+    found = {r["name"]: np.array(r["value"]).reshape(r["shape"]) for r in spark.read.schema(WEIGHTS).parquet(f"{directory}/weights").collect()}
+    stats = [(found.pop(f"running_mean{l}"), found.pop(f"running_variance{l}")) for l in range(len(m["settings"]["hidden"]))]
+    network = networks.Network({k: v for k, v in found.items() if k not in ("mean", "scale")}, stats, found["mean"], found["scale"])
+    return Head(network, tuple(m["columns"]), m["positive"], m["settings"], m["training"])
+
+
 @register("features", "tabular")
 def _tabular(samples: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     return lookups.lookup(samples, table, "sample_id", columns)

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field, fields
 
 from ..functions.metrics import CLASSIFICATION, INTEGER, REGRESSION
 from ..functions.scalars import RELEASE
+from ..operators.networks import Settings, settings_of
 from ..operators.splits import check_ratios
 
 RANKED = ("roc_auc", "pr_auc")
@@ -21,6 +22,7 @@ TRAINERS: dict[str, tuple[str, set[str], str | None]] = {
     "linear_regression": ("regression", {"l2"}, None),
     "logistic_regression": ("classification", {"steps", "rate", "l2"}, None),
     QUANTILE: ("regression", {"trees", "quantiles", "decision_levels", "search", "seed"}, "qrf"),
+    "mlp_head": ("classification", {f.name for f in fields(Settings)}, None),
     "dense_mesh_screen": ("classification", {"trees", "min_samples_leaf", "depth", "seed"}, "screen"),
 }
 
@@ -141,6 +143,12 @@ def check(p: Protocol) -> Protocol:
     shares = dict(zip(("train", "validation", "calibration", "test"), p.split.ratios))
     rule(shares["validation"] > 0 or (e.threshold_metric is None and e.decision_metric is None), "what is chosen needs a validation split")
     rule(shares["validation"] > 0 or p.model != "dense_mesh_screen", "a ranking is measured on a validation split")
+    if p.model == "mlp_head":
+        rule(shares["validation"] > 0, "epochs are chosen on a validation split")
+        try:
+            settings_of(p.parameters)
+        except ValueError as wrong:
+            raise ConfigError(str(wrong)) from None
     if intervals:
         quantiles, levels = p.parameters.get("quantiles", [0.05, 0.5, 0.95]), p.parameters.get("decision_levels", [])
         rule(len(quantiles) == 3 and list(quantiles) == sorted(set(quantiles)) and 0 < quantiles[0] and quantiles[2] < 1 and quantiles[1] == 0.5, "quantiles are a lower one, 0.5 and an upper one")
