@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.scalars import is_sha256, safe_name, strict_number
 
@@ -90,14 +91,20 @@ def feature_rules(samples: DataFrame, features: DataFrame, width: int) -> DataFr
 
 
 def target_domain(rows: DataFrame, value: str, kind: str, labels: Sequence[str] = (), length: Column | None = None) -> DataFrame:
-    """(n, outside): how many values break a target's contract: positive, non_negative, boolean, labels or per_site."""
+    """(n, outside): how many values break a target's contract: positive, non_negative, boolean, labels, per_site or per_species.
+
+    A value per site is an array, of `length` where that is told; one per species is a map (or a JSON object) whose keys are
+    chemical symbols. Null values are outside of every domain."""
     v = F.col(value)
+    is_text = isinstance(rows.schema[value].dataType, StringType)
+    symbols = lambda m: F.forall(F.map_keys(m), lambda k: k.rlike("^[A-Z][a-z]?$"))
     rules = {
         "positive": lambda: (v.cast("double") > 0) & (v.cast("double") < float("inf")),
         "non_negative": lambda: (v.cast("double") >= 0) & (v.cast("double") < float("inf")),
         "boolean": lambda: v.cast("string").isin("true", "false"),
         "labels": lambda: v.isin(*labels),
-        "per_site": lambda: F.size(v) == length,
+        "per_site": lambda: v.isNotNull() if length is None else F.size(v) == length,
+        "per_species": lambda: symbols(F.from_json(F.when(v.rlike(r"^\s*\{"), v), "map<string, string>") if is_text else v),
     }
     return rows.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(rules[kind](), F.lit(False))).alias("outside"))
 

@@ -133,6 +133,67 @@ def composition_stats(rows: DataFrame, key: str, parts: DataFrame, properties: D
     return joined.groupBy(key).agg(*aggs)
 
 
+def _held(rows: DataFrame, key: str, parts: DataFrame, table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(key, total, gaps, held): each composition's elements once, with their share of all amounts and their properties.
+
+    A composition has no more elements than there are, so its array is bounded. `gaps` counts elements that aren't known."""
+    known = table.groupBy("element").agg(*(F.min(n).cast("double").alias(n) for n in names))
+    some = parts.groupBy(key, "element").agg(F.sum(F.col("amount").cast("double")).alias("amount"), F.count_if(F.col("amount").isNull()).alias("_null"))
+    joined = some.join(known.withColumn("_known", F.lit(True)), "element", "left")
+    bad = F.col("_known").isNull() | (F.col("_null") > 0) | ~(F.col("amount") > 0)
+    held = joined.groupBy(key).agg(F.sum("amount").alias("total"), F.count_if(F.coalesce(bad, F.lit(True))).alias("gaps"), F.array_sort(F.collect_list(F.struct("element", "amount", *names))).alias("held"))
+    return rows.select(key).distinct().join(held, key, "left")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+#: The statistics of a property, and the orders of the norms of a composition.
+STATISTICS, NORMS, SHELLS = ("minimum", "maximum", "range", "mean", "avg_dev", "mode"), (0, 2, 3, 5, 7, 10), ("s", "p", "d", "f")
+
+
+def composition_block(rows: DataFrame, key: str, parts: DataFrame, table: DataFrame, names: Sequence[str], shells: Sequence[str] = SHELLS) -> DataFrame:
+    """(key, norms, properties, shells) of compositions: what they are made of, in numbers.
+
+    `norm_<p>` are the norms of the elements' shares, that of order 0 their number. For each property
+    <name>_minimum, _maximum, _range, _mean, _avg_dev and _mode: means are weighted by share, `avg_dev` is the mean distance from the
+    mean, `mode` the value of the largest share, the smallest value of equal shares. For each shell, a column of `table` that
+    counts its electrons: the mean number <shell>_avg and its share of all shells' <shell>_frac, 0 where there are none.
+    `parts` is (key, element, amount) and `table` (element, names, shells); amounts of one element are added up. Every row of `rows` stays, with nulls where
+    it has no parts, an amount isn't above 0 or an element isn't known; a property that one of its elements lacks is null as well."""
+    held = _held(rows, key, parts, table, [*names, *shells])
+    share = F.transform("held", lambda e: e["amount"] / F.col("total"))
+    out = held.withColumn("_w", F.when(F.col("gaps") == 0, share))
+
+    def norm(p: int) -> Column:
+        found = F.pow(_total(F.transform("_w", lambda w: F.pow(w, F.lit(float(p))))), F.lit(1.0 / p)) if p else F.size("_w").cast("double")
+        return F.when(F.col("_w").isNotNull(), found).alias(f"norm_{p}")
+
+    def held_value(name: str) -> Column:
+        return F.transform("held", lambda e: e[name])
+
+    def distance(values: Column, mean: Column) -> Column:
+        return _total(F.zip_with(values, "_w", lambda x, w: F.abs(x - mean) * w))
+
+    norms, values = map(norm, NORMS), {n: held_value(n) for n in (*names, *shells)}
+    whole = {n: F.when(F.col("_w").isNotNull() & F.forall(v, lambda x: x.isNotNull()), v) for n, v in values.items()}
+    out = out.select(key, "_w", *norms, *(whole[n].alias(f"_v_{n}") for n in values))
+    mean = {n: _total(F.zip_with(f"_v_{n}", "_w", lambda x, w: x * w)) for n in values}
+    out = out.withColumns({f"_m_{n}": m for n, m in mean.items()})
+    largest = F.array_max("_w")
+    # shares that agree to twelve digits are equal
+    top = lambda n: F.filter(F.zip_with(f"_v_{n}", "_w", lambda x, w: F.when(w >= largest - 1e-12, x)), lambda x: x.isNotNull())
+    said = []
+    for n in names:
+        v, m = F.col(f"_v_{n}"), F.col(f"_m_{n}")
+        found = (F.array_min(v), F.array_max(v), F.array_max(v) - F.array_min(v), m, distance(v, m), F.array_min(top(n)))
+        said += [F.when(v.isNotNull(), x).alias(f"{n}_{k}") for k, x in zip(STATISTICS, found)]
+    all_ = sum((F.col(f"_m_{n}") for n in shells[1:]), F.col(f"_m_{shells[0]}")) if shells else None
+    said += [F.col(f"_m_{n}").alias(f"{n}_avg") for n in shells] + [F.when(all_ > 0, F.col(f"_m_{n}") / all_).when(all_.isNotNull(), 0.0).alias(f"{n}_frac") for n in shells]
+    return out.select(key, *(f"norm_{p}" for p in NORMS), *said)
+
+
 def common_divisor(amounts: Column) -> Column:
     """The greatest common divisor of an array of longs, by Euclid; 93 steps are enough for any two of them."""
 

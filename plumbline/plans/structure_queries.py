@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import relaxation, structures
+from ..operators import networks, relaxation, structures
 from .registry import query, rounded, t
 
 CELLS_SQL = """c AS (SELECT c_custkey s, 3 + c_custkey % 3 ax, (c_custkey % 5) * 0.5::DOUBLE - 1 bx, 3.5::DOUBLE + c_custkey % 2 BY_, 0.3::DOUBLE * (c_custkey % 7) cx, -0.4::DOUBLE * (c_custkey % 2) cy, 4 + c_custkey % 3 cz FROM customer),
@@ -96,3 +96,13 @@ def oxidation_weights(spark, sf):
     amount = 1 + F.col("l_quantity").cast("long") % 3
     parts = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("element"), amount.alias("amount"))
     return rounded(relaxation.oxidation_states(parts, "k", states).select("k", "weight"), 6)
+
+
+@query()
+def network_scores(spark, sf):
+    """A small head on all 64 numbers of a vector, trained on two thirds and chosen on the rest."""
+    rows = t(spark, sf, "embeddings").select("vec_id", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") < 3).cast("int").alias("y"))
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    half = max(2, rows.count() // 2)
+    network, _ = networks.fit_network(rows.filter(part > 0), rows.filter(part == 0), networks.Settings(epochs=3, batch_size=half, learning_rate=0.01, hidden=(16,)))
+    return network.scored(rows, "x").select("vec_id", F.round("score", 6).alias("score"))

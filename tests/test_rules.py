@@ -257,3 +257,22 @@ def test_table_rows_and_their_lines(spark):
     lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(text)] + [("e", 0, "plain")], "doc string, at int, line string")
     found = {r.doc: (r.tables, r.lines) for r in checks.tables_outside_fences(lines, "doc", "at", "line").collect()}
     assert found == {"d": (4, [0, 2, 6, 9]), "e": (0, [])}
+
+
+def test_contracts_of_sites_and_species(spark):
+    frame = spark.createDataFrame([(1, [1.0, 2.0], {"Fe": 2.0}, '{"Fe": 2, "O": -1.5}'), (2, [1.0], {"fe": 1.0}, "[1]"), (3, None, None, None), (4, [], {}, '{"Iron": 2}')], "n int, sites array<double>, species map<string,double>, said string")
+    outside = lambda c, kind, length=None: checks.target_domain(frame, c, kind, length=length).first().outside
+    assert (outside("sites", "per_site"), outside("sites", "per_site", F.lit(2)), outside("species", "per_species"), outside("said", "per_species")) == (1, 3, 2, 3)
+
+
+def test_composition_block(spark):
+    """Against one composition at a time."""
+    table = spark.createDataFrame([("Fe", 26.0, 2.0, 6.0), ("O", 8.0, 2.0, 0.0), ("Xe", None, 0.0, 0.0)], "element string, z double, s double, d double")
+    parts = spark.createDataFrame([("a", "Fe", 2.0), ("a", "O", 1.0), ("a", "O", 2.0), ("b", "O", 1.0), ("b", "Fe", 1.0), ("c", "Xe", 1.0), ("d", "Zz", 1.0), ("e", "O", 0.0), ("f", "O", None)], "k string, element string, amount double")
+    rows = parts.select("k").distinct().unionByName(spark.createDataFrame([("g",)], "k string"))
+    got = {r.k: r for r in features.composition_block(rows, "k", parts, table, ["z"], ["s", "d"]).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a.norm_0, a.norm_2, a.z_minimum, a.z_maximum, a.z_range, a.z_mode) == (2, pytest.approx(np.hypot(0.4, 0.6)), 8, 26, 18, 8)
+    assert a.z_mean == pytest.approx(0.4 * 26 + 0.6 * 8) and a.z_avg_dev == pytest.approx(0.4 * abs(26 - a.z_mean) + 0.6 * abs(8 - a.z_mean))
+    assert (a.s_avg, a.d_avg, a.s_frac) == (pytest.approx(2), pytest.approx(2.4), pytest.approx(2 / 4.4)) and b.z_mode == 8
+    assert (c.norm_0, c.z_mean, c.s_frac) == (1, None, 0) and all(got[k].norm_0 is None and got[k].s_avg is None for k in "defg")
