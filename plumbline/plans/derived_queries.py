@@ -112,22 +112,22 @@ def composition_features(spark, sf):
 
 @query(
     """WITH e AS (SELECT l_orderkey k, l_linenumber el, sum(l_quantity)::DOUBLE q FROM lineitem GROUP BY 1, 2), w AS (SELECT *, q / sum(q) OVER (PARTITION BY k) w,
- el * 1.5::DOUBLE a, CASE WHEN el <> 6 THEN (el - 4)::DOUBLE * (el - 4) END b, (el % 3)::DOUBLE s, (el // 3)::DOUBLE d FROM e),
+ sqrt(el) a, CASE WHEN el <> 6 THEN sqrt(el + 3) END b, (el % 3)::DOUBLE s, (el // 3)::DOUBLE d FROM e),
 m AS (SELECT k, bool_and(el < 7) known, count(*) n, sum(w * a) ma, sum(w * b) mb, count(b) = count(*) hasb, sum(w * s) ms, sum(w * d) md, max(w) top FROM w GROUP BY k),
 x AS (SELECT k, any_value(known) known, any_value(hasb) hasb, any_value(n)::DOUBLE n, sqrt(sum(w * w)) n2, sum(w ** 10) ** 0.1 n10, min(a) mina, max(a) maxa, any_value(ma) ma, sum(abs(a - ma) * w) da, min(a) FILTER (w >= top - 1e-12) moda,
  min(b) minb, max(b) maxb, any_value(mb) mb, sum(abs(b - mb) * w) db, min(b) FILTER (w >= top - 1e-12) modb, any_value(ms) ms, any_value(md) md FROM w JOIN m USING (k) GROUP BY k)
-SELECT o_orderkey k, CASE WHEN known THEN n END norm_0, CASE WHEN known THEN round(n2, 6) END norm_2, CASE WHEN known THEN round(n10, 6) END norm_10, CASE WHEN known THEN mina END a_minimum, CASE WHEN known THEN maxa END a_maximum,
- CASE WHEN known THEN maxa - mina END a_range, CASE WHEN known THEN round(ma, 6) END a_mean, CASE WHEN known THEN round(da, 6) END a_avg_dev, CASE WHEN known THEN moda END a_mode, CASE WHEN known AND hasb THEN round(mb, 6) END b_mean,
- CASE WHEN known AND hasb THEN round(db, 6) END b_avg_dev, CASE WHEN known AND hasb THEN modb END b_mode, CASE WHEN known THEN round(ms, 6) END s_avg, CASE WHEN known THEN CASE WHEN ms + md > 0 THEN round(ms / (ms + md), 6) ELSE 0 END END s_frac,
- CASE WHEN known THEN CASE WHEN ms + md > 0 THEN round(md / (ms + md), 6) ELSE 0 END END d_frac FROM orders LEFT JOIN x ON k = o_orderkey"""
+SELECT o_orderkey k, CASE WHEN known THEN n END norm_0, CASE WHEN known THEN round(n2, 9) END norm_2, CASE WHEN known THEN round(n10, 9) END norm_10, CASE WHEN known THEN round(mina, 9) END a_minimum, CASE WHEN known THEN round(maxa, 9) END a_maximum,
+ CASE WHEN known THEN round(maxa - mina, 9) END a_range, CASE WHEN known THEN round(ma, 9) END a_mean, CASE WHEN known THEN round(da, 9) END a_avg_dev, CASE WHEN known THEN round(moda, 9) END a_mode, CASE WHEN known AND hasb THEN round(mb, 9) END b_mean,
+ CASE WHEN known AND hasb THEN round(db, 9) END b_avg_dev, CASE WHEN known AND hasb THEN round(modb, 9) END b_mode, CASE WHEN known THEN round(ms, 9) END s_avg, CASE WHEN known THEN CASE WHEN ms + md > 0 THEN round(ms / (ms + md), 9) ELSE 0 END END s_frac,
+ CASE WHEN known THEN CASE WHEN ms + md > 0 THEN round(md / (ms + md), 9) ELSE 0 END END d_frac FROM orders LEFT JOIN x ON k = o_orderkey"""
 )
 def composition_blocks(spark, sf):
     """Orders as compositions of line numbers: the seventh isn't known, the sixth lacks a property."""
     items, n = t(spark, sf, "lineitem"), F.col("element").cast("double")
     parts = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("element"), F.col("l_quantity").alias("amount"))
-    known = parts.select("element").distinct().filter("element < 7").select("element", (n * 1.5).alias("a"), F.when(n != 6, (n - 4) * (n - 4)).alias("b"), (n % 3).alias("s"), F.floor(n / 3).cast("double").alias("d"))
+    known = parts.select("element").distinct().filter("element < 7").select("element", F.sqrt(n).alias("a"), F.when(n != 6, F.sqrt(n + 3)).alias("b"), (n % 3).alias("s"), F.floor(n / 3).cast("double").alias("d"))
     found = features.composition_block(t(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), "k", parts, known, ["a", "b"], ["s", "d"])
-    return rounded(found.select("k", "norm_0", "norm_2", "norm_10", "a_minimum", "a_maximum", "a_range", "a_mean", "a_avg_dev", "a_mode", "b_mean", "b_avg_dev", "b_mode", "s_avg", "s_frac", "d_frac"), 6)
+    return rounded(found.select("k", "norm_0", "norm_2", "norm_10", "a_minimum", "a_maximum", "a_range", "a_mean", "a_avg_dev", "a_mode", "b_mean", "b_avg_dev", "b_mode", "s_avg", "s_frac", "d_frac"), 9)
 
 
 @query(
