@@ -178,7 +178,7 @@ def summed(rows: DataFrame, of, shapes: dict[str, tuple]) -> Params:
 
 
 def batch_gradient(rows: DataFrame, p: Params, layers: int, draw: tuple) -> tuple[Params, list, float, float]:
-    """(gradient of the mean loss, (mean, variance) of each layer, rows, mean loss) of a batch; no rows: n = 0."""
+    """(gradient of the mean loss, (mean, sample variance) of each layer, rows, mean loss) of a batch; no gradient of fewer than two rows."""
     stats: list = []
     n = 0.0
     for l in range(layers):
@@ -202,7 +202,8 @@ def batch_gradient(rows: DataFrame, p: Params, layers: int, draw: tuple) -> tupl
         if l >= 0:
             back[l] = part[f"g{l}"], part[f"o{l}"]
     loss = float(gradient.pop("loss")[0]) / n
-    return gradient, stats, n, loss
+    # what runs along is the variance of samples
+    return gradient, [(m, v * n / (n - 1)) for m, v in stats], n, loss
 
 
 @dataclass(frozen=True)
@@ -231,11 +232,6 @@ class Network:
         return rows.withColumn(name, F.pandas_udf(score, "double")(F.col(features).cast("array<double>")))
 
 
-def _stopping(objectives: Sequence[float]) -> int:
-    """Epochs since the best objective, the first of equals."""
-    return len(objectives) - 1 - int(np.argmin(objectives))
-
-
 def fit_network(train: DataFrame, validation: DataFrame, s: Settings = Settings()) -> tuple[Network, dict]:
     """(network, record) from rows (id, x, y), y 0 or 1; epochs stop and are chosen on validation, by its loss or minus its ROC area.
 
@@ -253,26 +249,42 @@ def fit_network(train: DataFrame, validation: DataFrame, s: Settings = Settings(
         mean[r["at"]], scale[r["at"]] = r["m"], r["s"] if r["s"] > 0 else 1.0
     even = F.transform("x", lambda v, i: (v - F.get(F.lit(mean.tolist()), i)) / F.get(F.lit(scale.tolist()), i))
     held, checked = (r.withColumn("x", even).persist() for r in ready)
+    layers, batches = len(s.hidden), max(1, math.ceil(held.count() / s.batch_size))
+
+    def gradients(epoch: int, batch: int, p: Params, step: int):
+        some = held.filter(in_batch(s.seed, epoch, batch, batches)) if batches > 1 else held
+        return batch_gradient(some, p, layers, (step, s.seed, s.dropout))
+
+    def judged(p: Params, running: list) -> tuple[float, float]:
+        network = Network(p, running, np.zeros(width), np.ones(width))
+        found = summed(checked, lambda x, y, key: {"n": np.array([float(len(y))]), "loss": np.array([loss_of(network.logits(x), y).sum()])}, {"n": (1,), "loss": (1,)})
+        return float(found["loss"][0] / found["n"][0]), ranking.roc_auc(network.scored(checked, "x"), [], "score", F.col("y") > 0).first()["roc_auc"]
+
     try:
-        return _epochs(held, checked, width, mean, scale, s)
+        p, running, record = train_epochs(first_params(width, s.hidden, s.seed), [(np.zeros(h), np.ones(h)) for h in s.hidden], batches, gradients, judged, s)
     finally:
         held.unpersist()
         checked.unpersist()
+    return Network(p, running, mean, scale), record
+
+
+def in_batch(seed: int, epoch: int, batch: int, batches: int):
+    """Whether a row with a `key` is in a batch of an epoch: drawn from a hash, so from nothing else."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "key"), F.lit(batches)) == batch
 
 
-def _epochs(held: DataFrame, checked: DataFrame, width: int, mean: np.ndarray, scale: np.ndarray, s: Settings) -> tuple[Network, dict]:
-    layers, p = len(s.hidden), first_params(width, s.hidden, s.seed)
+def train_epochs(p: Params, running: list, batches: int, gradients, judged, s: Settings) -> tuple[Params, list, dict]:
+    """(weights, running statistics, record) of the best epoch.
+
+    `gradients` gives (gradient, statistics, rows, mean loss) of a batch and `judged` (loss, ROC area) on validation. Updates are
+    AdamW's."""
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    running = [(np.zeros(h), np.ones(h)) for h in s.hidden]
-    batches = max(1, math.ceil(held.count() / s.batch_size))
     rate, step, history, objectives, best = s.learning_rate, 0, [], [], None
     plateau, bad = math.inf, 0
     for epoch in range(1, s.epochs + 1):
         total = rows = 0.0
-        dealt = F.pmod(F.xxhash64(F.lit(s.seed), F.lit(epoch), "key"), F.lit(batches))
         for batch in range(batches):
-            some = held.filter(dealt == batch) if batches > 1 else held
-            gradient, stats, n, loss = batch_gradient(some, p, layers, (step, s.seed, s.dropout))
+            gradient, stats, n, loss = gradients(epoch, batch, p, step)
             if n < 2:
                 continue  # the variance of one row tells nothing
             step += 1
@@ -281,24 +293,22 @@ def _epochs(held: DataFrame, checked: DataFrame, width: int, mean: np.ndarray, s
                 first[k] = BETAS[0] * first[k] + (1 - BETAS[0]) * g
                 second[k] = BETAS[1] * second[k] + (1 - BETAS[1]) * g * g
                 move = (first[k] / (1 - BETAS[0] ** step)) / (np.sqrt(second[k] / (1 - BETAS[1] ** step)) + TINY)
-                p[k] = p[k] * (1 - rate * s.weight_decay) - rate * move
-            running = [(a + MOMENTUM * (m - a), b + MOMENTUM * (v * n / (n - 1) - b)) for (a, b), (m, v) in zip(running, stats)]
-        network = Network({k: v.copy() for k, v in p.items()}, list(running), np.zeros(width), np.ones(width))
-        found = summed(checked, lambda x, y, key: {"n": np.array([float(len(y))]), "loss": np.array([loss_of(network.logits(x), y).sum()])}, {"n": (1,), "loss": (1,)})
-        loss = float(found["loss"][0] / found["n"][0])
-        area = ranking.roc_auc(network.scored(checked, "x"), [], "score", F.col("y") > 0).first()["roc_auc"]
+                p = p | {k: p[k] * (1 - rate * s.weight_decay) - rate * move}
+            running = [(a + MOMENTUM * (m - a), b + MOMENTUM * (v - b)) for (a, b), (m, v) in zip(running, stats)]
+        loss, area = judged(p, running)
         objectives.append(loss if s.selection_metric == "validation_loss" else -area)
         # the rate falls once the objective hasn't gained for longer than the scheduler's patience
-        if objectives[-1] < plateau - GAIN * plateau if math.isfinite(plateau) else True:
+        if not math.isfinite(plateau) or objectives[-1] < plateau - GAIN * plateau:
             plateau, bad = objectives[-1], 0
         else:
             bad += 1
         if bad > s.scheduler_patience:
             rate, bad = rate * s.scheduler_factor, 0
         history.append({"epoch": epoch, "train_loss": total / max(rows, 1), "validation_loss": loss, "validation_roc_auc": area, "learning_rate": rate})
-        if _stopping(objectives) == 0:
-            best = network
-        elif _stopping(objectives) >= s.patience:
+        since = len(objectives) - 1 - int(np.argmin(objectives))
+        if since == 0:
+            best = p, running
+        elif since >= s.patience:
             break
     chosen = int(np.argmin(objectives)) + 1
     record = {
@@ -306,4 +316,4 @@ def _epochs(held: DataFrame, checked: DataFrame, width: int, mean: np.ndarray, s
         "validation_roc_auc": history[chosen - 1]["validation_roc_auc"], "epochs_run": len(history), "stopped_early": len(history) < s.epochs,
         "criterion": "bce_with_logits", "optimiser": "adamw", "scheduler": "reduce_on_plateau", "history": history,
     }
-    return replace(best, mean=mean, scale=scale), record
+    return *best, record
