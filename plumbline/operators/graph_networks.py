@@ -299,6 +299,9 @@ def fit_graph_network(nodes: DataFrame, edges: DataFrame, train: DataFrame, vali
     x = nodes.select(F.size("x")).first()
     if x is None:
         raise ValueError("there are no nodes")
+    # read in every pass
+    held = Held(nodes.sparkSession)
+    nodes, edges = held.written(nodes.select(*NODE, "x")), held.written(edges.select(*KEYS))
     known = nodes.select("graph").distinct()
     sides = [r.filter("y is not null").join(known, "graph", "left_semi").select("graph", "y", F.xxhash64("graph").alias("key")).persist() for r in (train, validation)]
     batches = max(1, math.ceil(sides[0].count() / s.batch_size))
@@ -322,4 +325,5 @@ def fit_graph_network(nodes: DataFrame, edges: DataFrame, train: DataFrame, vali
     finally:
         for side in sides:
             side.unpersist()
+        held.close()
     return GraphNetwork(p, running, shape), record

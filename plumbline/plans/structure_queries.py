@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import networks, relaxation, structures
+from ..operators import graph_networks, networks, relaxation, structures, symmetry
+from ..sources.shared import Held
 from .registry import query, rounded, t
 
 CELLS_SQL = """c AS (SELECT c_custkey s, 3 + c_custkey % 3 ax, (c_custkey % 5) * 0.5::DOUBLE - 1 bx, 3.5::DOUBLE + c_custkey % 2 BY_, 0.3::DOUBLE * (c_custkey % 7) cx, -0.4::DOUBLE * (c_custkey % 2) cy, 4 + c_custkey % 3 cz FROM customer),
@@ -106,3 +107,55 @@ def network_scores(spark, sf):
     half = max(2, rows.count() // 2)
     network, _ = networks.fit_network(rows.filter(part > 0), rows.filter(part == 0), networks.Settings(epochs=3, batch_size=half, learning_rate=0.01, hidden=(16,)))
     return network.scored(rows, "x").select("vec_id", F.round("score", 6).alias("score"))
+
+
+#: lengths and angles of cells that each belong to one crystal system, sizes growing with the customer's account
+SHAPES = [(3.1, 3.9, 4.7, 81, 97, 103), (3.1, 3.9, 4.7, 90, 104, 90), (3.1, 3.9, 4.7, 90, 90, 90), (3.1, 3.1, 4.7, 90, 90, 90), (3.1, 3.1, 3.1, 67, 67, 67), (3.1, 3.1, 4.7, 90, 90, 120), (3.1, 3.1, 3.1, 90, 90, 90)]
+
+
+@query(
+    """SELECT c_custkey AS "structure", ['triclinic', 'monoclinic', 'orthorhombic', 'tetragonal', 'trigonal', 'hexagonal', 'cubic'][c_custkey % 7 + 1] crystal_system, (c_custkey % 7)::INT crystal_system_id,
+ ([2, 4, 8, 16, 12, 24, 48][c_custkey % 7 + 1] * (1 + c_custkey % 2))::INT n_operations, true centrosymmetric, (1 + c_custkey % 2)::INT primitive_cells FROM customer"""
+)
+def crystal_systems(spark, sf):
+    """Cells of all seven systems with an atom at a corner; every second one is given twice as long, with two atoms."""
+    k, size = F.col("c_custkey"), 1 + F.abs("c_acctbal") / 20_000
+    shapes = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in SHAPES))
+    shape = F.get(shapes, (k % 7).cast("int"))
+    x, y, z = (F.cos(F.radians(F.get(shape, i))) for i in (3, 4, 5))
+    sine = F.sin(F.radians(F.get(shape, 5)))
+    top = (x - y * z) / sine
+    zero, (a, b, c) = F.lit(0.0), ((F.get(shape, i) * size) for i in range(3))
+    c = c * (1 + k % 2)
+    lattice = F.array(F.array(a, zero, zero), F.array(b * z, b * sine, zero), F.array(c * y, c * top, c * F.sqrt(1 - y * y - top * top)))
+    cells = t(spark, sf, "customer").select(k.alias("structure"), lattice.alias("lattice"))
+    place = F.explode(F.sequence(F.lit(0).cast("long"), F.col("structure") % 2)).alias("atom")
+    atoms = cells.select("structure", place).select("structure", "atom", F.array(zero, zero, F.col("atom") / 2).alias("frac"), F.lit("Fe").alias("species"))
+    return symmetry.symmetries(cells, atoms)
+
+
+@query(
+    f"""WITH {CELLS_SQL}, e(el, mass, radius) AS (VALUES ('F', 19.0, 0.5), ('O', 16.0, 0.6), ('P', NULL, 1.0)),
+s AS (SELECT o_custkey s, count(*) n, CASE WHEN count(mass) = count(*) THEN sum(mass) END m, sum(radius ** 3) * 4 / 3 * pi() b FROM orders LEFT JOIN e ON el = o_orderstatus GROUP BY 1)
+SELECT s AS "structure", round(m * 1.6605390666::DOUBLE / (ax * BY_ * cz), 9) density, round(ax * BY_ * cz / n, 9) volume_per_atom, round(b / (ax * BY_ * cz), 9) packing FROM s JOIN c USING (s)"""
+)
+def cell_densities(spark, sf):
+    """Orders as atoms whose element is their status; one of those has no mass."""
+    table = spark.createDataFrame([("F", 19.0, 0.5), ("O", 16.0, 0.6), ("P", None, 1.0)], "element string, mass double, radius double")
+    atoms = t(spark, sf, "orders").select(F.col("o_custkey").alias("structure"), F.col("o_orderstatus").alias("species"))
+    return rounded(symmetry.densities(_cells(spark, sf), atoms, table))
+
+
+@query()
+def graph_scores(spark, sf):
+    """Each cell's neighbour graph through gated layers: an epoch over all graphs, chosen on a third of them."""
+    cells, atoms = _cells(spark, sf), _atoms(spark, sf)
+    edges = structures.periodic_neighbours(cells, atoms, 2.5, 4).select(F.col("structure").alias("graph"), F.col("other").cast("int").alias("src"), F.col("atom").cast("int").alias("dst"), "distance")
+    edges = Held(spark).written(edges)
+    nodes = atoms.select(F.col("structure").alias("graph"), F.col("atom").alias("node"), F.array((F.col("order") % 7) / 7.0, (F.col("order") % 3) / 3.0).cast("array<double>").alias("x"))
+    labels = t(spark, sf, "customer").select(F.col("c_custkey").alias("graph"), (F.col("c_acctbal") > 4500).cast("int").alias("y"))
+    third = F.pmod(F.xxhash64("graph"), F.lit(3)) == 0
+    shape = graph_networks.Shape(width=4, bins=8, layers=1, dense=8, dense_layers=1)
+    settings = networks.Settings(epochs=1, batch_size=labels.count() + 1, learning_rate=0.01)
+    network, _ = graph_networks.fit_graph_network(nodes, edges, labels.filter(~third), labels.filter(third), shape, settings)
+    return network.scored(nodes, edges, labels.select("graph")).select("graph", F.round("score", 6).alias("score"))
