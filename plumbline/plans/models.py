@@ -208,17 +208,20 @@ def _quantile(protocol, seen):
         if best is None or score < best[0]:
             best = score, candidate, forest
     _, chosen, forest = best
-    # read for the decision and the calibration, some columns of two small splits
-    held = quantile_columns(forest, seen.validation, protocol.features, levels)
-    decision = _decide(protocol, held)
-    rows = quantile_columns(forest, seen.calibration, protocol.features, levels)
-    low, mid, high = (level_name(x) for x in quantiles)
-    coverage = quantiles[2] - quantiles[0]
-    found = decisions.conformal_correction(rows, "target", low, high, coverage).first()
-    if found is None:
-        raise ValueError("the calibration split is empty")
-    lower, upper = S.calibrated(F.col(low), F.col(mid), F.col(high), found["correction"])
-    width = rows.agg(F.avg(upper - lower)).first()[0]
+    # read for the decision and the calibration, some columns of two small splits; each is read more than once
+    held, rows = (quantile_columns(forest, part, protocol.features, levels).persist() for part in (seen.validation, seen.calibration))
+    try:
+        decision = _decide(protocol, held)
+        low, mid, high = (level_name(x) for x in quantiles)
+        coverage = quantiles[2] - quantiles[0]
+        found = decisions.conformal_correction(rows, "target", low, high, coverage).first()
+        if found is None:
+            raise ValueError("the calibration split is empty")
+        lower, upper = S.calibrated(F.col(low), F.col(mid), F.col(high), found["correction"])
+        width = rows.agg(F.avg(upper - lower)).first()[0]
+    finally:
+        for part in (held, rows):
+            part.unpersist()
     settings = {
         "quantiles": quantiles, "levels": levels, "correction": found["correction"], "coverage": coverage, "calibration_rows": found["n"],
         "mean_width": width, "decision": decision, "selected": chosen, "trials": trials,
