@@ -48,6 +48,26 @@ def soap_spectra(spark, sf):
     return found.withColumn("soap", F.transform("soap", lambda x: F.round(x, 9)))
 
 
+#: cutoff and width of the query below; its one radial function of each l falls to a thousandth at 1
+CUT, WIDTH = 1.5, 0.3
+
+
+@query(
+    f"""WITH {CELLS_SQL}, n AS (SELECT unnest(range(-2, 3)) n), g AS (SELECT p.n p, q.n q, r.n r FROM n p, n q, n r),
+d AS (SELECT x.s, x.i, y.u + p - x.u du, y.v + q - x.v dv, y.w + r - x.w dw FROM a x JOIN a y USING (s), g),
+e AS (SELECT s, i, du * ax + dv * bx + dw * cx x, dv * BY_ + dw * cy y, dw * cz z FROM d JOIN c USING (s)),
+k AS (SELECT ln(1000::DOUBLE) f, 1 / (2 * {WIDTH}::DOUBLE * {WIDTH}) b, {CUT} + {WIDTH} * sqrt(2 * ln(1000::DOUBLE)) reach),
+w AS (SELECT s, i, x, y, z, pow(pi() / (b + f), 1.5) * exp(-b * f / (b + f) * (x * x + y * y + z * z)) h, b / (b + f) t, 1 / sqrt(0.25 * sqrt(pi()) * pow(2 * f, -1.5)) m0, 1 / sqrt(0.375 * sqrt(pi()) * pow(2 * f, -2.5)) m1
+  FROM e, k WHERE sqrt(x * x + y * y + z * z) <= reach),
+p AS (SELECT s, i, pi() * sqrt(8) * pow(sum(h * m0) / sqrt(4 * pi()), 2) p0, pi() * sqrt(8 / 3.0::DOUBLE) * 3 / (4 * pi()) * (pow(sum(h * t * m1 * x), 2) + pow(sum(h * t * m1 * y), 2) + pow(sum(h * t * m1 * z), 2)) p1 FROM w GROUP BY 1, 2)
+SELECT s AS "structure", count(*) n_atoms, round(avg(p0), 6) p0, round(avg(p1), 6) p1 FROM p GROUP BY 1"""
+)
+def soap_lowest(spark, sf):
+    """The spectra's first two invariants, which SQL can write out."""
+    found = structures.soap_block(_cells(spark, sf), _atoms(spark, sf), CUT, 1, 1, WIDTH)
+    return found.select("structure", "n_atoms", *(F.round(F.get("soap", i), 6).alias(f"p{i}") for i in range(2)))
+
+
 def _harmonic():
     """Each site's moment prefers a size of its own: sum of (m - c)^2, without its constant."""
     return lambda row: relaxation.site_energy([(1.0, 0.0, 2.0 * float(c)) for c in row["preferred"]], [])
