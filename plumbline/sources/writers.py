@@ -29,12 +29,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def write_file(rows: DataFrame, path: str) -> None:
-    """A CSV file with a header, of rows in their order: the one part that Spark writes, under a name of its own."""
+def write_file(rows: DataFrame, path: str, header: bool = True) -> None:
+    """A CSV file of rows in their order: the one part that Spark writes, under a name of its own."""
     spark = rows.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     folder = f"{path}.parts"
-    rows.coalesce(1).write.mode("overwrite").csv(folder, header=True, nullValue="", emptyValue="")
+    rows.coalesce(1).write.mode("overwrite").csv(folder, header=header, nullValue="", emptyValue="")
     store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     part = [f.getPath() for f in store.listStatus(hadoop(folder)) if f.getPath().getName().startswith("part-")]
     store.rename(part[0], hadoop(path))
@@ -98,7 +98,7 @@ def seal(spark: SparkSession, directory: str, header: dict, structure_suffix: st
     """Writes the manifest of a new snapshot. Structure files must be there for all samples or for none."""
     from .readers import sample_ids
 
-    files = file_listing(spark, directory).filter("name <> 'manifest.json'")
+    files = file_listing(spark, directory).filter("name <> 'manifest.json' and not startswith(name, '.')")
     if structure_suffix:
         ids = sample_ids(spark, f"{directory}/id_prop.csv").select(F.concat("sample_id", F.lit(structure_suffix)).alias("name"))
         some = files.filter(F.col("name").endswith(structure_suffix)).select("name")
