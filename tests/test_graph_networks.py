@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from plumbline.operators import graph_networks as G
 from plumbline.operators.networks import Settings
