@@ -117,8 +117,8 @@ def gaps(rows: pd.DataFrame, askers: np.ndarray, points: np.ndarray) -> np.ndarr
     return p[points] - p[askers]
 
 
-def _nearest(group: str, key: str, radius: float, k: int):
-    """The k nearest others within the radius for each asker of a meeting, ties (to nine digits) by key."""
+def _nearest(group: str, key: str, radius: float, k: int, digits: int | None):
+    """The k nearest others within the radius for each asker of a meeting, ties by key."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, askers, points in met_pairs(batches):
@@ -127,7 +127,7 @@ def _nearest(group: str, key: str, radius: float, k: int):
             some = np.flatnonzero((distance <= radius) & (ids[points] != ids[askers]))
             askers, points, distance = askers[some], points[some], distance[some]
             # points stand in the order of their keys
-            order = np.lexsort((points, np.round(distance, 9), askers))
+            order = np.lexsort((points, distance if digits is None else np.round(distance, digits), askers))
             askers, points, distance = askers[order], points[order], distance[order]
             start = np.concatenate(([0], np.flatnonzero(np.diff(askers)) + 1)) if len(askers) else np.zeros(0, int)
             place = np.arange(len(askers)) - np.repeat(start, np.diff(np.append(start, len(askers))))
@@ -161,17 +161,17 @@ def meetings(points: DataFrame, asks: DataFrame, radius: float) -> DataFrame:
     return whole.repartition(n, *MEETING).sortWithinPartitions(*MEETING, "_asks", "_id")
 
 
-def nearest_within(points: DataFrame, group: str, key: str, position: str, radius: float, k: int, asks: DataFrame | None = None) -> DataFrame:
-    """(group, key, other, distance, place): the k nearest other points of the group within the radius.
+def nearest_within(points: DataFrame, group: str, key: str, position: str, radius: float, k: int, asks: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """(group, key, other, distance, place): the k nearest other points of the group within the radius, ties by key.
 
-    Distances that agree to nine digits are ties, which are ordered by key. Points (a three-dimensional array in `position`) meet as in `meetings`; what a
+    Points (a three-dimensional array in `position`) meet as in `meetings`; what a
     meeting hands on are its k nearest for each asker, however many are within the radius. Rows without a
     group, key or position ask nothing and are nobody's neighbours. `asks` are the rows that ask, all points
-    if it isn't given."""
+    if it isn't given; with `digits` distances that agree to so many are ties, as those of symmetric places are but for rounding."""
     named = lambda rows: rows.select(F.col(group).alias("_g"), F.col(key).alias("_id"), F.col(position).alias("_p")).dropna()
     some = named(points)
     kinds = {f.name: f.dataType.simpleString() for f in some.schema}
     schema = f"{group} {kinds['_g']}, {key} {kinds['_id']}, other {kinds['_id']}, distance double"
-    met = meetings(some, some if asks is None else named(asks), radius).mapInPandas(_nearest(group, key, radius, k), schema)
-    w = Window.partitionBy(group, key).orderBy(F.round("distance", 9), "other")
+    met = meetings(some, some if asks is None else named(asks), radius).mapInPandas(_nearest(group, key, radius, k, digits), schema)
+    w = Window.partitionBy(group, key).orderBy("distance" if digits is None else F.round("distance", digits), "other")
     return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

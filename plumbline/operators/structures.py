@@ -75,7 +75,7 @@ def periodic_neighbours(cells: DataFrame, atoms: DataFrame, radius: float = 10.0
     `atom` is given; an atom is its own neighbour in another image only. Distances that agree to nine
     digits are ties, by other and image. A structure's images are joined in grid cells as wide as the radius (`lookups.meetings`)."""
     all_ = images(cells, atoms, radius)
-    found = nearest_within(all_, "structure", "number", "position", radius, k, asks=all_.filter("home"))
+    found = nearest_within(all_, "structure", "number", "position", radius, k, all_.filter("home"), 9)
     part = lambda number, i: F.pmod(F.floor(number / F.lit((2 * SHIFTS) ** (2 - i))), F.lit(2 * SHIFTS)) - SHIFTS
     own, other = F.col("number"), F.col("other")
     shift = F.array(*((part(other, i) - part(own, i)).cast("int") for i in range(3)))
