@@ -118,7 +118,9 @@ def relaxed(structures: DataFrame, make: Callable[[], Callable[[pd.Series], Ener
             more = dict(zip(("z", "energy", "zero_energy", "gradient", "steps"), zip(*found) if found else [()] * 5))
             yield batch.assign(**{k: pd.Series(list(v), dtype=object if k == "z" else None, index=batch.index) for k, v in more.items()})
 
-    out = structures.mapInPandas(relax, schema)
+    # a descent is long for how short its row is: rows go to as many tasks as a shuffle has, whatever their bytes
+    n = int(structures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = structures.repartition(n, "structure").mapInPandas(relax, schema)
     moved = F.zip_with("moments", "z", lambda m, z: F.array(F.get(m, 0), F.get(m, 1), z))
     out = relaxation_reasons(out.withColumn("moments", F.coalesce(moved, F.array().cast("array<array<double>>"))))
     rough = (F.size("reasons") == 0) & ~(F.col("gradient") < how.flat)
@@ -208,5 +210,6 @@ def oxidation_states(parts: DataFrame, key: str, states: DataFrame, sites: int =
             yield pd.DataFrame(rows, columns=["composition", "weight", "oxidation"])
 
     distinct = held.filter("composition is not null").select("composition").distinct()
-    found = distinct.mapInPandas(search, "composition string, weight double, oxidation map<string, double>")
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = distinct.repartition(n, "composition").mapInPandas(search, "composition string, weight double, oxidation map<string, double>")
     return held.join(found, "composition", "left").select(key, "weight", "oxidation")

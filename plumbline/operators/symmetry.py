@@ -171,7 +171,9 @@ def symmetries(cells: DataFrame, atoms: DataFrame, tolerance: float = TOLERANCE,
                 out.append((structure, *_told(lattice, frac, species, tolerance, most)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"crystal_system_id": "Int32", "n_operations": "Int32", "primitive_cells": "Int32"})
 
-    return rows.mapInPandas(find, FOUND.format(dict(cells.dtypes)["structure"]))
+    # a search is long for how short its row is: rows go to as many tasks as a shuffle has, whatever their bytes
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "structure").mapInPandas(find, FOUND.format(dict(cells.dtypes)["structure"]))
 
 
 def _told(lattice, frac, species, tolerance: float, most: int) -> tuple:
