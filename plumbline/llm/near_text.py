@@ -1,10 +1,12 @@
 """Near copies by their text: pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash keys and a lenient comparison of sketches gather texts coarsely; inside what they gather, shingles
-are counted exactly. Only links that the count confirms join documents."""
+SimHash fingerprints of the shingles are compared bit by bit under a radius wherever two of them agree in all
+bits of some key; inside what that gathers, shingles are counted exactly. Only links that the count confirms
+join documents."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,25 +15,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, batches_of, components, written
+from .common import Labels, batches_of, components, written
+from .simhash import LANES, near_pairs
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
-#: Keys of a text, each of so many least hashes. A pair of similarity 0.8 shares none with a chance of 3e-6.
-BANDS, LEAST = 24, 4
-#: Bytes of a sketch, one of each least hash, and the share of them that two texts must have in common to be
-#: gathered. At similarity 0.8 half of 64 are missed with a chance of some 1e-9.
-SKETCH, GATHERED = 64, 0.5
+#: 64-bit words of a fingerprint, all of which keys are drawn from, and how many of them, from the lowest on, are
+#: compared. At similarity 0.8 (cosine 0.889) two fingerprints differ in 0.152 of their bits: 39 of the 256 compared.
+WORDS, COMPARED = 8, 4
+WIDTH = 64 * WORDS
+#: Compared bits in which gathered fingerprints differ at most. A pair at 0.8 differs in more with a chance of some
+#: 1e-9, an unrelated one in no more with one of some 1e-10.
+RADIUS = 76
+#: Share of equal bits at similarity 0.8, and the chance that such a pair had no key in common if keys were independent.
+#: They share the fingerprint's bits, so there are half as many again: that leaves 6e-7 at 10 bits, 2e-6 at 12, 4e-6 at 14.
+AGREEING, MISSED, AGAIN = 0.848, 3e-6, 1.5
+#: Sets of so few shingles differ in more bits (four in five: 0.1875), so they have twice as many keys.
+FEW = 6
+#: Fingerprints that may be expected at one key before keys get longer, and the bits of the shortest and longest keys.
+CROWD, SHORTEST, LONGEST = 1 << 11, 10, 24
 #: Texts of one key, or gathered ones, that a task compares at once; more are compared part by part.
 PART = 1 << 11
+#: From so many fingerprints at one key on, those that are reached are not compared again.
+DENSE = 1 << 8
 #: Bytes of text that stand together in a part, and in a batch on its way to Python.
 PART_BYTES, BATCH_BYTES = 1 << 22, 1 << 24
-#: Hashes whose minima are taken at once.
-STEP = 1 << 11
 
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * LEAST, 1), np.uint64)
-MASKS, FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+_DRAWN = np.random.default_rng(SEED)
+_SALTS = _DRAWN.integers(0, 1 << 64, (WORDS, 1), np.uint64)
+#: Bits of a fingerprint whose sums are even, at random: if ties all gave 0, sets of two or four would be alike.
+_EVEN = _DRAWN.integers(0, 2, WIDTH)
+_SHIFTS, _LANES = np.arange(8, dtype=np.uint64)[:, None, None], np.uint64(0x0101010101010101)
+_FINGERPRINT = [f"f{i}" for i in range(WORDS)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -45,30 +61,67 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least hash of each of `BANDS` * `LEAST` permutations."""
-    least = np.full(BANDS * LEAST, ~np.uint64(0))
-    for at in range(0, len(hashes), STEP):
-        np.minimum(least, ((hashes[at : at + STEP] ^ MASKS) * FACTORS).min(axis=1), out=least)
-    return least
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """A row for each word of a fingerprint: `hashes` mixed with its salt, so that rows are independent."""
+    x = hashes ^ _SALTS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _signature(text: str | None, shingle: int) -> tuple[bytes, list[int], bytes]:
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of distinct hashes as `WORDS` words, the lowest first: a bit is 1 if set in over half of them."""
+    ones = np.zeros(WIDTH, np.int64)
+    # bytes of eight sums at once: up to 255 hashes can't overflow them
+    for at in range(0, len(hashes), 255):
+        sums = ((_mixed(hashes[at : at + 255]) >> _SHIFTS) & _LANES).sum(axis=2, dtype=np.uint64)
+        ones += sums.astype("<u8").view(np.uint8).reshape(8, WIDTH // 8).T.reshape(-1)
+    return np.packbits(2 * ones + _EVEN > len(hashes), bitorder="little").view("<u8")
+
+
+def _signature(text: str | None, shingle: int) -> tuple:
     words = words_of(text)
-    least = minima(shingles(words, shingle))
-    rows = least.reshape(BANDS, LEAST)
-    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
-    return xxhash.xxh128_digest(b" ".join(words)), keys.tolist() if words else [], least[:SKETCH].astype(np.uint8).tobytes()
+    hashes = shingles(words, shingle)
+    return xxhash.xxh128_digest(b" ".join(words)), len(hashes), *fingerprint(hashes).view(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and s: digest of the words, keys and sketch."""
+    """doc_id and s: digest of the words, number of distinct shingles and the fingerprint's words."""
+    names = ["digest", "n", *_FINGERPRINT]
 
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_signature(t, shingle) for t in texts], columns=["digest", "keys", "sketch"])
+        return pd.DataFrame([_signature(t, shingle) for t in texts], columns=names)
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return docs.select("doc_id", F.pandas_udf(of, "digest binary, keys array<long>, sketch binary")("text").alias("s"))
+    schema = ", ".join(["digest binary", "n long", *(f"{f} long" for f in _FINGERPRINT)])
+    return docs.select("doc_id", F.pandas_udf(of, schema)("text").alias("s"))
+
+
+def key_bits(n: int) -> int:
+    """As many bits of a key as leave some `CROWD` of n unrelated fingerprints at one."""
+    return min(LONGEST, max(SHORTEST, math.ceil(math.log2(max(n, 1) / CROWD))))
+
+
+def n_keys(bits: int) -> int:
+    """Keys of so many bits that a text has: a pair of similarity 0.8 shares each with a chance of `AGREEING` to the power of its bits."""
+    return math.ceil(AGAIN * math.log(MISSED) / math.log1p(-(AGREEING**bits)))
+
+
+def keys_of(fingerprints: np.ndarray, n: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The keys of each fingerprint (a row of words): a key is a fixed choice of bits, its number and their values.
+
+    Sets of up to three shingles are similar only if they are equal: they have one key, a whole word. Those without a
+    shingle have none."""
+    count, drawn = n_keys(bits), np.random.default_rng(SEED + bits)
+    places = np.array([drawn.choice(WIDTH, bits, replace=False) for _ in range(2 * count)])
+    weights = np.int64(1) << np.arange(bits)
+    spread = np.unpackbits(np.ascontiguousarray(fingerprints, "<u8").view(np.uint8).reshape(-1, WIDTH // 8), axis=1, bitorder="little")
+    found = np.zeros((len(spread), 2 * count), np.int64)
+    for weight, place in zip(weights, places.T):
+        found += spread[:, place] * weight
+    found += np.arange(2 * count) << bits
+    whole = fingerprints[:, :1].view(np.int64)
+    return [w[:m] if m <= 1 else w if m <= 3 else row[: 2 * count if m <= FEW else count] for row, w, m in zip(found, whole, n)]
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -88,9 +141,27 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tu
                 yield x, root
 
 
-def sketch_forest(sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-    values = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
-    return forest(len(values), lambda i, others: np.count_nonzero(values[others] == values[i], axis=1) >= GATHERED * SKETCH)
+def _reaching(values: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    words = np.ascontiguousarray(values.T)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        differing = np.zeros(len(others), np.uint16)
+        for word in words:
+            differing += np.bitwise_count(word[others] ^ word[i])
+        return differing <= RADIUS
+
+    return near
+
+
+def near_fingerprints(values: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of places that join all fingerprints of one group which can be reached within `RADIUS`. Groups stand together."""
+    _, first, which, size = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    loose = np.flatnonzero(size[which] < DENSE)
+    for i, j in near_pairs(values[loose], group[loose], RADIUS):
+        yield loose[i], loose[j]
+    for a, n in zip(first[size >= DENSE], size[size >= DENSE]):
+        found = np.array(list(forest(n, _reaching(values[a : a + n]))), np.int64).reshape(-1, 2)
+        yield a + found[:, 0], a + found[:, 1]
 
 
 def text_forest(texts: list[str | None], shingle: int, similarity: float) -> Iterator[tuple[int, int]]:
@@ -118,55 +189,78 @@ def text_forest(texts: list[str | None], shingle: int, similarity: float) -> Ite
     return forest(len(sets), near)
 
 
-def _stars(id_: str, value: str, links: Callable[[list], Iterator[tuple[int, int]]]):
-    """Edges (a, b) of each group of rows with equal (key, part_a, part_b), which stand together."""
+def near_texts(shingle: int, similarity: float):
+    """Places that join the texts of each group, as `near_fingerprints` does fingerprints."""
+
+    def near(values: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
+            if b - a > 1:
+                found = np.array(list(text_forest(values[a:b].tolist(), shingle, similarity)), np.int64).reshape(-1, 2)
+                yield a + found[:, 0], a + found[:, 1]
+
+    return near
+
+
+def _stars(id_: str, value: list[str], links: Callable[[np.ndarray, np.ndarray], Iterator], lanes: int):
+    """Edges (a, b) of each group of rows with equal (key, part_a, part_b), which stand together; some `lanes` rows are worked off at once."""
     group_by = ["key", "part_a", "part_b"]
 
     def out(rows: pd.DataFrame) -> pd.DataFrame:
         keys = rows[group_by].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        ids, values, found = rows[id_].to_numpy(), rows[value].tolist(), Forest()
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
-            if b - a > 1:
-                for i, j in links(values[a:b]):
-                    found.union(int(ids[a + i]), int(ids[a + j]))
-        return pd.DataFrame(found.stars(), columns=["a", "b"], dtype="int64")
+        group = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
+        ids, labels = rows[id_].to_numpy(), Labels(len(rows))
+        values = rows[value[0]].to_numpy() if len(value) == 1 else rows[value].to_numpy().view(np.uint64)
+        for i, j in links(values, group):
+            labels.join(i, j)
+        a, b = labels.stars()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]}, dtype="int64").drop_duplicates()
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            held = batch if held is None or not len(held) else pd.concat([held, batch], ignore_index=True)
-            if not len(held):
+            if not len(batch):
                 continue
-            keys = held[group_by].to_numpy()
-            cut = int(np.argmax((keys == keys[-1]).all(axis=1)))
-            if cut:
-                yield out(held.iloc[:cut])
-                held = held.iloc[cut:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield out(held)
+            held.append(batch)
+            if sum(map(len, held)) >= lanes:
+                rows = pd.concat(held, ignore_index=True)
+                keys = rows[group_by].to_numpy()
+                cut = int(np.argmax((keys == keys[-1]).all(axis=1)))
+                if cut:
+                    yield out(rows.iloc[:cut])
+                held = [rows.iloc[cut:]]
+        if held:
+            yield out(pd.concat(held, ignore_index=True))
 
     return stars
 
 
-def _together(rows: DataFrame, own: Column, id_: str, value: str, links) -> DataFrame:
+def _together(rows: DataFrame, own: Column, id_: str, value: list[str], links, lanes: int = 1) -> DataFrame:
     """Edges of rows (key, size, ...), where size is a key's in parts: crowded keys are cut into parts, of which every two meet."""
     parts = F.ceil("size").cast("int")
     mine = F.pmod(own, parts).cast("int")
     met = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(mine, o).alias("part_a"), F.greatest(mine, o).alias("part_b")))
     met = F.filter(met, lambda p: (p["part_a"] != p["part_b"]) | (parts == 1))
-    dealt = rows.select("key", id_, value, F.explode(met).alias("p")).select("key", "p.part_a", "p.part_b", id_, value)
+    dealt = rows.select("key", id_, *value, F.explode(met).alias("p")).select("key", "p.part_a", "p.part_b", id_, *value)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "part_a", "part_b"]
-    return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInPandas(_stars(id_, value, links), "a long, b long")
+    return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInPandas(_stars(id_, value, links, lanes), "a long, b long")
 
 
 def gathered(classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes (cid, s) that some other is roughly like: what is alike is in one component."""
-    rows = classes.select("cid", F.explode("s.keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(shared.select("key", (F.col("n") / PART).alias("size")), "key").join(classes.select("cid", "s.sketch"), "cid")
-    return components(_together(rows, F.xxhash64("cid"), "cid", "sketch", sketch_forest), "near-text-gathered")
+    """(node, component) of the classes (cid, s) whose fingerprint is near some other's: what is near is in one component."""
+    bits = key_bits(classes.count())
+
+    def of(s: pd.DataFrame) -> pd.Series:
+        return pd.Series(keys_of(s[_FINGERPRINT].to_numpy().view(np.uint64), s["n"].to_numpy(), bits))
+
+    of.__annotations__ = {"s": pd.DataFrame, "return": pd.Series}
+    compared = _FINGERPRINT[:COMPARED]
+    keyed = classes.select("cid", *(F.col(f"s.{f}") for f in compared), F.explode(F.pandas_udf(of, "array<long>")("s")).alias("key"))
+    # few keys, or none: as files they have a size that Spark knows, so that the rows need not be shuffled to meet them
+    crowded = written(keyed.groupBy("key").agg((F.count("*") / PART).alias("size")).filter("size > 2"), "near-text-crowded")
+    rows = keyed.join(crowded, "key", "left").withColumn("size", F.coalesce("size", F.lit(1.0)))
+    return components(_together(rows, F.xxhash64("cid"), "cid", compared, near_fingerprints, LANES), "near-text-gathered")
 
 
 def text_edges(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -177,8 +271,7 @@ def text_edges(docs: DataFrame, classes: DataFrame, shingle: int, similarity: fl
     rows = written(rows, "near-text-members")
     size = F.greatest(F.lit(1), F.count("*") / PART, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / PART_BYTES)
     counts = rows.groupBy("key").agg(size.alias("size"))
-    links = lambda texts: text_forest(texts, shingle, similarity)
-    return _together(rows.join(counts, "key"), F.xxhash64("doc_id", "text"), "doc_id", "text", links)
+    return _together(rows.join(counts, "key"), F.xxhash64("doc_id", "text"), "doc_id", ["text"], near_texts(shingle, similarity))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -55,8 +55,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """Bit planes: row b holds bit b of every value, 64 values to a word, the first lowest."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes: row b holds bit b of every value, 64 values to a word, the first lowest.
+
+    Values of more than 64 bits are rows of words, the lowest first."""
+    bits = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
     bits = np.pad(bits, ((0, -len(values) % 64), (0, 0)))
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
@@ -74,7 +76,7 @@ def _within(some: np.ndarray, word: np.ndarray, by: np.ndarray, wanted: np.ndarr
     far, bit = word + by // 64, (by % 64).astype(np.uint64)
     # planes end in two words of zeros: a shift by 64 - 0 bits takes its word from there
     far_next, rest = np.where(bit == 0, some.shape[1] - 1, far + 1), (np.uint64(64) - bit) % np.uint64(64)
-    for b in range(0, WIDTH, 7):
+    for b in range(0, len(some), 7):
         seven = [plane[word] ^ ((plane[far] >> bit) | (plane[far_next] << rest)) for plane in some[b : b + 7]]
         # 7:3 adder: ones, twos and fours of up to seven differences
         zero = np.zeros(len(word), np.uint64)
@@ -119,6 +121,8 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
 def near_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Arrays of places (i, j), i < j, of one group and within `radius`. Groups stand together in `group`.
 
+    A value is an integer of 64 bits or a row of such words.
+
     Every value is compared with those 1, 2, 3, ... places later. Groups leave the planes once the step
     is as large as they are."""
     place, by = np.arange(len(values)), 1

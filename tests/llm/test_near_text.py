@@ -61,3 +61,62 @@ def test_awkward_rows(spark, awkward, empty):
     kept = near_text.drop_near_text(awkward)
     assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 5, 6, 7} and kept.count() == 8
     assert near_text.drop_near_text(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 5, 254, 255, 256, 700])
+def test_fingerprints_are_majorities(n):
+    hashes = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64))
+    mixed = [[int(x) for x in row] for row in near_text._mixed(hashes)]
+    ones = [sum(x >> b & 1 for x in row) for row in mixed for b in range(64)]
+    got = near_text.fingerprint(hashes)
+    assert len(got) == near_text.WORDS
+    bits = [int(w) >> b & 1 for w in got for b in range(64)]
+    assert all(2 * k == n or b == (2 * k > n) for k, b in zip(ones, bits))
+
+
+def similar(r, a, b, shared, n=200):
+    """Fingerprints of n pairs of sets of a and b hashes, `shared` of them in both."""
+    sets = [r.integers(0, 1 << 64, a + b - shared, np.uint64) for _ in range(n)]
+    return np.array([near_text.fingerprint(s[:a]) for s in sets]), np.array([near_text.fingerprint(s[a - shared :]) for s in sets])
+
+
+@pytest.mark.parametrize("bits", [10, 12, 14])
+@pytest.mark.parametrize(("a", "b", "shared"), [(4, 5, 4), (5, 6, 5), (9, 9, 8), (80, 100, 80), (90, 90, 80)])
+def test_pairs_at_the_similarity_share_keys_and_are_near(bits, a, b, shared):
+    one, other = similar(np.random.default_rng(7), a, b, shared)
+    keys = [near_text.keys_of(x, np.full(len(x), size), bits) for x, size in ((one, a), (other, b))]
+    assert all(len(x) in (near_text.n_keys(bits), 2 * near_text.n_keys(bits)) for x in keys[0] + keys[1])
+    assert all(np.intersect1d(x, y).size for x, y in zip(*keys))
+    c = near_text.COMPARED
+    pairs = np.stack([one[:, :c], other[:, :c]], 1).reshape(-1, c)
+    found = near_text.near_fingerprints(pairs, np.repeat(np.arange(len(one)), 2))
+    assert sorted(p for i, j in found for p in zip(i.tolist(), j.tolist())) == [(2 * k, 2 * k + 1) for k in range(len(one))]
+
+
+def test_unrelated_texts_of_any_length_are_not_near():
+    r = np.random.default_rng(8)
+    for size in (1, 2, 3, 5, 6, 7, 50, 333):
+        values = similar(r, size, size, 0)[0][:, : near_text.COMPARED]
+        # sets of two lean to equal bits; they have no key but a whole word
+        distance = np.bitwise_count(values[1:] ^ values[:-1]).sum(axis=1, dtype=int)
+        assert size == 2 or distance.min() > near_text.RADIUS
+    assert [len(k) for k in near_text.keys_of(np.zeros((5, near_text.WORDS), np.uint64), np.arange(5), 10)] == [0, 1, 1, 1, 2 * near_text.n_keys(10)]
+
+
+@pytest.mark.parametrize("dense", [near_text.DENSE, 20])
+def test_fingerprints_reached_within_the_radius(monkeypatch, dense):
+    """Groups of random fingerprints and of chains of changed ones, compared in bit planes or one against all."""
+    monkeypatch.setattr(near_text, "DENSE", dense)
+    r = np.random.default_rng(9)
+    rows, group = [], []
+    for g, size in enumerate((1, 2, 30, 7, 90)):
+        now = r.integers(0, 2, 64 * near_text.COMPARED)
+        for _ in range(size):
+            now = now ^ (r.random(len(now)) < r.choice([0.05, 0.25, 0.35]))
+            rows.append(np.packbits(now, bitorder="little").view("<u8"))
+            group.append(g)
+    values, group = np.array(rows), np.array(group)
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if group[i] == group[j] and sum((int(x) ^ int(y)).bit_count() for x, y in zip(rows[i], rows[j])) <= near_text.RADIUS]
+    got = [p for i, j in near_text.near_fingerprints(values, group) for p in zip(i.tolist(), j.tolist())]
+    ids = set(range(len(rows)))
+    assert closure(ids, got) == closure(ids, near) and len(set(closure(ids, near).values())) > 5
