@@ -31,6 +31,10 @@ MAGIC = b"S8B1"
 # Fixed values of Simple-8b: ids in a word and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+#: Values from which on a selector's bits are too few.
+LIMITS = np.uint64(1) << BITS.astype(np.uint64)
+#: The least selector with enough bits, for ids of up to 16.
+ENOUGH = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 FRAME = 4096
 BLOCK = 1 << 16
 LIMIT = np.uint64(1 << 60)
@@ -60,10 +64,16 @@ def encode_block(ids: np.ndarray, frame: int = FRAME) -> bytes:
     full = n // frame
     grid[:full, :frame] = ids[: full * frame].reshape(full, frame)
     grid[full:, : n - full * frame] = ids[full * frame :]
+    # the highest selector whose bits are enough, for each id
     selector = np.full((frames, frame), 15, np.uint8)
+    low = grid.astype(np.uint16)
+    enough = ENOUGH[low] if (grid == low).all() else np.searchsorted(LIMITS, grid.reshape(-1), side="right").astype(np.uint8).reshape(grid.shape)
     for s in range(14, -1, -1):
-        fits = _runs(grid < np.uint64(1 << int(BITS[s])), int(COUNTS[s]))
-        np.copyto(selector, np.uint8(s), where=fits[:, :frame])
+        fits = _runs(enough <= s, int(COUNTS[s]))[:, :frame]
+        # a run that fits fewer bits fits more bits too, where fewer ids stand in a word
+        if not fits.any():
+            break
+        np.copyto(selector, np.uint8(s), where=fits)
     starts, offsets = [], [0]
     for f in range(frames):
         steps = COUNTS[selector[f]].tolist()

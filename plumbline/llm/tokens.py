@@ -10,13 +10,13 @@ from tokenizers import Tokenizer
 from .common import remembering
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and pieces of words, that a worker remembers before it forgets them all; this bounds its memory and
-#: changes no result. Pieces are forgotten apart from words: what they cost is the merges.
+#: Words, and pieces of words, that a worker remembers at most; this bounds its memory and changes no result.
+#: Pieces are forgotten apart from words: what they cost is the merges.
 REMEMBERED, PIECES_REMEMBERED = 250_000, 600_000
 
 # The tokenizer's own pattern, for texts of ASCII and Latin-1 letters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zª²-µ¹-ºß-öø-ÿ]+|[0-9]|[^\sa-z0-9ª²-µ¹-ºß-öø-ÿ]+")
-PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PLAIN = re.compile(rb"(?:[!-~]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -26,7 +26,44 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class WordTokens(dict):
+class Memory(dict):
+    """The last keys, up to `most`, in two halves: when the younger is full it becomes the older one, whose keys are
+    forgotten unless they have come back meanwhile."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.half, self.older = most // 2, {}
+
+    def keep(self, key, value: bytes) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
+class PieceTokens(Memory):
+    """piece (lower case, cut by the tokenizer's own pattern) -> the ids that its merges give, as `WordTokens` has them."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__(PIECES_REMEMBERED)
+        self.merged = tokenizer.model.tokenize
+        self.letters = {b: "".join(_byte_letters()[x] for x in chr(b).encode()) for b in range(256)}
+        self.spelled = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            spelled = self.spelled
+            found = b"".join([spelled[t.id] for t in self.merged(piece if piece.isascii() else piece.translate(self.letters))])
+        return self.keep(piece, found)
+
+
+class WordTokens(Memory):
     """word (UTF-8, without white space) -> its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in
@@ -35,40 +72,28 @@ class WordTokens(dict):
     tokenizer."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.letters = {chr(b): "".join(_byte_letters()[x] for x in chr(b).encode()) for b in range(256)}
-        self.spelled = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
-            found = b"".join([self.spelled[t.id] for t in self.model.tokenize(spelled)])
-            if len(self.pieces) >= PIECES_REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
+        self.pieces = PieceTokens(self.whole)
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha():
-            ids = self._piece(word.lower().decode())
+        ids, pieces = self.older.get(word), self.pieces
+        if ids is not None:
+            pass
+        elif word.isalpha():
+            ids = pieces[word.lower().decode()]
         elif word[-1:] in (b",", b".") and word[:-1].isalpha():
-            ids = self._piece(word[:-1].lower().decode()) + self._piece(chr(word[-1]))
+            ids = pieces[word[:-1].lower().decode()] + pieces[chr(word[-1])]
         elif PLAIN.fullmatch(word) and b"<|" not in word:
-            ids = b"".join(map(self._piece, PIECES.findall(word.decode().lower())))
+            text = word.decode().lower()
+            ids = pieces[text] if text.isalpha() else b"".join(map(pieces.__getitem__, PIECES.findall(text)))
         else:
-            ids = b"".join([self.spelled[i] for i in self.whole.encode(word.decode(), add_special_tokens=False).ids])
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids
-        return ids
+            ids = b"".join([pieces.spelled[i] for i in self.whole.encode(word.decode(), add_special_tokens=False).ids])
+        return self.keep(word, ids)
 
     def forget(self) -> None:
-        self.clear()
-        self.pieces.clear()
+        super().forget()
+        self.pieces.forget()
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split())) if text else b""

@@ -91,6 +91,27 @@ def test_words_have_the_tokenizers_ids(text):
     assert np.frombuffer(tokens.encode(text), "<u4").tolist() == tokens.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_come_back_are_remembered(monkeypatch):
+    """Of 10 words that keep coming back among others, none is merged twice, and never are more remembered than the bound."""
+    from plumbline.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 200)
+    monkeypatch.setattr(tokens, "PIECES_REMEMBERED", 200)
+    found = tokens.WordTokens(tokens.public_tokenizers.path(tokens.VOCABULARY))
+    cut = []
+    merged = found.pieces.merged
+    found.pieces.merged = lambda piece: cut.append(piece) or merged(piece)
+    letters = "abcdefghijklmnopqrstuvwxyzéñöü"
+    word = lambda i: "".join(letters[i // len(letters) ** k % len(letters)] for k in range(4))
+    for i in range(1000):
+        text = f"{word(i % 10)} {word(i + 500)},{word(i + 500)} {word(i % 10).upper()}."
+        assert np.frombuffer(found.encode(text), "<u4").tolist() == found.whole.encode(text, add_special_tokens=False).ids
+        assert len(found) + len(found.older) <= 200 and len(found.pieces) + len(found.pieces.older) <= 200
+    assert all(cut.count(word(i)) == 1 for i in range(10))
+    found.forget()
+    assert not (found or found.older or found.pieces or found.pieces.older)
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(5)
     for n in (0, 1, 2, 60, 61, 240, 241, 4096, 4097, 9000):
