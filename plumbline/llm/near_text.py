@@ -35,7 +35,9 @@ AGREEING, MISSED, AGAIN = 0.848, 3e-6, 1.5
 FEW = 6
 #: Fingerprints that may be expected at one key before keys get longer, and the bits of the shortest and longest keys.
 CROWD, SHORTEST, LONGEST = 1 << 11, 10, 24
-#: Texts of one key, or gathered ones, that a task compares at once; more are compared part by part.
+#: Of a text's keys, the share (one in so many) that is compared first.
+FIRST = 8
+#: Texts of one key, or gathered ones, that stand together in a part; from two parts on they are compared part by part.
 PART = 1 << 11
 #: From so many fingerprints at one key on, those that are reached are not compared again.
 DENSE = 1 << 8
@@ -107,19 +109,19 @@ def n_keys(bits: int) -> int:
     return math.ceil(AGAIN * math.log(MISSED) / math.log1p(-(AGREEING**bits)))
 
 
-def keys_of(fingerprints: np.ndarray, n: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The keys of each fingerprint (a row of words): a key is a fixed choice of bits, its number and their values.
+def keys_of(fingerprints: np.ndarray, n: np.ndarray, bits: int, most: int | None = None) -> list[np.ndarray]:
+    """The keys, or the first `most`, of each fingerprint (a row of words): a key is a fixed choice of bits, its number and their values.
 
     Sets of up to three shingles are similar only if they are equal: they have one key, a whole word. Those without a
     shingle have none."""
     count, drawn = n_keys(bits), np.random.default_rng(SEED + bits)
-    places = np.array([drawn.choice(WIDTH, bits, replace=False) for _ in range(2 * count)])
+    places = np.array([drawn.choice(WIDTH, bits, replace=False) for _ in range(2 * count)])[:most]
     weights = np.int64(1) << np.arange(bits)
     spread = np.unpackbits(np.ascontiguousarray(fingerprints, "<u8").view(np.uint8).reshape(-1, WIDTH // 8), axis=1, bitorder="little")
-    found = np.zeros((len(spread), 2 * count), np.int64)
+    found = np.zeros((len(spread), len(places)), np.int64)
     for weight, place in zip(weights, places.T):
         found += spread[:, place] * weight
-    found += np.arange(2 * count) << bits
+    found += np.arange(len(places)) << bits
     whole = fingerprints[:, :1].view(np.int64)
     return [w[:m] if m <= 1 else w if m <= 3 else row[: 2 * count if m <= FEW else count] for row, w, m in zip(found, whole, n)]
 
@@ -207,14 +209,23 @@ def _stars(id_: str, value: list[str], links: Callable[[np.ndarray, np.ndarray],
     group_by = ["key", "part_a", "part_b"]
 
     def out(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows[group_by].to_numpy()
+        keys, ids = rows[group_by].to_numpy(), rows[id_].to_numpy()
+        begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        # a group of one id has nothing to join
+        several = np.repeat(np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin), np.diff(begin, append=len(ids)))
+        rows, keys, ids = rows[several], keys[several], ids[several]
+        if not len(rows):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         group = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
-        ids, labels = rows[id_].to_numpy(), Labels(len(rows))
+        labels = Labels(len(rows))
         values = rows[value[0]].to_numpy() if len(value) == 1 else rows[value].to_numpy().view(np.uint64)
         for i, j in links(values, group):
             labels.join(i, j)
-        a, b = labels.stars()
-        return pd.DataFrame({"a": ids[a], "b": ids[b]}, dtype="int64").drop_duplicates()
+        # to the smallest id, so that the same rows in other groups give the same edges
+        least = ids.copy()
+        np.minimum.at(least, labels.label, ids)
+        edges = pd.DataFrame({"a": ids, "b": least[labels.label]}, dtype="int64")
+        return edges[edges["a"] != edges["b"]].drop_duplicates()
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -235,32 +246,84 @@ def _stars(id_: str, value: list[str], links: Callable[[np.ndarray, np.ndarray],
     return stars
 
 
-def _together(rows: DataFrame, own: Column, id_: str, value: list[str], links, lanes: int = 1) -> DataFrame:
-    """Edges of rows (key, size, ...), where size is a key's in parts: crowded keys are cut into parts, of which every two meet."""
-    parts = F.ceil("size").cast("int")
-    mine = F.pmod(own, parts).cast("int")
-    met = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(mine, o).alias("part_a"), F.greatest(mine, o).alias("part_b")))
-    met = F.filter(met, lambda p: (p["part_a"] != p["part_b"]) | (parts == 1))
-    dealt = rows.select("key", id_, *value, F.explode(met).alias("p")).select("key", "p.part_a", "p.part_b", id_, *value)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "part_a", "part_b"]
+def _compared(dealt: DataFrame, id_: str, value: list[str], links, lanes: int) -> DataFrame:
+    n, order = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "part_a", "part_b"]
     return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInPandas(_stars(id_, value, links, lanes), "a long, b long")
 
 
+def _weight(size: Column | None = None) -> Column:
+    """What a row takes of a part, of which there are `PART_BYTES`."""
+    return (F.lit(PART_BYTES // PART) + (0 if size is None else F.coalesce(size, F.lit(0)))).cast("long").alias("w")
+
+
+def _parts(size: Column) -> Column:
+    return F.ceil(size / PART_BYTES).cast("int")
+
+
+def _crowded(rows: DataFrame, tag: str) -> DataFrame:
+    """(key, parts) of the keys of `rows` (key, w) that fill more than two parts.
+
+    They are few, or none: as files they have a size that Spark knows, so that rows need not be shuffled to meet them."""
+    sizes = rows.groupBy("key").agg(F.sum("w").alias("size")).filter(F.col("size") > 2 * PART_BYTES)
+    return written(sizes.select("key", _parts(F.col("size")).alias("parts")), tag)
+
+
+def _alone(rows: DataFrame, crowded: DataFrame, id_: str, value: list[str], links, lanes: int = 1) -> DataFrame:
+    """Edges of `rows` (key, id, values) that stand in one part of a key: nothing of a crowded key meets its other parts."""
+    part = F.pmod(F.xxhash64("key", id_, *value), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = rows.join(crowded, "key", "left").select("key", part.alias("part_a"), F.lit(0).alias("part_b"), id_, *value)
+    return _compared(dealt, id_, value, links, lanes)
+
+
+def _across(rows: DataFrame, crowded: DataFrame, id_: str, value: list[str], links, tag: str, lanes: int = 1) -> DataFrame:
+    """Edges between the labels of `rows` (key, id, label, w, values), which join all that is linked in any key.
+
+    What has one label is joined already, so in a crowded key the rows of its largest label need not meet each
+    other, only the rest, part by part; parts of the rest meet each other too. One dense group of any size, with
+    up to a part of others, thus goes to its key once, and each of those others once for each of its parts."""
+    by_label = rows.join(crowded.select("key"), "key").groupBy("key", "label").agg(F.sum("w").alias("size"))
+    largest = by_label.groupBy("key").agg(F.max_by("label", "size").alias("main"), F.max("size").alias("size"), F.sum("size").alias("all"))
+    cut = written(largest.select("key", "main", _parts(F.col("size")).alias("p"), _parts(F.col("all") - F.col("size")).alias("q")), tag)
+    # a key that isn't crowded has one part, as if it were all main and met an empty rest
+    p, q, main = F.coalesce("p", F.lit(1)), F.coalesce("q", F.lit(1)), F.coalesce(F.col("label") == F.col("main"), F.lit(True))
+    own = F.xxhash64("key", id_, *value)
+    i, j = F.pmod(own, p).cast("int"), F.pmod(own, F.greatest(q, F.lit(1))).cast("int")
+
+    def meet(n: Column, a, b) -> Column:
+        each = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda o: o < n)
+        return F.transform(each, lambda o: F.struct(a(o).cast("int").alias("part_a"), b(o).cast("int").alias("part_b")))
+
+    rest = F.filter(meet(q, lambda o: -1 - F.least(o, j), lambda o: F.greatest(o, j)), lambda t: -1 - t["part_a"] != t["part_b"])
+    met = F.when(main, meet(q, lambda o: i, lambda o: o)).otherwise(F.concat(meet(p, lambda o: o, lambda o: j), rest))
+    dealt = rows.join(cut, "key", "left").select("key", "label", *value, F.explode(met).alias("t"))
+    return _compared(dealt.select("key", "t.part_a", "t.part_b", "label", *value), "label", value, links, lanes)
+
+
+def _labelled(rows: DataFrame, id_: str, found: DataFrame) -> DataFrame:
+    """`rows` with the component of their id as label; an id without one is its own."""
+    labels = found.select(F.col("node").alias(id_), F.col("component").alias("label"))
+    return rows.join(labels, id_, "left").withColumn("label", F.coalesce("label", id_))
+
+
 def gathered(classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes (cid, s) whose fingerprint is near some other's: what is near is in one component."""
-    bits = key_bits(classes.count())
+    """(node, component) of the classes (cid, s) whose fingerprint is near some other's: what is near is in one component.
+
+    A dense group is near itself at most keys. The first few join it, so that the others give edges between
+    what isn't joined yet, not a star of the group for each key."""
+    bits, compared = key_bits(classes.count()), _FINGERPRINT[:COMPARED]
+
+    def keyed(some: DataFrame, most: int | None, *more: str) -> DataFrame:
+        def of(s: pd.DataFrame) -> pd.Series:
+            return pd.Series(keys_of(s[_FINGERPRINT].to_numpy().view(np.uint64), s["n"].to_numpy(), bits, most))
 
-    def of(s: pd.DataFrame) -> pd.Series:
-        return pd.Series(keys_of(s[_FINGERPRINT].to_numpy().view(np.uint64), s["n"].to_numpy(), bits))
+        of.__annotations__ = {"s": pd.DataFrame, "return": pd.Series}
+        return some.select("cid", *more, *(F.col(f"s.{f}") for f in compared), F.explode(F.pandas_udf(of, "array<long>")("s")).alias("key"), _weight())
 
-    of.__annotations__ = {"s": pd.DataFrame, "return": pd.Series}
-    compared = _FINGERPRINT[:COMPARED]
-    keyed = classes.select("cid", *(F.col(f"s.{f}") for f in compared), F.explode(F.pandas_udf(of, "array<long>")("s")).alias("key"))
-    # few keys, or none: as files they have a size that Spark knows, so that the rows need not be shuffled to meet them
-    crowded = written(keyed.groupBy("key").agg((F.count("*") / PART).alias("size")).filter("size > 2"), "near-text-crowded")
-    rows = keyed.join(crowded, "key", "left").withColumn("size", F.coalesce("size", F.lit(1.0)))
-    return components(_together(rows, F.xxhash64("cid"), "cid", compared, near_fingerprints, LANES), "near-text-gathered")
+    first = keyed(classes, -(-n_keys(bits) // FIRST))
+    found = components(_alone(first, _crowded(first, "near-text-crowded"), "cid", compared, near_fingerprints, LANES), "near-text-first")
+    rows = keyed(written(_labelled(classes, "cid", found), "near-text-labelled"), None, "label")
+    edges = _across(rows, _crowded(rows, "near-text-crowded"), "cid", compared, near_fingerprints, "near-text-cut", LANES)
+    return components(edges.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near-text-gathered")
 
 
 def text_edges(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -268,10 +331,14 @@ def text_edges(docs: DataFrame, classes: DataFrame, shingle: int, similarity: fl
     found = gathered(classes)
     members = found.join(classes, F.col("node") == F.col("cid")).select(F.col("component").alias("key"), F.col("rep").alias("doc_id")).distinct()
     rows = docs.select("doc_id", "text").join(members, "doc_id").distinct()
-    rows = written(rows, "near-text-members")
-    size = F.greatest(F.lit(1), F.count("*") / PART, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / PART_BYTES)
-    counts = rows.groupBy("key").agg(size.alias("size"))
-    return _together(rows.join(counts, "key"), F.xxhash64("doc_id", "text"), "doc_id", ["text"], near_texts(shingle, similarity))
+    rows = written(rows, "near-text-members").withColumn("w", _weight(F.octet_length("text")))
+    crowded, links = _crowded(rows, "near-text-crowded"), near_texts(shingle, similarity)
+    edges = _alone(rows, crowded, "doc_id", ["text"], links)
+    if crowded.isEmpty():
+        return edges
+    edges = written(edges, "near-text-alone")
+    parted = _labelled(rows.join(crowded.select("key"), "key", "left_semi"), "doc_id", components(edges, "near-text-parts"))
+    return edges.unionByName(_across(parted, crowded, "doc_id", ["text"], links, "near-text-cut"))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -120,3 +120,41 @@ def test_fingerprints_reached_within_the_radius(monkeypatch, dense):
     got = [p for i, j in near_text.near_fingerprints(values, group) for p in zip(i.tolist(), j.tolist())]
     ids = set(range(len(rows)))
     assert closure(ids, got) == closure(ids, near) and len(set(closure(ids, near).values())) > 5
+
+
+def test_edges_of_a_dense_group_do_not_grow_with_its_keys(spark, monkeypatch):
+    """300 near copies meet at some 90 keys each; what joins them must not be a star for each key."""
+    r, found, plain = np.random.default_rng(11), [], near_text.components
+    words = [f"w{x}" for x in r.integers(0, 5000, 250)]
+    rows = [(i, " ".join(f"v{r.integers(0, 5000)}" if r.random() < 0.015 else w for w in words)) for i in range(300)]
+
+    def counted(edges, tag):
+        found.append(edges.selectExpr("greatest(a, b)", "least(a, b)").distinct().count())
+        return plain(edges, tag)
+
+    monkeypatch.setattr(near_text, "components", counted)
+    kept = near_text.drop_near_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {k.doc_id for k in kept} == brute_kept(rows)
+    # a star for each key that is compared first at most, then what those have left apart, then the texts' forest
+    assert sum(found) < (near_text.n_keys(near_text.SHORTEST) / 8 + 2) * len(rows)
+
+
+@pytest.mark.parametrize("others", [0, 3, 40])
+def test_parts_of_a_crowded_key_meet_but_for_what_is_joined(spark, monkeypatch, others):
+    """A chain through all of a key's labels is found whole, and a joined group is not dealt part by part to itself."""
+    monkeypatch.setattr(near_text, "PART", 10)
+    dealt, plain = [], near_text._compared
+    monkeypatch.setattr(near_text, "_compared", lambda rows, *a: dealt.append(rows.count()) or plain(rows, *a))
+    r, n = np.random.default_rng(12), 200
+    now, rows = r.integers(0, 2, 64 * near_text.COMPARED), []
+    for i in range(n + others):
+        now = now ^ (r.random(len(now)) < 0.22)
+        rows.append((0, i, 0 if i < n else i, near_text.PART_BYTES // 10, *np.packbits(now, bitorder="little").view("<i8").tolist()))
+    compared = [f"f{i}" for i in range(near_text.COMPARED)]
+    frame = spark.createDataFrame(rows, "key long, cid long, label long, w long, " + ", ".join(f"{f} long" for f in compared))
+    edges = near_text._across(frame, near_text._crowded(frame, "crowded"), "cid", compared, near_text.near_fingerprints, "cut").collect()
+    values = np.array([x[4:] for x in rows]).view(np.uint64)
+    near = [(rows[i][2], rows[j][2]) for j in range(len(rows)) for i in range(j) if np.bitwise_count(values[i] ^ values[j]).sum(dtype=int) <= near_text.RADIUS]
+    ids = {x[2] for x in rows}
+    assert closure(ids, [(e.a, e.b) for e in edges]) == closure(ids, near) and (len(near) > 200 or not others)
+    assert dealt == [n * -(-others // 10) + others * (20 + max(0, -(-others // 10) - 1))]
