@@ -150,8 +150,8 @@ def _writer(vocabulary: str, end_id: int):
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(numbers(batch["doc_id"]), batch["text"]):
-                parts.append(tokens.encode(text) + end)
+            for doc_id, ids in zip(numbers(batch["doc_id"]), tokens.encode_all(batch["text"])):
+                parts.append(ids + end)
                 doc_ids.append(doc_id)
                 filled += len(parts[-1]) // 4
                 if filled >= BLOCK:

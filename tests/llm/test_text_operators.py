@@ -112,6 +112,30 @@ def test_words_that_come_back_are_remembered(monkeypatch):
     assert not (found or found.older or found.pieces or found.pieces.older)
 
 
+def test_texts_of_a_batch_are_encoded_together(monkeypatch):
+    """Ids are those of the whole tokenizer text by text, and a batch's pieces are merged once, though few are remembered."""
+    from plumbline.llm import tokens
+
+    monkeypatch.setattr(tokens, "PIECES_REMEMBERED", 20)
+    found = tokens.WordTokens(tokens.public_tokenizers.path(tokens.VOCABULARY))
+    r = np.random.default_rng(3)
+    some = ["a", "B", "é", "Ñ", "ß", "ÿ", "×", "÷", "º", "µ", ".", ",", "'s", "'", "9", "-", "</w>", "w>", "<|", "endoftext", "|>", "İ", "\u212a", "日本", "🙂", "e\u0301", "\xa0", "\x00", "\x85", "\x1f", "_", "``"]
+    word = lambda: "".join(r.choice(some, r.integers(1, 6)))
+    texts = [None, "", " ", "\t\n"] + ["".join(word() + str(r.choice([" ", "  ", "\n", "\r\x0b\x0c"])) for _ in range(r.integers(1, 40))) for _ in range(300)] + [None, " x", "y ", ".", ",,", "A.", "a,.", "<|endoftext|>"]
+    for together in (1 << 23, 50, 1):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        got = list(found.encode_all(texts))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [found.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(found.encode_all([])) == [] and list(found.encode_all([None])) == [b""]
+    monkeypatch.setattr(tokens, "TOGETHER", 1 << 23)
+    found.forget()
+    merged, of, letters = [], found.pieces.of, "bcdfghjklm"
+    found.pieces.of = lambda pieces: merged.extend(pieces) or of(pieces)
+    words = [letters[i // 100] + letters[i // 10 % 10] + letters[i % 10] for i in range(1000)]
+    list(found.encode_all([" ".join(words), " ".join(words).upper(), ", ".join(words)]))
+    assert sorted(merged) == sorted([*words, ",", "."])
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(5)
     for n in (0, 1, 2, 60, 61, 240, 241, 4096, 4097, 9000):
