@@ -269,10 +269,14 @@ def _crowded(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def _alone(rows: DataFrame, crowded: DataFrame, id_: str, value: list[str], links, lanes: int = 1) -> DataFrame:
-    """Edges of `rows` (key, id, values) that stand in one part of a key: nothing of a crowded key meets its other parts."""
-    part = F.pmod(F.xxhash64("key", id_, *value), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = rows.join(crowded, "key", "left").select("key", part.alias("part_a"), F.lit(0).alias("part_b"), id_, *value)
-    return _compared(dealt, id_, value, links, lanes)
+    """Edges of `rows` (key, id, values) that stand in one part of a key: nothing of a crowded key meets all of its parts.
+
+    A crowded key is cut twice, by independent hashes, so that the parts of a dense group are joined through each other."""
+    place = lambda cut: F.struct(F.pmod(F.xxhash64(F.lit(cut), "key", id_, *value), F.col("parts")).cast("int").alias("part_a"), F.lit(cut).alias("part_b"))
+    whole = F.struct(F.lit(0).alias("part_a"), F.lit(0).alias("part_b"))
+    places = F.when(F.col("parts").isNull(), F.array(whole)).otherwise(F.array(place(0), place(1)))
+    dealt = rows.join(crowded, "key", "left").select("key", id_, *value, F.explode(places).alias("t"))
+    return _compared(dealt.select("key", "t.part_a", "t.part_b", id_, *value), id_, value, links, lanes)
 
 
 def _across(rows: DataFrame, crowded: DataFrame, id_: str, value: list[str], links, tag: str, lanes: int = 1) -> DataFrame:

@@ -158,3 +158,16 @@ def test_parts_of_a_crowded_key_meet_but_for_what_is_joined(spark, monkeypatch,
     ids = {x[2] for x in rows}
     assert closure(ids, [(e.a, e.b) for e in edges]) == closure(ids, near) and (len(near) > 200 or not others)
     assert dealt == [n * -(-others // 10) + others * (20 + max(0, -(-others // 10) - 1))]
+
+
+def test_a_dense_crowded_group_is_dealt_in_proportion(spark, monkeypatch):
+    """Near copies that fill many parts are joined by two cuts; none of them then meets all the other parts."""
+    monkeypatch.setattr(near_text, "PART", 20)
+    dealt, plain = [], near_text._compared
+    monkeypatch.setattr(near_text, "_compared", lambda rows, *a: dealt.append(rows.count()) or plain(rows, *a))
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[: i % 100], f"v{i}", *words[i % 100 + 1 :]])) for i in range(300)]
+    kept = near_text.drop_near_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [k.doc_id for k in kept] == [0]
+    # the last two dealings are of texts: each twice, then only what isn't joined
+    assert dealt[-2] <= 2 * len(rows) and dealt[-1] <= len(rows)
