@@ -82,6 +82,38 @@ def test_soap_is_the_naive_one_and_turns_with_nothing(spark):
     assert all(np.array(r.soap) == pytest.approx(got[r.structure][1], rel=1e-9) for r in turned.collect())
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def small_cells(n, atoms):
+    r = np.random.default_rng(n)
+    return {f"s{i:03}": CELLS["skew"] + r.random((3, 3)) / 4 for i in range(n)}, [(f"s{i:03}", a, (r.random(3) * 3 - 1).tolist()) for i in range(n) for a in range(atoms)]
+
+
+def test_soap_shuffles_atoms_not_expansions(spark):
+    """An expansion is 392 numbers; of a structure that fits in a task only its atoms go through a shuffle."""
+    cells, atoms = small_cells(40, 6)
+    given, before = frames(spark, cells, atoms), shuffled(spark)
+    assert len(structures.soap_block(*given, 3.0, 8, 6, 0.5).collect()) == 40
+    assert shuffled(spark) - before < 400 * len(atoms)
+
+
+@pytest.mark.parametrize("name,most", [("WHOLE", 0), ("WHOLE", 3), ("AROUND", 900), ("PAIRS", 7)])
+def test_whole_structures_and_others_have_the_same_spectra(spark, monkeypatch, name, most):
+    cells, atoms = small_cells(5, 3)
+    atoms = [*atoms, *((s, 3 + i, [0.3 * i, 0.1, 0.7]) for s in ("s001", "s003") for i in range(2)), ("s004", 4000, [0.2, 0.9, 0.4]), ("s000", 3, [None, 0.1, 0.1])]
+    want = {r.structure: r for r in structures.soap_block(*frames(spark, cells, atoms), 3.0, 3, 2, 0.4).collect()}
+    assert {s: r.n_atoms for s, r in want.items()} == {"s000": 3, "s001": 5, "s002": 3, "s003": 5, "s004": 4}
+    monkeypatch.setattr(structures, name, most)
+    got = structures.soap_block(*frames(spark, cells, atoms), 3.0, 3, 2, 0.4).collect()
+    assert len(got) == 5 and all(r.n_atoms == want[r.structure].n_atoms and r.soap == pytest.approx(want[r.structure].soap, rel=1e-9) for r in got)
+
+
 def test_soap_has_the_columns_of_its_contract(spark):
     one = {"cubic": CELLS["cubic"]}
     row = structures.soap_block(*frames(spark, one, [("cubic", 0, [0.0, 0.0, 0.0])]), 4.0).first()
