@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import lookups, relaxation, structures
+from plumbline.plans.queries import QUERIES
 
 CELLS = {"cubic": np.eye(3) * 3.0, "skew": np.array([[3, 0, 0], [2.2, 2.5, 0], [-1.1, 0.7, 4]]), "thin": np.array([[1.5, 0, 0], [0, 9, 0], [0.3, 0.2, 6]])}
 ATOMS = [(s, i, (np.random.default_rng(len(s) * 10 + i).random(3) * 4 - 2).tolist()) for s in CELLS for i in range(3)] + [("lost", 0, [0.1, 0.2, 0.3])]
@@ -103,6 +104,13 @@ def test_soap_shuffles_atoms_not_expansions(spark):
     assert shuffled(spark) - before < 400 * len(atoms)
 
 
+def test_soap_lowest_shuffles_little(spark, sf):
+    """Orders are numbered and gathered: some 60 bytes each at most."""
+    before = shuffled(spark)
+    assert QUERIES["soap_lowest"](spark, sf).agg(F.sum("n_atoms")).first()[0] == 15_000
+    assert shuffled(spark) - before < 60 * 15_000
+
+
 @pytest.mark.parametrize("name,most", [("WHOLE", 0), ("WHOLE", 3), ("AROUND", 900), ("PAIRS", 7)])
 def test_whole_structures_and_others_have_the_same_spectra(spark, monkeypatch, name, most):
     cells, atoms = small_cells(5, 3)
