@@ -15,6 +15,19 @@ CELLS = {"cubic": np.eye(3) * 3.0, "skew": np.array([[3, 0, 0], [2.2, 2.5, 0], [
 ATOMS = [(s, i, (np.random.default_rng(len(s) * 10 + i).random(3) * 4 - 2).tolist()) for s in CELLS for i in range(3)] + [("lost", 0, [0.1, 0.2, 0.3])]
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def small_cells(n, atoms):
+    r = np.random.default_rng(n)
+    return {f"s{i:03}": CELLS["skew"] + r.random((3, 3)) / 4 for i in range(n)}, [(f"s{i:03}", a, (r.random(3) * 3 - 1).tolist()) for i in range(n) for a in range(atoms)]
+
+
 def frames(spark, cells=CELLS, atoms=ATOMS):
     cell = spark.createDataFrame([(s, np.asarray(m, float).tolist()) for s, m in cells.items()], "structure string, lattice array<array<double>>")
     return cell, spark.createDataFrame(atoms, "structure string, atom int, frac array<double>")
@@ -50,6 +63,31 @@ def test_neighbours_do_not_depend_on_where_atoms_are_given(spark):
     assert both[0] == both[1] and structures.periodic_neighbours(*frames(spark)[:1], frames(spark)[1].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name,most", [("WHOLE", 0), ("WHOLE", 3), ("AROUND", 900), ("PAIRS", 7)])
+def test_whole_structures_and_others_have_the_same_neighbours(spark, monkeypatch, name, most):
+    monkeypatch.setattr(structures, name, most)
+    cells, atoms = small_cells(5, 3)
+    atoms = [*atoms, *((s, 3 + i, [0.3 * i, 0.1, 2.7]) for s in ("s001", "s003") for i in range(2)), ("s004", 4000, [0.2, -0.9, 0.4])]
+    got = {}
+    for r in structures.periodic_neighbours(*frames(spark, cells, [*atoms, ("s000", 3, [None, 0.1, 0.1])]), 3.0, 7).orderBy("place").collect():
+        got.setdefault((r.structure, r.atom), []).append((round(r.distance, 9), r.other, tuple(r.image)))
+    assert got == {a: n[:7] for a, n in naive_neighbours(cells, atoms, 3.0, 5).items()}
+
+
+@pytest.mark.parametrize("whole", [256, 0])
+def test_distances_that_agree_with_the_radius_are_within_it(spark, monkeypatch, whole):
+    """3 * 1.1 is 3.3000000000000003."""
+    monkeypatch.setattr(structures, "WHOLE", whole, raising=False)
+    found = structures.periodic_neighbours(*frames(spark, {"s": np.eye(3) * 1.1}, [("s", 0, [0.0, 0.0, 0.0])]), 3.3, 200)
+    assert found.filter(F.round("distance", 9) == 3.3).count() == 30 and found.count() == 122
+
+
+def test_neighbours_shuffle_atoms_not_images(spark, sf):
+    before = shuffled(spark)
+    assert QUERIES["periodic_neighbours"](spark, sf).agg(F.max("place")).first()[0] == 12
+    assert shuffled(spark) - before < 60 * 15_000
+
+
 def naive_soap(cells, atoms, r_cut, n_max, l_max, sigma):
     """Spectra atom by atom: expansions from neighbours one by one, products written out."""
     reach, out = r_cut + sigma * math.sqrt(-2 * math.log(structures.TAIL)), {}
@@ -83,19 +121,6 @@ def test_soap_is_the_naive_one_and_turns_with_nothing(spark):
     assert all(np.array(r.soap) == pytest.approx(got[r.structure][1], rel=1e-9) for r in turned.collect())
 
 
-def shuffled(spark):
-    """Bytes that all stages so far have written for others."""
-    sc = spark.sparkContext
-    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
-
-
-def small_cells(n, atoms):
-    r = np.random.default_rng(n)
-    return {f"s{i:03}": CELLS["skew"] + r.random((3, 3)) / 4 for i in range(n)}, [(f"s{i:03}", a, (r.random(3) * 3 - 1).tolist()) for i in range(n) for a in range(atoms)]
-
-
 def test_soap_shuffles_atoms_not_expansions(spark):
     """An expansion is 392 numbers; of a structure that fits in a task only its atoms go through a shuffle."""
     cells, atoms = small_cells(40, 6)
