@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import symmetry as Y
+from plumbline.plans.queries import QUERIES
 
 
 def cell(a, b, c, alpha=90, beta=90, gamma=90):
@@ -70,3 +72,16 @@ def test_tables(spark):
     d = {r.structure: r for r in Y.densities(c, a, table).collect()}
     assert d["salt"].density == pytest.approx(4 * 58.44 * Y.GRAMS / 5.6**3) and d["salt"].volume_per_atom == pytest.approx(5.6**3 / 8)
     assert d["salt"].packing == pytest.approx(4 * 4 / 3 * np.pi * (1.8**3 + 1) / 5.6**3) and d["plain box"].packing is None and d["rutile"].density is None
+
+
+def test_searches_are_dealt_to_all_tasks(spark, sf):
+    """However few bytes they have: a search is long for its row."""
+    found = QUERIES["crystal_systems"](spark, sf).groupBy(F.spark_partition_id().alias("task")).agg(F.count("crystal_system").alias("n")).collect()
+    assert len(found) == 4 and sum(r.n for r in found) == 1500 and max(r.n for r in found) < 500
+
+
+def test_many_places_at_once():
+    """Whether atoms are kept, one place after the other: each on one of its own kind, no two on the same."""
+    lattice, frac, kinds = np.eye(3) * 4, np.array([[0, 0, 0], [0.5, 0.5, 0], [0.5, 0, 0.5]]), np.array(["A", "A", "B"])
+    moved = np.array([frac, frac[[1, 0, 2]], frac[[0, 0, 2]], frac[[2, 1, 0]], frac + 0.001, frac + 0.01, frac - [3, 0, 7]])
+    assert Y.kept(moved, frac, kinds, lattice, 0.01).tolist() == [True, True, False, False, True, False, True]
