@@ -5,6 +5,9 @@ import pytest
 
 from plumbline.operators import graph_networks as G
 from plumbline.operators.networks import Settings
+from plumbline.sources.shared import Held
+
+from .test_structures import shuffled
 
 SHAPE = G.Shape(width=3, bins=4, layers=2, dense=4, dense_layers=1)
 
@@ -96,3 +99,62 @@ def test_lone_nodes_and_lost_edges(spark):
     assert not gradient["w_gate0"].any() and gradient["w_in"].any()
     with pytest.raises(ValueError, match="no nodes"):
         G.fit_graph_network(lost[0].limit(0), lost[1], lost[2], lost[2])
+
+
+@pytest.mark.parametrize("nodes,edges,at_once", [(1024, 1 << 14, 1 << 21), (1024, 1 << 14, 1), (3, 5, 1), (1024, 4, 1 << 21)])
+def test_gathered_graphs_and_larger_ones_have_the_same_gradients(spark, monkeypatch, nodes, edges, at_once):
+    monkeypatch.setattr(G, "WHOLE", nodes)
+    monkeypatch.setattr(G, "EDGES", edges)
+    monkeypatch.setattr(G, "AT_ONCE", at_once)
+    data = drawn(8, 2)
+    p = G.first_weights(2, SHAPE, 1)
+    logits, loss = naive(p, SHAPE, *data)
+    lost = [(0, 0, 7, 1.0), (9, 0, 1, 1.0), (3, 99, 0, 1.0), (None, 0, 0, 1.0), (2, None, 0, 2.0)]
+    given = [f.repartition(3) for f in frames(spark, data[0], data[1] + lost, [*data[2], (77, 1)])]
+    held = Held(spark)
+    whole, *rest = G.gathered(*given, held)
+    small = {g for g in range(8) if sum(x[0] == g for x in data[0]) <= nodes and sum(x[0] == g for x in data[1]) <= edges - any(x[0] == g and x[1] is not None for x in lost)}
+    assert {r.graph for r in whole.collect()} == small and (rest == [None, None]) == (len(small) == 8)
+    run = G._Pass(*rest, given[2], p, SHAPE, whole=whole)
+    assert {r.graph: r.logit for r in run.logits().collect()} == pytest.approx(logits)
+    run.close()
+    there = given[2].filter("graph < 70")
+    want, moments, *_ = G.batch_gradient(*given[:2], there, p, SHAPE)
+    gradient, found, n, mean_loss = G.batch_gradient(*rest, there, p, SHAPE, whole)
+    assert n == 8 and mean_loss == pytest.approx(loss) and gradient.keys() == p.keys()
+    assert all(gradient[k] == pytest.approx(want[k], abs=1e-10) for k in p) and all(a == pytest.approx(b) for x, y in zip(found, moments) for a, b in zip(x, y))
+    held.close()
+
+
+def test_training_of_gathered_graphs(spark, monkeypatch):
+    """Weights and scores are the same whatever is gathered: nothing, some graphs, all."""
+    nodes, edges, labels = drawn(12, 5)
+    n = spark.createDataFrame([(f"g{g}", f"n{i}", x) for g, i, x in nodes], "graph string, node string, x array<double>")
+    e = spark.createDataFrame([(f"g{g}", f"n{a}", f"n{b}", d) for g, a, b, d in edges], "graph string, src string, dst string, distance double")
+    y = spark.createDataFrame([(f"g{g}", y) for g, y in labels], "graph string, y int")
+    shape, settings, found = G.Shape(width=3, bins=3, layers=2, dense=3, dense_layers=1), Settings(epochs=1, batch_size=4, learning_rate=0.1), []
+    for most in (0, 3, 1024):
+        monkeypatch.setattr(G, "WHOLE", most)
+        network, record = G.fit_graph_network(n, e, y.filter("graph < 'g5'"), y.filter("graph >= 'g5'"), shape, settings)
+        found.append((network.params, record["history"][0], {r.graph: r.score for r in network.scored(n, e, y).collect()}))
+    (want, history, scores), *others = found
+    assert len(scores) == 12
+    for p, h, s in others:
+        assert all(p[k] == pytest.approx(want[k], abs=1e-9) for k in want) and h == pytest.approx(history) and s == pytest.approx(scores)
+
+
+def test_edges_are_shuffled_once(spark):
+    """A step's messages, some hundred bytes an edge each time, go through no shuffle where graphs are small."""
+    r = np.random.default_rng(4)
+    nodes = [(g, i, [float(g % 2), 1.0]) for g in range(150) for i in range(20)]
+    edges = [(g, int(i), int(j), float(d)) for g in range(150) for i, j, d in zip(r.integers(0, 20, 80), r.integers(0, 20, 80), r.random(80) * 3)]
+    n, e, y = frames(spark, nodes, edges, [(g, g % 2) for g in range(150)])
+    shape, before = G.Shape(width=4, bins=4, layers=1, dense=4, dense_layers=1), shuffled(spark)
+    # so few rows would be broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        network, _ = G.fit_graph_network(n, e, y.filter("graph < 100"), y.filter("graph >= 100"), shape, Settings(epochs=1, batch_size=1000))
+        assert network.scored(n, e, y).count() == 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 60 * len(edges)
